@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import NONSPACE, Words, chunks, mix
 from .components import components
-from .store import stored
+from .store import sized, stored
 
 SHINGLE_WORDS = 5
 #: A shingle counts as frequent from this share of the documents on ...
@@ -134,7 +134,8 @@ def _signed(texts: DataFrame, words: int, similarity: int, frequent: np.ndarray)
 def _verified(pairs: DataFrame, units: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
     """The pairs (a, b of uid) whose texts reach the similarity."""
     needed = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    found = stored(needed.join(units.select("uid", "__id"), "uid").join(texts, "__id").select("uid", "__text").dropDuplicates(["uid"]), "texts")
+    needed = stored(units.select("uid", "__id").join(needed, "uid", "left_semi"), "needed")
+    found = stored(texts.join(sized(needed), "__id").select("uid", "__text").dropDuplicates(["uid"]), "texts")
     both = pairs.join(found.select(F.col("uid").alias("a"), F.col("__text").alias("s")), "a").join(found.select(F.col("uid").alias("b"), F.col("__text").alias("t")), "b")
 
     def verify(batches):
@@ -176,12 +177,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent = frequent_shingles(texts, words, texts.count())
     signed = stored(_signed(texts, words, similarity, frequent), "signed")
     named = signed.where("uid is not null")
-    first = named.groupBy("uid").agg(F.min("__id").alias("__id"))
-    lead = named.join(first, ["uid", "__id"], "left_semi")
+    first = named.groupBy("uid").agg(F.min("__id").alias("least"))
+    lead = named.join(first, "uid").where("__id <=> least")
     units = stored(lead.dropDuplicates(["uid"]).select("uid", "__id", "n_shingles", "prefix", "bitmap", F.xxhash64("n_shingles", "prefix").alias("gkey")), "units")
     groups = units.groupBy("gkey").agg(F.min("uid").alias("gid"))
     members = stored(units.select("uid", "gkey").join(groups, "gkey").select("uid", "gid"), "members")
-    leaders = units.join(members.where("uid = gid").select("uid"), "uid", "left_semi")
+    led = stored(members.where("uid <> gid").select("uid"), "led")
+    leaders = units.join(sized(led), "uid", "left_anti")
     posted = leaders.select(F.explode("prefix").alias("token"), F.col("uid").alias("gid"))
     lists = posted.groupBy("token").agg(F.count("*").alias("k"), F.min("gid").alias("pivot")).where("k > 1").select("token", "pivot")
     postings = stored(posted.join(lists, "token"), "postings")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +27,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/pathloom-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a stored table that may be broadcast: its columns are a few numbers each.
+BROADCAST_ROWS = 400_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` (a stored table of a few numeric columns) with a broadcast hint if it was
+    counted to be small; beyond that Spark shuffles as usual."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
