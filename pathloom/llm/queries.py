@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import html_blocks, licenses, ordinal, pii, preferences, toxicity
+from .fmindex import contamination
 from .jaccard import jaccard_classes
+from .packing import pack_documents
+from .permutation import nearest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +31,94 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """The vocabulary that packing encodes with, where the tokenizers' package put it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op1_ordinal_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades 0 (poor), 1 (good but toxic), 2 (good and clean) from the two labels."""
+    docs = table(spark, sf_dir, "documents")
+    ratings = table(spark, sf_dir, "labels").select("doc_id", F.expr("case when quality = 0 then 0 when toxic = 1 then 1 when quality = 1 then 2 end").alias("grade"))
+    return ordinal.graded(docs, ordinal.fit(docs, ratings, 3))
+
+
+@query("op2_permutation_index")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_licence_rules", licenses.oracle())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(table(spark, sf_dir, "documents"))
+
+
+@query("op4_pii_boosting")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.fit(docs))
+
+
+@query("op5_preferences", """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
+l AS (SELECT conv_id, coalesce(arg_max(CASE WHEN role = 'assistant' THEN length(text) END, CASE WHEN role = 'assistant' THEN i END), 0) AS k FROM o GROUP BY conv_id),
+r AS (SELECT conv_id, conv_id // 2 AS pair_id, row_number() OVER (PARTITION BY conv_id // 2 ORDER BY k DESC, conv_id) AS place, count(*) OVER (PARTITION BY conv_id // 2) AS m FROM l),
+p AS (SELECT a.pair_id, a.conv_id AS chosen_id, b.conv_id AS rejected_id FROM r a JOIN r b ON a.pair_id = b.pair_id AND a.place = 1 AND b.place = 2 WHERE a.m = 2),
+d AS (SELECT p.pair_id, min(CASE WHEN y.conv_id IS NULL OR x.role <> y.role OR x.text <> y.text THEN x.i END) - 1 AS cut, count(*) AS n
+  FROM p JOIN o x ON x.conv_id = p.chosen_id LEFT JOIN o y ON y.conv_id = p.rejected_id AND y.i = x.i GROUP BY p.pair_id),
+c AS (SELECT p.*, coalesce(d.cut, d.n) AS n_common FROM p JOIN d USING (pair_id)),
+g AS (SELECT pair_id, chosen_id, rejected_id, n_common, conv_id, i, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s,
+  CASE WHEN role = 'assistant' AND i > n_common THEN length(text) + 8 ELSE 0 END AS learnt FROM c JOIN o ON o.conv_id IN (chosen_id, rejected_id))
+SELECT pair_id, chosen_id, rejected_id, n_common,
+  sha256(coalesce(string_agg(s, '' ORDER BY i) FILTER (conv_id = chosen_id AND i <= n_common), '')) AS prompt_sha256,
+  sha256(coalesce(string_agg(s, '' ORDER BY i) FILTER (conv_id = chosen_id AND i > n_common), '')) AS chosen_sha256,
+  sha256(coalesce(string_agg(s, '' ORDER BY i) FILTER (conv_id = rejected_id AND i > n_common), '')) AS rejected_sha256,
+  CAST(coalesce(sum(learnt) FILTER (conv_id = chosen_id), 0) AS BIGINT) AS chosen_learnt,
+  CAST(coalesce(sum(learnt) FILTER (conv_id = rejected_id), 0) AS BIGINT) AS rejected_learnt
+FROM g GROUP BY ALL""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = preferences.formatted(preferences.neighbours(preferences.conversations_of(table(spark, sf_dir, "conversations"))))
+    learnt = lambda c: F.expr(f"cast(aggregate({c}, 0, (a, x) -> a + x.e - x.s) as bigint)")
+    digest = lambda c: F.sha2(c, 256)
+    return rows.select("pair_id", "chosen_id", "rejected_id", "n_common", digest("prompt").alias("prompt_sha256"), digest("chosen_text").alias("chosen_sha256"), digest("rejected_text").alias("rejected_sha256"), learnt("chosen_mask").alias("chosen_learnt"), learnt("rejected_mask").alias("rejected_learnt"))
+
+
+@query("op6_fm_index", """
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bench AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+grams AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS g FROM bench WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM grams),
+spots AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM words, sizes WHERE len(w) >= n),
+found AS (SELECT doc_id, item_id, i, n FROM spots JOIN grams USING (n, g)),
+hits AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_factorization_machine")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op8_block_labeller")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_blocks.main_texts(pages, html_blocks.fit(pages))
+
+
 @query("op9_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
