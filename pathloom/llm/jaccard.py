@@ -184,12 +184,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(units.select("uid", "gkey").join(groups, "gkey").select("uid", "gid"), "members")
     led = stored(members.where("uid <> gid").select("uid"), "led")
     leaders = units.join(sized(led), "uid", "left_anti")
-    posted = leaders.select(F.explode("prefix").alias("token"), F.col("uid").alias("gid"))
-    lists = posted.groupBy("token").agg(F.count("*").alias("k"), F.min("gid").alias("pivot")).where("k > 1").select("token", "pivot")
+    posted = leaders.select(F.col("uid").alias("gid"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("i", "token"))
+    lists = posted.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("gid", "n", "i")).alias("p")).where("k > 1").select("token", F.col("p.gid").alias("pivot"), F.col("p.n").alias("n2"), F.col("p.i").alias("i2"))
+    # what two sets can still share from their first common shingle on, at places i and i2
+    # of the order, must do for the similarity (and bounds their sizes too)
+    fits = f"{100 + similarity} * least(n - i, n2 - i2) >= {similarity} * (n + n2)"
     postings = stored(posted.join(lists, "token"), "postings")
 
     # one verified link for each unit at most: to the least group of a list, else of its group
-    star = postings.where("gid > pivot").select(F.col("gid").alias("a"), F.col("pivot").alias("b")).distinct()
+    star = postings.where("gid > pivot").where(fits).select(F.col("gid").alias("a"), F.col("pivot").alias("b")).distinct()
     star = star.unionByName(members.where("uid > gid").select(F.col("uid").alias("a"), F.col("gid").alias("b")))
     near = _filtered(star, units, similarity).groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
     linked = stored(_verified(stored(near, "near"), units, texts, words, similarity), "linked")
@@ -198,16 +201,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # classes that meet in a list are tried by one pair each, other members every round,
     # until a round merges nothing: large classes never pair all their members
     sizes = units.select(F.col("uid").alias("gid"), F.col("n_shingles").alias("n"))
-    sharing = stored(postings.select("token", "gid").unionByName(members.where("uid <> gid").select(F.col("gid").alias("token"), "gid").distinct()), "sharing")
+    alike = members.where("uid <> gid").select("gid").distinct().join(sizes, "gid").select(F.col("gid").alias("token"), "gid", "n", F.lit(0).alias("i"))
+    sharing = stored(postings.select("token", "gid", "n", "i").unionByName(alike), "sharing")
     for turn in range(MERGE_ROUNDS):
         placed = stored(members.join(classes, F.col("uid") == F.col("node"), "left").select("uid", "gid", F.coalesce("component", "uid").alias("class")), "placed")
         heads = placed.groupBy("class").agg(F.count("*").alias("k"))
         kinds = placed.groupBy("gid", "class").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)), "uid"))["uid"].alias("uid")).join(heads, "class")
         meeting = sharing.join(kinds, "gid")
-        order = F.struct(-F.col("k"), F.col("class"), F.xxhash64("uid", F.pmod("token", F.lit(8)), F.lit(turn)), F.col("uid"))
-        mixed = meeting.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min(order).alias("low")).where("lo < hi").select("token", F.col("low.class").alias("class2"), F.col("low.uid").alias("b"))
-        meeting = stored(meeting.join(mixed, "token").join(sizes, "gid"), "meeting")
-        tried = meeting.where("class <> class2").select(F.col("uid").alias("a"), "b", "class", "class2").distinct()
+        order = F.struct(-F.col("k"), F.col("class"), F.xxhash64("uid", F.pmod("token", F.lit(8)), F.lit(turn)), F.col("uid"), F.col("n"), F.col("i"))
+        mixed = meeting.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min(order).alias("low")).where("lo < hi").select("token", F.col("low.class").alias("class2"), F.col("low.uid").alias("b"), F.col("low.n").alias("n2"), F.col("low.i").alias("i2"))
+        meeting = stored(meeting.join(mixed, "token"), "meeting")
+        tried = meeting.where("class <> class2").where(fits).select(F.col("uid").alias("a"), "b", "class", "class2").distinct()
         near = _filtered(tried.select("a", "b"), units, similarity).join(tried, ["a", "b"])
         near = near.groupBy(F.least("class", "class2"), F.greatest("class", "class2")).agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
         merged = stored(_verified(stored(near, "near"), units, texts, words, similarity), "merged")
@@ -217,9 +221,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes = stored(components(linked, "merge"), "classes")
 
     # then all pairs between classes that still differ and share a list or a group
-    meeting = meeting.select("token", "gid", "class", "n")
-    other = meeting.select("token", F.col("gid").alias("gid2"), F.col("class").alias("class2"), F.col("n").alias("n2"))
-    cross = meeting.join(other, "token").where(f"class < class2 and 100 * least(n, n2) >= {similarity} * greatest(n, n2)").select("gid", "class", "gid2", "class2").distinct()
+    meeting = meeting.select("token", "gid", "class", "n", "i")
+    other = meeting.select("token", F.col("gid").alias("gid2"), F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
+    cross = meeting.join(other, "token").where(f"class < class2 and {fits}").select("gid", "class", "gid2", "class2").distinct()
     pairs = cross.join(placed, ["gid", "class"]).select("gid2", "class2", F.col("uid").alias("a"))
     pairs = pairs.join(placed.select(F.col("gid").alias("gid2"), F.col("class").alias("class2"), F.col("uid").alias("b")), ["gid2", "class2"]).select("a", "b")
     rest = stored(_filtered(pairs, units, similarity).select("a", "b"), "rest")
