@@ -87,8 +87,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, terms:
     learn = lambda df: df.where("doc_id is not null and pmod(crc32(cast(doc_id as string)), 5) <> 0")
     marks = learn(labels.select("doc_id", "toxic")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, train_docs / max(1, marks.count()))
+    # the labels dealt are bounded by train_docs, so they go to the texts, not the texts to them
     dealt = F.expr(f"pmod(xxhash64(doc_id, 11), 1000000) < {int(share * 1_000_000)}")
-    rows = learn(docs.select("doc_id", "text")).where(dealt).join(marks.where(dealt), "doc_id").select("text", "toxic")
+    rows = learn(docs.select("doc_id", "text")).where(dealt).join(F.broadcast(marks.where(dealt)), "doc_id").select("text", "toxic")
 
     def count(batches):
         for pdf in batches:
