@@ -88,8 +88,9 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, train_docs: int = TRAI
     learn = lambda df: df.where("doc_id is not null and pmod(crc32(cast(doc_id as string)), 5) <> 0")
     marks = learn(ratings).where(f"grade between 0 and {grades - 1}").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     share = min(1.0, train_docs / max(1, marks.count()))
+    # the labels dealt are bounded by train_docs, so they go to the texts, not the texts to them
     dealt = F.expr(f"pmod(xxhash64(doc_id, 13), 1000000) < {int(share * 1_000_000)}")
-    rows = learn(docs.select("doc_id", "text")).where(dealt).join(marks.where(dealt), "doc_id").select("doc_id", "text", "grade")
+    rows = learn(docs.select("doc_id", "text")).where(dealt).join(F.broadcast(marks.where(dealt)), "doc_id").select("doc_id", "text", "grade")
 
     def terms(batches):
         for pdf in batches:
