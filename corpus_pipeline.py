@@ -37,7 +37,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pii", personal_data), ("packing", packing)]
 
-#: The learnt stages have no SQL; tests hold every stage against a plain version.
+#: The learnt stages have no SQL.
 ORACLE_SQL = None
 
 
