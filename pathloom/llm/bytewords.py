@@ -6,9 +6,10 @@ that makes a chunk of its own, so no text is ever cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 CHUNK_BYTES = 2_000_000
 
@@ -47,11 +48,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def encoded(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "replace")
+def encoded(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")
 
 
-def chunks(texts: Sequence[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+def arrow_texts(column: pa.Array, step: int = 256) -> Iterator[bytes | None]:
+    """The texts of an Arrow column as UTF-8, a few at a time."""
+    raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    for a in range(0, len(raw), step):
+        yield from raw.slice(a, step).to_pylist()
+
+
+def chunks(texts: Iterable[str | bytes | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, encoded texts) with about ``limit`` bytes each."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):

@@ -20,11 +20,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import NONSPACE, Words, chunks, mix
+from .bytewords import NONSPACE, Words, arrow_texts, chunks, mix
 from .components import components
 from .store import sized, stored
 
@@ -102,15 +102,18 @@ def frequent_shingles(texts: DataFrame, words: int, n_texts: int) -> np.ndarray:
     FREQUENT_SHARE members."""
 
     def report(batches):
-        for pdf in batches:
-            sets = list(shingle_sets(pdf["__text"].tolist(), words))
-            if sets:
-                found, count = np.unique(np.concatenate(sets), return_counts=True)
-                keep = count >= FREQUENT_LEAST
-                yield pd.DataFrame({"h": found[keep].view(np.int64), "c": count[keep]})
+        for batch in batches:
+            sets = list(shingle_sets(arrow_texts(batch.column("__text")), words))
+            held = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            del sets
+            held.sort()
+            # a hash stands FREQUENT_LEAST times where it equals the one so many places on
+            found = np.unique(held[: len(held) - FREQUENT_LEAST + 1][held[: len(held) - FREQUENT_LEAST + 1] == held[FREQUENT_LEAST - 1 :]]) if len(held) >= FREQUENT_LEAST else held[:0]
+            count = np.searchsorted(held, found, "right") - np.searchsorted(held, found)
+            yield pa.RecordBatch.from_pydict({"h": found.view(np.int64), "c": count.astype(np.int64)})
 
     floor = max(FREQUENT_LEAST, int(n_texts * FREQUENT_SHARE))
-    rows = texts.select("__text").mapInPandas(report, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= floor).select("h").toPandas()
+    rows = texts.select("__text").mapInArrow(report, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= floor).select("h").toPandas()
     return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -118,17 +121,18 @@ def _signed(texts: DataFrame, words: int, similarity: int, frequent: np.ndarray)
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def sign(batches):
-        for pdf in batches:
+        for batch in batches:
             n, uid, prefix, maps = [], [], [], []
-            for s in shingle_sets(pdf["__text"].tolist(), words, shared.value):
+            for s in shingle_sets(arrow_texts(batch.column("__text")), words, shared.value):
                 k = len(s)
                 n.append(k)
                 uid.append(int(mix((mix(s).sum(dtype=np.uint64) + np.uint64(k))[None]).view(np.int64)[0]) if k else None)
                 prefix.append(s[: k - _need(k, similarity) + 1].view(np.int64) if k else None)
                 maps.append(bitmap(s) if k else None)
-            yield pd.DataFrame({"__id": pdf["__id"].to_numpy(), "n_shingles": n, "uid": pd.array(uid, "Int64"), "prefix": prefix, "bitmap": maps})
+            columns = [batch.column("__id"), pa.array(n, pa.int64()), pa.array(uid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["__id", "n_shingles", "uid", "prefix", "bitmap"])
 
-    return texts.mapInPandas(sign, f"__id bigint, {_SIGNED}")
+    return texts.mapInArrow(sign, f"__id bigint, {_SIGNED}")
 
 
 def _verified(pairs: DataFrame, units: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
@@ -139,14 +143,14 @@ def _verified(pairs: DataFrame, units: DataFrame, texts: DataFrame, words: int,
     both = pairs.join(found.select(F.col("uid").alias("a"), F.col("__text").alias("s")), "a").join(found.select(F.col("uid").alias("b"), F.col("__text").alias("t")), "b")
 
     def verify(batches):
-        for pdf in batches:
+        for batch in batches:
             keep = []
-            for x, y in zip(shingle_sets(pdf["s"].tolist(), words), shingle_sets(pdf["t"].tolist(), words), strict=True):
+            for x, y in zip(shingle_sets(arrow_texts(batch.column("s")), words), shingle_sets(arrow_texts(batch.column("t")), words), strict=True):
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * shared >= similarity * (len(x) + len(y) - shared))
-            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInPandas(verify, "a bigint, b bigint")
+    return both.mapInArrow(verify, "a bigint, b bigint")
 
 
 def _filtered(pairs: DataFrame, units: DataFrame, similarity: int) -> DataFrame:

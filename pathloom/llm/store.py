@@ -20,12 +20,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Bytes of an Arrow batch while a table is written, unless the session sets its own.
+BATCH_BYTES = 8_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a lost executor
-    costs a read, not a recomputation."""
+    costs a read, not a recomputation.  Python stages get batches of bounded bytes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pathloom-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    own = spark.conf.get(_BATCH, None)
+    if own is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        if own is None:
+            spark.conf.unset(_BATCH)
     return spark.read.schema(df.schema).parquet(path)
 
 
