@@ -23,21 +23,28 @@ def shared_dir(spark: SparkSession) -> str:
 #: Bytes of an Arrow batch while a table is written, unless the session sets its own.
 BATCH_BYTES = 8_000_000
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Removes the shuffle files of a write once it is done: the table stands for them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a lost executor
-    costs a read, not a recomputation.  Python stages get batches of bounded bytes."""
+    costs a read, not a recomputation.  Python stages get batches of bounded bytes, and the
+    write's shuffle files go with its end, so that they never add up over many tables."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pathloom-{uuid.uuid4().hex}/{name}"
-    own = spark.conf.get(_BATCH, None)
-    if own is None:
+    own = {key: spark.conf.get(key, None) for key in (_BATCH, _CLEANUP)}
+    if own[_BATCH] is None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
+    spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
-        if own is None:
-            spark.conf.unset(_BATCH)
+        for key, value in own.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
