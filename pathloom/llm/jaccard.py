@@ -207,6 +207,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = units.select(F.col("uid").alias("gid"), F.col("n_shingles").alias("n"))
     alike = members.where("uid <> gid").select("gid").distinct().join(sizes, "gid").select(F.col("gid").alias("token"), "gid", "n", F.lit(0).alias("i"))
     sharing = stored(postings.select("token", "gid", "n", "i").unionByName(alike), "sharing")
+    # the last round's classes wait for the links that are still to come
+    stale = False
     for turn in range(MERGE_ROUNDS):
         placed = stored(members.join(classes, F.col("uid") == F.col("node"), "left").select("uid", "gid", F.coalesce("component", "uid").alias("class")), "placed")
         heads = placed.groupBy("class").agg(F.count("*").alias("k"))
@@ -222,7 +224,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not merged.take(1):
             break
         linked = linked.unionByName(merged)
-        classes = stored(components(linked, "merge"), "classes")
+        stale = turn + 1 == MERGE_ROUNDS
+        if not stale:
+            classes = stored(components(linked, "merge"), "classes")
 
     # then all pairs between classes that still differ and share a list or a group
     meeting = meeting.select("token", "gid", "class", "n", "i")
@@ -232,7 +236,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.join(placed.select(F.col("gid").alias("gid2"), F.col("class").alias("class2"), F.col("uid").alias("b")), ["gid2", "class2"]).select("a", "b")
     rest = stored(_filtered(pairs, units, similarity).select("a", "b"), "rest")
     across = stored(_verified(rest, units, texts, words, similarity), "across")
-    if across.take(1):
+    if stale or across.take(1):
         classes = components(linked.unionByName(across), "links")
 
     labelled = units.select("uid", "__id").join(classes, F.col("uid") == F.col("node"), "left").select("uid", "__id", F.coalesce("component", "uid").alias("class"))
