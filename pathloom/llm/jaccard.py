@@ -8,8 +8,8 @@
    only groups are posted under their prefix shingles.
 4. Each posting list proposes pairs with its least group only, so a list of k groups makes
    k pairs, not k * k.  Verified links make classes.
-5. Classes that meet in a list are tried against one of them by one pair each, for some
-   rounds, so that a large class is merged without pairing its members.
+5. Classes that meet in a list are tried against some members of the largest of them, for
+   some rounds, so that a large class is merged without pairing its members.
 6. What could still link two *different* classes is then enumerated in full from the same
    posting lists, filtered by size and by bitmaps (both never lose a link), and verified on
    the texts.  Classes joined by those links are the components.
@@ -36,6 +36,9 @@ FREQUENT_LEAST = 8
 #: Rounds in which classes that share a list are tried by one pair each; what they leave
 #: unmerged is enumerated in full.
 MERGE_ROUNDS = 3
+#: Members of a list's largest class that the others are tried against in a round: where
+#: only one pair in twenty of two classes links, a single one would hardly ever be it.
+TRIES = 16
 
 _TOP = np.uint64(1 << 63)
 _SIGNED = "n_shingles bigint, uid bigint, prefix array<bigint>, bitmap binary"
@@ -202,7 +205,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = stored(_verified(stored(near, "near"), units, texts, words, similarity), "linked")
     classes = stored(components(linked, "star"), "classes")
 
-    # classes that meet in a list are tried by one pair each, other members every round,
+    # classes that meet in a list are tried by a few pairs each, other members every round,
     # until a round merges nothing: large classes never pair all their members
     sizes = units.select(F.col("uid").alias("gid"), F.col("n_shingles").alias("n"))
     alike = members.where("uid <> gid").select("gid").distinct().join(sizes, "gid").select(F.col("gid").alias("token"), "gid", "n", F.lit(0).alias("i"))
@@ -214,10 +217,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         heads = placed.groupBy("class").agg(F.count("*").alias("k"))
         kinds = placed.groupBy("gid", "class").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)), "uid"))["uid"].alias("uid")).join(heads, "class")
         meeting = sharing.join(kinds, "gid")
-        order = F.struct(-F.col("k"), F.col("class"), F.xxhash64("uid", F.pmod("token", F.lit(8)), F.lit(turn)), F.col("uid"), F.col("n"), F.col("i"))
-        mixed = meeting.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min(order).alias("low")).where("lo < hi").select("token", F.col("low.class").alias("class2"), F.col("low.uid").alias("b"), F.col("low.n").alias("n2"), F.col("low.i").alias("i2"))
+        mixed = meeting.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min(F.struct(-F.col("k"), "class"))["class"].alias("class2")).where("lo < hi").select("token", "class2")
         meeting = stored(meeting.join(mixed, "token"), "meeting")
-        tried = meeting.where("class <> class2").where(fits).select(F.col("uid").alias("a"), "b", "class", "class2").distinct()
+        # the same few members in all lists, so that repeated pairs fall together
+        drawn = F.struct(F.xxhash64("uid", F.lit(turn), F.lit("drawn")), F.col("uid"), F.col("n"), F.col("i"))
+        pivots = meeting.where("class = class2").groupBy("token", F.pmod(F.xxhash64("uid", F.lit(turn), F.lit("slot")), F.lit(TRIES)).alias("slot")).agg(F.min(drawn).alias("p"))
+        pivots = pivots.select("token", F.col("p.uid").alias("b"), F.col("p.n").alias("n2"), F.col("p.i").alias("i2"))
+        tried = meeting.where("class <> class2").join(pivots, "token").where(fits).select(F.col("uid").alias("a"), "b", "class", "class2").distinct()
         near = _filtered(tried.select("a", "b"), units, similarity).join(tried, ["a", "b"])
         near = near.groupBy(F.least("class", "class2"), F.greatest("class", "class2")).agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
         merged = stored(_verified(stored(near, "near"), units, texts, words, similarity), "merged")
