@@ -154,6 +154,41 @@ def test_pii_base_spans(spark):
         assert got[i]["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in spans), i
 
 
+def made_private(n=400):
+    """Texts with one or two of a card, a telephone number, an address and a mail address."""
+    rnd = random.Random(8)
+
+    def card():
+        d = [rnd.randint(0, 9) for _ in range(15)]
+        return "".join(map(str, [*d, next(c for c in range(10) if (c + sum(x if k % 2 else sum(divmod(2 * x, 10)) for k, x in enumerate(reversed(d)))) % 10 == 0)]))
+
+    rows = []
+    for i in range(n):
+        found = [card(), f"+1 ({rnd.randint(200, 999)}) 555-{rnd.randint(1000, 9999)}", ".".join(str(rnd.randint(1, 255)) for _ in range(4)), f"joe{i}@site{i % 7}.com", str(rnd.randint(10**15, 10**16))]
+        rows.append((i, f"words {found[i % 5]} and {rnd.choice('abcdefg')} then {found[(i + 1) % 5]} go"))
+    return rows
+
+
+def added(spark, redactor, texts):
+    """What a redactor finds in each text, as (kind, value) in order."""
+    out = pii.personal_data(docs(spark, list(enumerate(texts))), redactor).collect()
+    found = {r["doc_id"]: sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)) for r in out}
+    return [[(k, t[a:b]) for a, b, k in found[i]] for i, t in enumerate(texts)]
+
+
+def test_pii_side_by_side(spark):
+    redactor = pii.fit(docs(spark, made_private()))
+    pairs = [
+        [("card", "7536784127813050"), ("card", "4845168114407329")],
+        [("", "2353820953013749"), ("card", "4550997810720808")],  # the first fails the check sum
+        [("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")],
+        [("phone", "+1 (843) 555-7672"), ("ip", "170.106.47.218")],
+    ]
+    assert added(spark, redactor, [f"Des {a[1]} {b[1]} du" for a, b in pairs]) == [[x for x in p if x[0]] for p in pairs]
+    (r,) = pii.personal_data(docs(spark, [(1, "Des 7536784127813050 4845168114407329 du")]), redactor).collect()
+    assert (r["n_card"], r["n_added"], r["base_sha256"]) == (0, 2, hashlib.sha256(b"").hexdigest())
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 16))
