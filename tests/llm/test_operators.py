@@ -164,7 +164,7 @@ def made_private(n=400):
 
     rows = []
     for i in range(n):
-        found = [card(), f"+1 ({rnd.randint(200, 999)}) 555-{rnd.randint(1000, 9999)}", ".".join(str(rnd.randint(1, 255)) for _ in range(4)), f"joe{i}@site{i % 7}.com", str(rnd.randint(10**15, 10**16))]
+        found = [card(), f"+1 ({rnd.randint(200, 999)}) 555-{rnd.randint(1000, 9999)}", ".".join(str(rnd.randint(1, 255)) for _ in range(4)), f"{rnd.choice(('al', 'joe', 'ann.lee', f'max{i}', 'maximilian.long'))}@{rnd.choice(('x.io', 'site.com', 'a-place.org', 'some.where.net', f's{i}.eu'))}", str(rnd.randint(10**15, 10**16))]
         rows.append((i, f"words {found[i % 5]} and {rnd.choice('abcdefg')} then {found[(i + 1) % 5]} go"))
     return rows
 
@@ -189,6 +189,18 @@ def test_pii_side_by_side(spark):
     assert (r["n_card"], r["n_added"], r["base_sha256"]) == (0, 2, hashlib.sha256(b"").hexdigest())
 
 
+def test_pii_disguises(spark):
+    redactor = pii.fit(docs(spark, made_private()))
+    given = [
+        ("email", "joe (AT) site (DOT) com"), ("email", "joe {AT} site.com"), ("email", "joe [At] site [Dot] com"), ("email", "joe at site dot com"),
+        ("ip", "2001:db8::8a2e:7334"), ("ip", "fe80::1a2b:3c4d:5e6f:7a8b"), ("ip", "2001:db8:85a3:1319:8a2e:370:7348:1f2"),
+        ("phone", "724-555-7058"), ("phone", "20 7946 0958"), ("phone", "01 42 68 53 00"), ("phone", "0171 555 934"),
+    ]
+    assert added(spark, redactor, [f"words {v} then" for _, v in given]) == [[x] for x in given]
+    prose = ["std::vector and a::b", "the years 1990-1995 and 2024-01-15", "look at site.com then", "it was at noon (at] home"]
+    assert added(spark, redactor, prose) == [[], [], [], []]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 16))
