@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import NONSPACE, Words, arrow_texts, chunks, mix
@@ -132,17 +132,17 @@ def _signed(texts: DataFrame, words: int, similarity: int, frequent: np.ndarray)
                 uid.append(int(mix((mix(s).sum(dtype=np.uint64) + np.uint64(k))[None]).view(np.int64)[0]) if k else None)
                 prefix.append(s[: k - _need(k, similarity) + 1].view(np.int64) if k else None)
                 maps.append(bitmap(s) if k else None)
-            columns = [batch.column("__id"), pa.array(n, pa.int64()), pa.array(uid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["__id", "n_shingles", "uid", "prefix", "bitmap"])
+            columns = [batch.column("__id"), batch.column("__key"), pa.array(n, pa.int64()), pa.array(uid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["__id", "__key", "n_shingles", "uid", "prefix", "bitmap"])
 
-    return texts.mapInArrow(sign, f"__id bigint, {_SIGNED}")
+    return texts.mapInArrow(sign, f"__id bigint, __key bigint, {_SIGNED}")
 
 
 def _verified(pairs: DataFrame, units: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
     """The pairs (a, b of uid) whose texts reach the similarity."""
     needed = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    needed = stored(units.select("uid", "__id").join(needed, "uid", "left_semi"), "needed")
-    found = stored(texts.join(sized(needed), "__id").select("uid", "__text").dropDuplicates(["uid"]), "texts")
+    needed = stored(units.select("uid", "__key").join(needed, "uid", "left_semi"), "needed")
+    found = stored(texts.join(sized(needed), "__key").select("uid", "__text").dropDuplicates(["uid"]), "texts")
     both = pairs.join(found.select(F.col("uid").alias("a"), F.col("__text").alias("s")), "a").join(found.select(F.col("uid").alias("b"), F.col("__text").alias("t")), "b")
 
     def verify(batches):
@@ -171,6 +171,11 @@ def _filtered(pairs: DataFrame, units: DataFrame, similarity: int) -> DataFrame:
     return both.mapInPandas(passes, "a bigint, b bigint, far bigint")
 
 
+def _key(id_col: str, text_col: str) -> Column:
+    """Names a row by its id, null or not, and its text: what was signed."""
+    return F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col))
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, similarity: int = 80) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, the smallest id that
     links of at least ``similarity`` percent reach, its own included.
@@ -180,13 +185,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component unless all ids there are null.  Other columns are not read.  A text is never
     cut; a very long one costs its own length.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"))
+    return _rows(docs, id_col, text_col, words, similarity).select(F.col("__id").alias(id_col), "n_shingles", F.coalesce("component_id", "__id").alias("component_id"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: int) -> DataFrame:
+    """One row per row of ``docs``: __id, __key, n_shingles, class (null without shingles)
+    and component_id (null if all ids of the class are)."""
+    texts = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"), _key(id_col, text_col).alias("__key"))
     frequent = frequent_shingles(texts, words, texts.count())
     signed = stored(_signed(texts, words, similarity, frequent), "signed")
     named = signed.where("uid is not null")
     first = named.groupBy("uid").agg(F.min("__id").alias("least"))
     lead = named.join(first, "uid").where("__id <=> least")
-    units = stored(lead.dropDuplicates(["uid"]).select("uid", "__id", "n_shingles", "prefix", "bitmap", F.xxhash64("n_shingles", "prefix").alias("gkey")), "units")
+    units = stored(lead.dropDuplicates(["uid"]).select("uid", "__id", "__key", "n_shingles", "prefix", "bitmap", F.xxhash64("n_shingles", "prefix").alias("gkey")), "units")
     groups = units.groupBy("gkey").agg(F.min("uid").alias("gid"))
     members = stored(units.select("uid", "gkey").join(groups, "gkey").select("uid", "gid"), "members")
     led = stored(members.where("uid <> gid").select("uid"), "led")
@@ -247,18 +258,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     labelled = units.select("uid", "__id").join(classes, F.col("uid") == F.col("node"), "left").select("uid", "__id", F.coalesce("component", "uid").alias("class"))
     least = labelled.groupBy("class").agg(F.min("__id").alias("component_id"))
-    names = labelled.join(least, "class").select("uid", "component_id")
-    out = signed.select("__id", "n_shingles", "uid").join(names, "uid", "left")
-    return out.select(F.col("__id").alias(id_col), "n_shingles", F.coalesce("component_id", "__id").alias("component_id"))
+    names = labelled.join(least, "class").select("uid", "class", "component_id")
+    return signed.select("__id", "__key", "n_shingles", "uid").join(names, "uid", "left").drop("uid")
 
 
 def keep_one(docs: DataFrame, similarity: int = 80) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest doc_id.  Rows
-    that repeat that id stay once."""
-    found = jaccard_classes(docs, similarity=similarity)
-    kept = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("k"))
-    kept = stored(kept, "kept")
-    once = docs.join(kept.where("k = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(kept.where("k > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
+    """``docs`` with one document of each class: one with the smallest doc_id, or none
+    where all are null.  Rows that repeat that id and the text stay once.  Texts without
+    shingles are of no class and stay; those that repeat an id and the text, once."""
+    rows = stored(_rows(docs, "doc_id", "text", SHINGLE_WORDS, similarity).select("__id", "__key", "class"), "rows")
+    least = rows.where("class is not null").groupBy("class").agg(F.min_by("__key", F.struct(F.col("__id").isNull(), "__id", "__key")).alias("__key")).select("__key")
+    blank = rows.where("class is null and __id is not null").select("__key").distinct()
+    kept = stored(rows.groupBy("__key").agg(F.count("*").alias("k")).join(least.unionByName(blank), "__key", "left_semi"), "kept")
+    keyed = docs.withColumn("__key", _key("doc_id", "text"))
+    once = keyed.join(kept.where("k = 1").select("__key"), "__key", "left_semi")
+    again = keyed.join(kept.where("k > 1").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
+    nameless = keyed.where(r"doc_id is null and (text is null or not text rlike '[^\\x09-\\x0D ]')")
     return once.unionByName(again).unionByName(nameless).select(*docs.columns)

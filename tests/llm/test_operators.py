@@ -47,6 +47,22 @@ def test_jaccard(spark):
     assert jaccard.jaccard_classes(docs(spark, [])).count() == 0
 
 
+def test_jaccard_ids_null_or_repeated(spark):
+    def text(name, first=0, n=60):
+        return " ".join(f"{name}{k}" for k in range(first, first + n))
+
+    # 5 and 6 link by way of a text without id only; 7 stands for two texts
+    rows = [(6, text("a")), (None, text("a", 5)), (5, text("a", 10)), (7, text("x")), (7, text("y")), (8, text("x", 2)), (9, text("y", 2)), (3, text("y", 4))]
+    rows += [(None, text("z")), (None, text("z")), (None, text("z", 1)), (None, None), (None, " ")]
+    table = docs(spark, rows)
+    got = sorted(map(str, ((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_classes(table).collect())))
+    assert got == sorted(map(str, [(6, 5), (None, 5), (5, 5), (7, 7), (7, 3), (8, 7), (9, 3), (3, 3), *[(None, None)] * 5]))
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(table).collect()]
+    named = {k for k in kept if k[0] is not None}
+    assert named == {(5, text("a", 10)), (7, text("x")), (3, text("y", 4))}
+    assert sorted((t or "")[:1] for i, t in kept if i is None) == ["", " ", "z"] and len(kept) == 6
+
+
 def test_contamination(spark):
     rnd = random.Random(2)
     items = [(i, " ".join(rnd.choice("abcdé") for _ in range(rnd.randint(0, 14)))) for i in range(5)] + [(9, None)]
