@@ -53,7 +53,7 @@ RULES = [
 # Where a sentence ends: a full stop, semicolon, colon or mark with white space behind it, or
 # a blank line; licence texts wrap lines inside sentences, so a single line end is none ...
 ENDS = "[.;:!?](?=[ \\t\\r\\n]|$)|\\n[ \\t\\r]*\\n"
-# ... but a line may also be a sentence by itself.
+# ... but a line may also be a sentence by itself.  Both readings count.
 LINES = "\\n+"
 
 
@@ -75,11 +75,19 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     table = "map(" + ", ".join(f"{_quoted(s)}, {_quoted(k)}" for k, s in SENTENCES.items()) + ")"
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    named = lambda by: f"filter(transform(split(t, {_quoted(by)}, -1), x -> element_at({table}, {_normal('x')})), x -> x is not null)"
+    none = "cast(array() as array<struct<s:int,k:string>>)"
+
+    def named(by: str) -> str:
+        """SQL for the known sentences of a reading, and where the first letter of each stands."""
+        parts = f"named_struct('p', split(t, {_quoted(by)}, -1), 'd', regexp_extract_all(t, {_quoted(by)}, 0))"
+        hit = "concat(a.out, array(named_struct('s', a.at + length(regexp_extract(f.p[i], '^[^A-Za-z0-9]*', 0)), 'k', x)))"
+        step = f"transform(array(element_at({table}, {_normal('f.p[i]')})), x -> named_struct('at', a.at + length(f.p[i]) + coalesce(length(get(f.d, i)), 0), 'out', case when x is not null then {hit} else a.out end))[0]"
+        return f"transform(array({parts}), f -> aggregate(sequence(0, size(f.p) - 1), named_struct('at', 0, 'out', {none}), (a, i) -> {step}, a -> a.out))[0]"
+
     worth = "lower(t) rlike 'licen[sc]e|released|permi|redistribut|software|copyright'"
-    rows = rows.select("doc_id", F.expr(f"case when {worth} then {named(ENDS)} else cast(array() as array<string>) end").alias("a"), F.expr(f"case when {worth} then {named(LINES)} else cast(array() as array<string>) end").alias("b"))
-    # the reading by lines counts where it knows more sentences than the reading by ends
-    rows = rows.select("doc_id", F.expr("case when size(b) > size(a) then b else a end").alias("ids"))
+    rows = rows.select("doc_id", F.expr(f"case when {worth} then {named(ENDS)} else {none} end").alias("a"), F.expr(f"case when {worth} then {named(LINES)} else {none} end").alias("b"))
+    # what both readings know stands at the same place and counts once
+    rows = rows.select("doc_id", F.expr("transform(array_sort(array_distinct(concat(a, b))), x -> x.k)").alias("ids"))
     chain = "concat(',', array_join(ids, ','), ',')"
     hits = ", ".join(f"case when instr({chain}, {_quoted(',' + ','.join(rule) + ',')}) > 0 then {_quoted(name)} end" for name, rule in RULES)
     return rows.select("doc_id", F.expr(f"array_join(array_sort(array_distinct(filter(array({hits}), x -> x is not null))), ',')").alias("licences"), F.expr("array_join(ids, ',')").alias("sentences"), F.size("ids").cast("bigint").alias("n_sentences"))

@@ -258,6 +258,17 @@ def test_html():
         assert abs((up - down) / 2e-5 - g[name][at]) < 1e-6
 
 
+def test_licences_of_mixed_layouts(spark):
+    line, wrapped = "Released under the MIT License", "Licensed under the Apache License,\nVersion 2.0."
+    both = "This work is licensed under the GNU General Public License, version 3.\n"
+    rows = [(1, f"é x.\n{line}\nmore words\n\n{wrapped} y"), (2, f"{wrapped}\nwords\n{line}\nwords"), (3, f"{both}\n{both}{line}\nx. {wrapped}"), (4, both)]
+    got = {r["doc_id"]: (r["licences"], r["sentences"], r["n_sentences"]) for r in licenses.licences(docs(spark, rows)).collect()}
+    assert got == {
+        1: ("Apache-2.0,MIT", "mit-short,apache-short", 2), 2: ("Apache-2.0,MIT", "apache-short,mit-short", 2),
+        3: ("Apache-2.0,GPL-3.0,MIT", "gpl3-work,gpl3-work,mit-short,apache-short", 4), 4: ("GPL-3.0", "gpl3-work", 1),
+    }
+
+
 def test_licences_and_preferences(spark):
     text = "Foo. Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
     got = {r["doc_id"]: r["licences"] for r in licenses.licences(docs(spark, AWKWARD + [(30, text), (31, "x\nReleased under the MIT License.\ny")])).collect()}
