@@ -24,10 +24,10 @@ def page(result: DataFrame, start: int, n: int, prop: str, desc: bool = False) -
     return sort_by(result, prop, desc).offset(start).limit(n)
 
 
-def with_row_index(result: DataFrame, prop: str, desc: bool = False) -> DataFrame:
+def with_row_index(result: DataFrame, prop: str, desc: bool = False, prev: list[str] | None = None) -> DataFrame:
     """A row_index from 0 over the whole order, without a single-task window: ranges are
     sorted in parallel, counted, and each range starts where the one before it ends."""
-    order = sort_keys(prop, desc)
+    order = sort_keys(prop, desc, prev)
     parts = int(result.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = result.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
     # written once, so that counts and rows see the same ranges

@@ -339,6 +339,11 @@ def g6(spark, sf_dir):
     return R.top(orders_catalog(spark, sf_dir), 2000, "type", prev=order.CHAINS["size"]).select("path")
 
 
+@query("g4_g6_sort_type_all", duck.entries() + _kinds + f" SELECT entries.path, row_number() OVER (ORDER BY is_folder DESC, CASE WHEN is_folder THEN '' ELSE coalesce(label, 'Unknown Type') END, size, {_n}, {_p}, entries.path) - 1 AS row_index FROM entries LEFT JOIN kinds ON {duck.fold('entries.ext')} = kinds.ext")
+def g6_all(spark, sf_dir):
+    return R.with_row_index(orders_catalog(spark, sf_dir), "type", prev=order.CHAINS["size"]).select("path", "row_index")
+
+
 @query("g9_page", duck.entries() + f"SELECT path FROM entries ORDER BY is_folder DESC, {_n}, {_p}, path LIMIT 50 OFFSET 100")
 def g9(spark, sf_dir):
     return R.page(orders_catalog(spark, sf_dir), 100, 50, "name").select("path")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pathloom.operators import changes as C
 from pathloom.operators import rules as B
 from pathloom.operators import tree as T
+from pathloom.plans import queries as plans
 from pathloom.sources import inventory, snapshot
 from pathloom.streaming import feed
 
@@ -63,3 +64,15 @@ def test_stream_is_batch(spark, tmp_path):
     n = len(list((tmp_path / "cat").iterdir()))
     final = C.fold(df, df.select(*T.CORE).where("false"))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / f"cat/v{n}")).collect())) == sorted(map(tuple, final.collect()))
+
+
+def test_type_order_of_all_entries(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    with duckdb.connect() as db:
+        for name in ("orders", "customer", "nation", "region", "lineitem", "documents", "pages"):
+            db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+        want = db.execute(plans.ORACLES["g4_g6_sort_type_all"]).fetchall()
+    got = [tuple(r) for r in plans.QUERIES["g4_g6_sort_type_all"](spark, folder).collect()]
+    assert sorted(got) == sorted(want) and sorted(i for _, i in got) == list(range(len(got)))
