@@ -6,6 +6,7 @@ that makes a chunk of its own, so no text is ever cut.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,8 +14,11 @@ import pyarrow as pa
 
 CHUNK_BYTES = 2_000_000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: A longer span is hashed by itself, not in step with the others.
+LONG_BYTES = 256
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+# by number of bytes: what a load of eight keeps of a span that ends inside it
+_ENDS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -25,20 +29,6 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 NONSPACE = np.ones(256, bool)
 NONSPACE[[32, 9, 10, 11, 12, 13]] = False
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES * 2)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit over all output bits."""
     x = x ^ (x >> np.uint64(30))
@@ -48,6 +38,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans of ``raw``: equal bytes give equal hashes wherever they
+    stand.  Eight bytes at a time go through ``mix``, so no pattern of bytes cancels out,
+    as it can in a polynomial modulo a power of two."""
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    eights = np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+    size = end - start
+    h = mix(size.astype(np.uint64) * _STEP + _STEP)
+    live = np.flatnonzero((size > 0) & (size <= LONG_BYTES))
+    at, left, part = start[live], size[live], h[live]
+    while len(live):
+        part = mix((part ^ (eights[at] & _ENDS[np.minimum(left, 8)])) * _STEP + _STEP)
+        ends = left <= 8
+        h[live[ends]] = part[ends]
+        more = ~ends
+        live, at, left, part = live[more], at[more] + 8, left[more] - 8, part[more]
+    for k in np.flatnonzero(size > LONG_BYTES):
+        h[k] = int.from_bytes(hashlib.blake2b(raw[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 def encoded(text: str | bytes | None) -> bytes:
     return text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")
 
@@ -88,14 +99,10 @@ class Words:
         self.text_start = np.concatenate(([0], np.cumsum(sizes)))
         self.first = np.searchsorted(self.start, self.text_start)
         self.counts = np.diff(self.first)
-        up, self._down = powers(len(self.bytes))
-        self._sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)))
         self.hash = self.span_hash(self.start, self.end)
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte spans; equal bytes give equal hashes wherever they stand."""
-        raw = (self._sums[end] - self._sums[start]) * self._down[start]
-        return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return span_hashes(self.bytes, start, end)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)

@@ -6,13 +6,15 @@
    prefix.
 3. Equal sets collapse to one unit, units with the same size and prefix to one group, and
    only groups are posted under their prefix shingles.
-4. Each posting list proposes pairs with its least group only, so a list of k groups makes
-   k pairs, not k * k.  Verified links make classes.
-5. Classes that meet in a list are tried against some members of the largest of them, for
-   some rounds, so that a large class is merged without pairing its members.
-6. What could still link two *different* classes is then enumerated in full from the same
-   posting lists, filtered by size and by bitmaps (both never lose a link), and verified on
-   the texts.  Classes joined by those links are the components.
+4. In each posting list all groups are tried against its PIVOTS least ones; each unit's
+   closest candidate by bitmaps is verified on the texts.  Such links lead from larger to
+   smaller names, so classes are the ends of chains.
+5. In lists with more groups than that, what is not of the list's largest class meets this
+   class as a whole: units against slices of its members, a block of bounded size of both in
+   each task, which finds one link in a slice by an inverted index over the shingles.
+6. What could still link two *different* classes is enumerated, filtered by size and by
+   bitmaps (both never lose a link), and verified on the texts.  Classes joined by those
+   links are the components.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import NONSPACE, Words, arrow_texts, chunks, mix
@@ -33,15 +36,16 @@ SHINGLE_WORDS = 5
 FREQUENT_SHARE = 1 / 2000
 #: ... and from this many of them; a batch reports those it holds as often.
 FREQUENT_LEAST = 8
-#: Rounds in which classes that share a list are tried by one pair each; what they leave
-#: unmerged is enumerated in full.
-MERGE_ROUNDS = 3
-#: Members of a list's largest class that the others are tried against in a round: where
-#: only one pair in twenty of two classes links, a single one would hardly ever be it.
-TRIES = 16
+#: Groups of a posting list that all its groups are tried against.
+PIVOTS = 8
+#: Shingles of a class that one task holds, about, and of the units that meet them there.
+SLICE_SHINGLES = 250_000
+BLOCK_SHINGLES = 1_000_000
+#: Sets of shingles that a task remembers, to describe copies once only.
+REMEMBERED = 1_000_000
 
 _TOP = np.uint64(1 << 63)
-_SIGNED = "n_shingles bigint, uid bigint, prefix array<bigint>, bitmap binary"
+_SIGNED = "__id bigint, __key bigint, n_shingles bigint, uid bigint, prefix array<bigint>, bitmap binary"
 
 
 def shingle_sets(texts, words: int, frequent: np.ndarray | None = None) -> Iterator[np.ndarray]:
@@ -121,29 +125,43 @@ def frequent_shingles(texts: DataFrame, words: int, n_texts: int) -> np.ndarray:
 
 
 def _signed(texts: DataFrame, words: int, similarity: int, frequent: np.ndarray) -> DataFrame:
+    """The rows of ``texts`` by id and key, each with the size of its set and the set's
+    name; prefix and bitmap only where a task meets the set for the first time."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def sign(batches):
+        seen: set[int] = set()
         for batch in batches:
             n, uid, prefix, maps = [], [], [], []
             for s in shingle_sets(arrow_texts(batch.column("__text")), words, shared.value):
                 k = len(s)
+                name = int(mix((mix(s).sum(dtype=np.uint64) + np.uint64(k))[None]).view(np.int64)[0]) if k else None
+                new = k > 0 and name not in seen
+                if new:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(name)
                 n.append(k)
-                uid.append(int(mix((mix(s).sum(dtype=np.uint64) + np.uint64(k))[None]).view(np.int64)[0]) if k else None)
-                prefix.append(s[: k - _need(k, similarity) + 1].view(np.int64) if k else None)
-                maps.append(bitmap(s) if k else None)
+                uid.append(name)
+                prefix.append(s[: k - _need(k, similarity) + 1].view(np.int64) if new else None)
+                maps.append(bitmap(s) if new else None)
             columns = [batch.column("__id"), batch.column("__key"), pa.array(n, pa.int64()), pa.array(uid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["__id", "__key", "n_shingles", "uid", "prefix", "bitmap"])
 
-    return texts.mapInArrow(sign, f"__id bigint, __key bigint, {_SIGNED}")
+    # the number tells rows apart that repeat an id and a text; once stored it stays
+    return texts.mapInArrow(sign, _SIGNED).withColumn("row", F.monotonically_increasing_id())
+
+
+def _texts(uids: DataFrame, units: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of some units: (uid, text)."""
+    needed = stored(units.select("uid", "__key").join(uids.distinct(), "uid", "left_semi"), "needed")
+    return stored(texts.join(sized(needed), "__key").select("uid", F.col("__text").alias("text")).dropDuplicates(["uid"]), "texts")
 
 
 def _verified(pairs: DataFrame, units: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
     """The pairs (a, b of uid) whose texts reach the similarity."""
-    needed = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    needed = stored(units.select("uid", "__key").join(needed, "uid", "left_semi"), "needed")
-    found = stored(texts.join(sized(needed), "__key").select("uid", "__text").dropDuplicates(["uid"]), "texts")
-    both = pairs.join(found.select(F.col("uid").alias("a"), F.col("__text").alias("s")), "a").join(found.select(F.col("uid").alias("b"), F.col("__text").alias("t")), "b")
+    found = _texts(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))), units, texts)
+    both = pairs.join(found.select(F.col("uid").alias("a"), F.col("text").alias("s")), "a").join(found.select(F.col("uid").alias("b"), F.col("text").alias("t")), "b")
 
     def verify(batches):
         for batch in batches:
@@ -171,6 +189,61 @@ def _filtered(pairs: DataFrame, units: DataFrame, similarity: int) -> DataFrame:
     return both.mapInPandas(passes, "a bigint, b bigint, far bigint")
 
 
+class Members:
+    """An inverted index over the shingles of some sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        shingle, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        by = np.argsort(shingle, kind="stable")
+        self.owner = owner[by]
+        self.shingle, self.first = np.unique(shingle[by], return_index=True)
+        self.first = np.append(self.first, len(shingle))
+
+    def shared(self, s: np.ndarray) -> np.ndarray:
+        """How many shingles of ``s`` each set holds."""
+        at = np.minimum(np.searchsorted(self.shingle, s), len(self.shingle) - 1)
+        at = at[self.shingle[at] == s]
+        size = self.first[at + 1] - self.first[at]
+        rows = np.arange(int(size.sum())) + np.repeat(self.first[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
+        return np.bincount(self.owner[rows], minlength=len(self.size))
+
+
+def _in_blocks(meeting: DataFrame, hubs: DataFrame, units: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Links of units with classes that they meet as a whole: (a of uid, b of uid), at least
+    one for each unit and class that any link joins.
+
+    ``meeting`` (uid, hub) and ``hubs`` (uid, hub: the class's members) are dealt to slices
+    and blocks of about SLICE_SHINGLES and BLOCK_SHINGLES by a hash of the uid; each block
+    of units meets each slice of their class in a task of its own.
+    """
+    sizes = units.select("uid", F.col("n_shingles").alias("n"))
+    meeting, hubs = meeting.join(sizes, "uid"), hubs.join(sizes, "uid")
+    parts = lambda rows, c, most: rows.groupBy("hub").agg(F.ceil(F.sum("n") / most).cast("int").alias(c))
+    dealt = stored(parts(meeting, "blocks", BLOCK_SHINGLES).join(parts(hubs, "slices", SLICE_SHINGLES), "hub"), "dealt")
+    found = _texts(meeting.select("uid").unionByName(hubs.select("uid")), units, texts)
+
+    def rows(side: DataFrame, own: str, other: str) -> DataFrame:
+        row = side.join(dealt, "hub").withColumn(own[:-1], F.pmod(F.xxhash64("uid", F.lit(own)), F.col(own)))
+        return row.withColumn(other[:-1], F.explode(F.expr(f"sequence(0, {other} - 1)"))).select("hub", F.col("slice").cast("int").alias("slice"), F.col("block").cast("int").alias("block"), "uid").join(found.toDF("uid", "text"), "uid")
+
+    def meet(key, few, many):
+        out = {"a": [], "b": []}
+        if len(few) and len(many):
+            encoded = lambda pdf: (t.encode("utf-8", "replace") for t in pdf["text"])
+            index = Members(list(shingle_sets(encoded(many), words)))
+            for name, s in zip(few["uid"], shingle_sets(encoded(few), words), strict=True):
+                both = index.shared(s)
+                hit = np.flatnonzero(100 * both >= similarity * (index.size + len(s) - both))
+                if len(hit):
+                    out["a"].append(name)
+                    out["b"].append(many["uid"].iloc[hit[0]])
+        return pd.DataFrame(out, dtype="int64")
+
+    by = ("hub", "slice", "block")
+    return rows(meeting, "blocks", "slices").groupBy(*by).cogroup(rows(hubs, "slices", "blocks").groupBy(*by)).applyInPandas(meet, "a bigint, b bigint")
+
+
 def _key(id_col: str, text_col: str) -> Column:
     """Names a row by its id, null or not, and its text: what was signed."""
     return F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col))
@@ -194,72 +267,89 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: i
     texts = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"), _key(id_col, text_col).alias("__key"))
     frequent = frequent_shingles(texts, words, texts.count())
     signed = stored(_signed(texts, words, similarity, frequent), "signed")
-    named = signed.where("uid is not null")
-    first = named.groupBy("uid").agg(F.min("__id").alias("least"))
-    lead = named.join(first, "uid").where("__id <=> least")
-    units = stored(lead.dropDuplicates(["uid"]).select("uid", "__id", "__key", "n_shingles", "prefix", "bitmap", F.xxhash64("n_shingles", "prefix").alias("gkey")), "units")
-    groups = units.groupBy("gkey").agg(F.min("uid").alias("gid"))
-    members = stored(units.select("uid", "gkey").join(groups, "gkey").select("uid", "gid"), "members")
-    led = stored(members.where("uid <> gid").select("uid"), "led")
-    leaders = units.join(sized(led), "uid", "left_anti")
-    posted = leaders.select(F.col("uid").alias("gid"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("i", "token"))
-    lists = posted.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("gid", "n", "i")).alias("p")).where("k > 1").select("token", F.col("p.gid").alias("pivot"), F.col("p.n").alias("n2"), F.col("p.i").alias("i2"))
+
+    # equal sets make a unit, units with the same size and prefix a group
+    held = signed.where("prefix is not null")
+    names = held.groupBy("uid").agg(F.min("row").alias("row"), F.min(F.xxhash64("n_shingles", "prefix")).alias("gkey"))
+    members = names.join(names.groupBy("gkey").agg(F.min("uid").alias("gid")), "gkey").select("uid", "gid", "row")
+    units = stored(held.join(members, ["uid", "row"]).select("uid", "gid", "__key", "n_shingles", "prefix", "bitmap"), "units")
+    members = units.select("uid", "gid")
+
+    # groups are posted under their prefix shingles; a shingle of one group is no list
+    posted = units.where("uid = gid").select("gid", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("i", "token"))
+    lists = posted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    postings = stored(posted.join(lists, "token"), "postings")
     # what two sets can still share from their first common shingle on, at places i and i2
     # of the order, must do for the similarity (and bounds their sizes too)
     fits = f"{100 + similarity} * least(n - i, n2 - i2) >= {similarity} * (n + n2)"
-    postings = stored(posted.join(lists, "token"), "postings")
-
-    # one verified link for each unit at most: to the least group of a list, else of its group
-    star = postings.where("gid > pivot").where(fits).select(F.col("gid").alias("a"), F.col("pivot").alias("b")).distinct()
-    star = star.unionByName(members.where("uid > gid").select(F.col("uid").alias("a"), F.col("gid").alias("b")))
-    near = _filtered(star, units, similarity).groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+    least = postings.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy("gid"))).where(F.col("place") <= PIVOTS)
+    least = least.select("token", F.col("gid").alias("gid2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
+    met = postings.join(least, "token").where(f"gid <> gid2 and {fits}").select(F.greatest("gid", "gid2").alias("a"), F.least("gid", "gid2").alias("b")).distinct()
+    alike = members.where("uid <> gid").select(F.col("uid").alias("a"), F.col("gid").alias("b"))
+    met = stored(met.unionByName(alike), "met")
+
+    # one verified link for each unit at most, to the closest of those
+    near = _filtered(met, units, similarity).groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
     linked = stored(_verified(stored(near, "near"), units, texts, words, similarity), "linked")
-    classes = stored(components(linked, "star"), "classes")
-
-    # classes that meet in a list are tried by a few pairs each, other members every round,
-    # until a round merges nothing: large classes never pair all their members
-    sizes = units.select(F.col("uid").alias("gid"), F.col("n_shingles").alias("n"))
-    alike = members.where("uid <> gid").select("gid").distinct().join(sizes, "gid").select(F.col("gid").alias("token"), "gid", "n", F.lit(0).alias("i"))
-    sharing = stored(postings.select("token", "gid", "n", "i").unionByName(alike), "sharing")
-    # the last round's classes wait for the links that are still to come
-    stale = False
-    for turn in range(MERGE_ROUNDS):
-        placed = stored(members.join(classes, F.col("uid") == F.col("node"), "left").select("uid", "gid", F.coalesce("component", "uid").alias("class")), "placed")
-        heads = placed.groupBy("class").agg(F.count("*").alias("k"))
-        kinds = placed.groupBy("gid", "class").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)), "uid"))["uid"].alias("uid")).join(heads, "class")
-        meeting = sharing.join(kinds, "gid")
-        mixed = meeting.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min(F.struct(-F.col("k"), "class"))["class"].alias("class2")).where("lo < hi").select("token", "class2")
-        meeting = stored(meeting.join(mixed, "token"), "meeting")
-        # the same few members in all lists, so that repeated pairs fall together
-        drawn = F.struct(F.xxhash64("uid", F.lit(turn), F.lit("drawn")), F.col("uid"), F.col("n"), F.col("i"))
-        pivots = meeting.where("class = class2").groupBy("token", F.pmod(F.xxhash64("uid", F.lit(turn), F.lit("slot")), F.lit(TRIES)).alias("slot")).agg(F.min(drawn).alias("p"))
-        pivots = pivots.select("token", F.col("p.uid").alias("b"), F.col("p.n").alias("n2"), F.col("p.i").alias("i2"))
-        tried = meeting.where("class <> class2").join(pivots, "token").where(fits).select(F.col("uid").alias("a"), "b", "class", "class2").distinct()
-        near = _filtered(tried.select("a", "b"), units, similarity).join(tried, ["a", "b"])
-        near = near.groupBy(F.least("class", "class2"), F.greatest("class", "class2")).agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
-        merged = stored(_verified(stored(near, "near"), units, texts, words, similarity), "merged")
-        if not merged.take(1):
+    placed = stored(_placed(members, _ends(linked)), "placed")
+
+    # in long lists all that is not of the largest class meets that class
+    long = postings.where(f"k > {PIVOTS + 1}").select("token", "gid", "n", "i")
+    rows = long.join(placed, "gid").select("token", "gid", "uid", "class", "n", "i")
+    # the members of a group are a list of their own
+    group = members.join(members.groupBy("gid").agg(F.count("*").alias("k")).where("k > 2").select("gid"), "gid", "left_semi")
+    group = group.join(units.select("uid", F.col("n_shingles").alias("n")), "uid").join(placed.select("uid", "class"), "uid")
+    rows = stored(rows.unionByName(group.select(F.col("gid").alias("token"), "gid", "uid", "class", "n", F.lit(0).alias("i"))), "rows")
+    hub = rows.groupBy("token", "class").agg(F.count("*").alias("k")).groupBy("token").agg(F.min(F.struct(-F.col("k"), "class"))["class"].alias("hub"), F.count("*").alias("classes")).where("classes > 1").select("token", "hub")
+    rows = stored(rows.join(hub, "token"), "mixed")
+    hubs = stored(rows.where("class = hub").select("uid", "hub").distinct(), "hubs")
+    outside = stored(rows.where("class <> hub").select("uid", "hub").distinct(), "outside")
+    joined = _classwise(stored(_in_blocks(outside, hubs, units, texts, words, similarity), "blocks"), placed)
+    merged = stored(_merged(placed, components(joined, "merge")), "merged")
+
+    # all other pairs of different classes that share a list or a group
+    left = rows.where("class <> hub").drop("class", "hub").join(merged.select("uid", "class"), "uid")
+    mixed = left.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token")
+    left = stored(left.join(mixed, "token", "left_semi"), "left")
+    other = left.select("token", F.col("uid").alias("uid2"), F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
+    cross = left.join(other, "token").where(f"class < class2 and {fits}").select(F.col("uid").alias("a"), F.col("uid2").alias("b"))
+    side = lambda c, k: merged.select(F.col("gid").alias(f"g{c}"), F.col("uid").alias(c), F.col("class").alias(k))
+    apart = met.select(F.col("a").alias("ga"), F.col("b").alias("gb")).join(side("a", "class"), "ga").join(side("b", "class2"), "gb").where("class <> class2")
+    rest = cross.unionByName(apart.select("a", "b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    across = stored(_verified(stored(_filtered(rest, units, similarity).select("a", "b"), "rest"), units, texts, words, similarity), "across")
+    final = _merged(merged, components(_classwise(across, merged), "links"))
+
+    labelled = stored(final.select("uid", "class"), "labelled")
+    least = signed.select("uid", "__id").join(labelled, "uid").groupBy("class").agg(F.min("__id").alias("component_id"))
+    return signed.select("__id", "__key", "n_shingles", "uid").join(labelled.join(least, "class"), "uid", "left").drop("uid")
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    """``links`` (a, b; each a once, b less than a) -> (node, component): where each chain
+    of links ends.  Chains halve each round, by one join of the table with itself."""
+    tree = stored(links.select(F.col("a").alias("node"), F.col("b").alias("component"), F.lit(True).alias("moved")), "chains-0")
+    for i in range(1, 64):
+        if not tree.where("moved").take(1):
             break
-        linked = linked.unionByName(merged)
-        stale = turn + 1 == MERGE_ROUNDS
-        if not stale:
-            classes = stored(components(linked, "merge"), "classes")
-
-    # then all pairs between classes that still differ and share a list or a group
-    meeting = meeting.select("token", "gid", "class", "n", "i")
-    other = meeting.select("token", F.col("gid").alias("gid2"), F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
-    cross = meeting.join(other, "token").where(f"class < class2 and {fits}").select("gid", "class", "gid2", "class2").distinct()
-    pairs = cross.join(placed, ["gid", "class"]).select("gid2", "class2", F.col("uid").alias("a"))
-    pairs = pairs.join(placed.select(F.col("gid").alias("gid2"), F.col("class").alias("class2"), F.col("uid").alias("b")), ["gid2", "class2"]).select("a", "b")
-    rest = stored(_filtered(pairs, units, similarity).select("a", "b"), "rest")
-    across = stored(_verified(rest, units, texts, words, similarity), "across")
-    if stale or across.take(1):
-        classes = components(linked.unionByName(across), "links")
-
-    labelled = units.select("uid", "__id").join(classes, F.col("uid") == F.col("node"), "left").select("uid", "__id", F.coalesce("component", "uid").alias("class"))
-    least = labelled.groupBy("class").agg(F.min("__id").alias("component_id"))
-    names = labelled.join(least, "class").select("uid", "class", "component_id")
-    return signed.select("__id", "__key", "n_shingles", "uid").join(names, "uid", "left").drop("uid")
+        up = tree.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        tree = stored(tree.join(up, "component", "left").select("node", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved")), f"chains-{i}")
+    return tree.select("node", "component")
+
+
+def _placed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The class of each unit: (uid, gid, class)."""
+    return members.join(classes, F.col("uid") == F.col("node"), "left").select("uid", "gid", F.coalesce("component", "uid").alias("class"))
+
+
+def _merged(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``placed`` with classes taken together as components of (node: class, component) say."""
+    return placed.join(classes, F.col("class") == F.col("node"), "left").select("uid", "gid", F.coalesce("component", "class").alias("class"))
+
+
+def _classwise(links: DataFrame, placed: DataFrame) -> DataFrame:
+    """``links`` (a, b of uid) between classes: (a, b of class)."""
+    side = lambda c: placed.select(F.col("uid").alias(c), F.col("class").alias(f"class_{c}"))
+    return links.join(side("a"), "a").join(side("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, similarity: int = 80) -> DataFrame:
@@ -267,11 +357,12 @@ def keep_one(docs: DataFrame, similarity: int = 80) -> DataFrame:
     where all are null.  Rows that repeat that id and the text stay once.  Texts without
     shingles are of no class and stay; those that repeat an id and the text, once."""
     rows = stored(_rows(docs, "doc_id", "text", SHINGLE_WORDS, similarity).select("__id", "__key", "class"), "rows")
-    least = rows.where("class is not null").groupBy("class").agg(F.min_by("__key", F.struct(F.col("__id").isNull(), "__id", "__key")).alias("__key")).select("__key")
-    blank = rows.where("class is null and __id is not null").select("__key").distinct()
-    kept = stored(rows.groupBy("__key").agg(F.count("*").alias("k")).join(least.unionByName(blank), "__key", "left_semi"), "kept")
+    least = rows.where("class is not null").groupBy("class").agg(F.min_by("__key", F.struct(F.col("__id").isNull(), "__id", "__key")).alias("__key")).select("__key", F.lit(True).alias("least"))
+    blank = F.col("class").isNull()
+    keys = rows.groupBy("__key").agg(F.count("*").alias("k"), F.bool_and(blank).alias("blank"), F.bool_and(blank & F.col("__id").isNull()).alias("nameless"))
+    # most documents stay as they are: only the keys of the others are looked up
+    other = stored(keys.join(least, "__key", "left").where("not nameless and (k > 1 or not blank and least is null)").select("__key", (F.col("blank") | F.col("least").isNotNull()).alias("again")), "other")
     keyed = docs.withColumn("__key", _key("doc_id", "text"))
-    once = keyed.join(kept.where("k = 1").select("__key"), "__key", "left_semi")
-    again = keyed.join(kept.where("k > 1").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
-    nameless = keyed.where(r"doc_id is null and (text is null or not text rlike '[^\\x09-\\x0D ]')")
-    return once.unionByName(again).unionByName(nameless).select(*docs.columns)
+    once = keyed.join(sized(other.select("__key")), "__key", "left_anti")
+    again = keyed.join(sized(other.where("again").select("__key")), "__key", "left_semi").dropDuplicates(["__key"])
+    return once.unionByName(again).select(*docs.columns)

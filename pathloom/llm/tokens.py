@@ -13,7 +13,7 @@ import unicodedata
 
 import numpy as np
 
-from .bytewords import mix, powers
+from .bytewords import span_hashes
 
 LETTER, NUMBER, SPACE, OTHER, END = 0, 1, 2, 3, 4
 #: Characters of a chunk; a longer text makes a chunk of its own.
@@ -126,10 +126,8 @@ class Encoder:
         ends = np.cumsum(sizes) - 1
         cp[ends] = _END_MARK
         start = pretoken_starts(cp)
-        up, down = powers(len(cp))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)))
         stop = np.append(start[1:], len(cp))
-        h = mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        h = span_hashes(cp.view(np.uint8), 4 * start, 4 * stop)
         found, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         marks = cp[start[first]] == _END_MARK
         at = np.searchsorted(self.known, found)
