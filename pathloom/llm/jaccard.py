@@ -293,14 +293,15 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: i
     linked = stored(_verified(stored(near, "near"), units, texts, words, similarity), "linked")
     placed = stored(_placed(members, _ends(linked)), "placed")
 
-    # in long lists all that is not of the largest class meets that class
+    # in long lists all that is not of the largest class, if that is large, meets that class
     long = postings.where(f"k > {PIVOTS + 1}").select("token", "gid", "n", "i")
     rows = long.join(placed, "gid").select("token", "gid", "uid", "class", "n", "i")
     # the members of a group are a list of their own
     group = members.join(members.groupBy("gid").agg(F.count("*").alias("k")).where("k > 2").select("gid"), "gid", "left_semi")
     group = group.join(units.select("uid", F.col("n_shingles").alias("n")), "uid").join(placed.select("uid", "class"), "uid")
     rows = stored(rows.unionByName(group.select(F.col("gid").alias("token"), "gid", "uid", "class", "n", F.lit(0).alias("i"))), "rows")
-    hub = rows.groupBy("token", "class").agg(F.count("*").alias("k")).groupBy("token").agg(F.min(F.struct(-F.col("k"), "class"))["class"].alias("hub"), F.count("*").alias("classes")).where("classes > 1").select("token", "hub")
+    largest = F.min(F.struct(-F.col("k"), "class"))
+    hub = rows.groupBy("token", "class").agg(F.count("*").alias("k")).groupBy("token").agg(F.when(-largest["col1"] > PIVOTS, largest["class"]).alias("hub"), F.count("*").alias("classes")).where("classes > 1").select("token", "hub")
     rows = stored(rows.join(hub, "token"), "mixed")
     hubs = stored(rows.where("class = hub").select("uid", "hub").distinct(), "hubs")
     outside = stored(rows.where("class <> hub").select("uid", "hub").distinct(), "outside")
@@ -308,7 +309,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: i
     merged = stored(_merged(placed, components(joined, "merge")), "merged")
 
     # all other pairs of different classes that share a list or a group
-    left = rows.where("class <> hub").drop("class", "hub").join(merged.select("uid", "class"), "uid")
+    left = rows.where("hub is null or class <> hub").drop("class", "hub").join(merged.select("uid", "class"), "uid")
     mixed = left.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token")
     left = stored(left.join(mixed, "token", "left_semi"), "left")
     other = left.select("token", F.col("uid").alias("uid2"), F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
