@@ -29,18 +29,20 @@ from pyspark.sql import functions as F
 
 from .bytewords import NONSPACE, Words, arrow_texts, chunks, mix
 from .components import components
-from .store import sized, stored
+from .store import removed, sized, stored
 
 SHINGLE_WORDS = 5
 #: A shingle counts as frequent from this share of the documents on ...
 FREQUENT_SHARE = 1 / 2000
-#: ... and from this many of them; a batch reports those it holds as often.
+#: ... and from this many of them; a run of sets reports those it holds as often.
 FREQUENT_LEAST = 8
+#: Shingles of such a run.
+REPORTED = 4_000_000
 #: Groups of a posting list that all its groups are tried against.
 PIVOTS = 8
 #: Shingles of a class that one task holds, about, and of the units that meet them there.
-SLICE_SHINGLES = 250_000
-BLOCK_SHINGLES = 1_000_000
+SLICE_SHINGLES = 50_000
+BLOCK_SHINGLES = 200_000
 #: Sets of shingles that a task remembers, to describe copies once only.
 REMEMBERED = 1_000_000
 
@@ -104,23 +106,32 @@ def bitmap_distance(a: bytes, b: bytes) -> int:
 
 def frequent_shingles(texts: DataFrame, words: int, n_texts: int) -> np.ndarray:
     """Hashes of the shingles that stand in at least FREQUENT_SHARE of the texts, counted
-    over batches that hold them FREQUENT_LEAST times.  Only the *order* of shingles hangs
+    over runs of sets that hold them FREQUENT_LEAST times.  Only the *order* of shingles hangs
     on this set, never a result.  Its size is bounded: it has at most (mean set size) /
     FREQUENT_SHARE members."""
 
+    def counted(held: np.ndarray) -> pa.RecordBatch:
+        held.sort()
+        # a hash stands FREQUENT_LEAST times where it equals the one so many places on
+        first = held[: max(len(held) - FREQUENT_LEAST + 1, 0)]
+        found = np.unique(first[first == held[len(held) - len(first) :]])
+        count = np.searchsorted(held, found, "right") - np.searchsorted(held, found)
+        return pa.RecordBatch.from_pydict({"h": found.view(np.int64), "c": count.astype(np.int64)})
+
     def report(batches):
+        held, n = np.empty(REPORTED, np.uint64), 0
         for batch in batches:
-            sets = list(shingle_sets(arrow_texts(batch.column("__text")), words))
-            held = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            del sets
-            held.sort()
-            # a hash stands FREQUENT_LEAST times where it equals the one so many places on
-            found = np.unique(held[: len(held) - FREQUENT_LEAST + 1][held[: len(held) - FREQUENT_LEAST + 1] == held[FREQUENT_LEAST - 1 :]]) if len(held) >= FREQUENT_LEAST else held[:0]
-            count = np.searchsorted(held, found, "right") - np.searchsorted(held, found)
-            yield pa.RecordBatch.from_pydict({"h": found.view(np.int64), "c": count.astype(np.int64)})
+            for s in shingle_sets(arrow_texts(batch.column("__text")), words):
+                if n + len(s) > REPORTED:
+                    yield counted(held[:n])
+                    n = 0
+                if len(s) <= REPORTED:  # by itself a set holds nothing often
+                    held[n : n + len(s)] = s
+                    n += len(s)
+        yield counted(held[:n])
 
     floor = max(FREQUENT_LEAST, int(n_texts * FREQUENT_SHARE))
-    rows = texts.select("__text").mapInArrow(report, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= floor).select("h").toPandas()
+    rows = stored(texts.select("__text").mapInArrow(report, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= floor).select("h"), "frequent").toPandas()
     return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -175,9 +186,11 @@ def _verified(pairs: DataFrame, units: DataFrame, texts: DataFrame, words: int,
 
 
 def _filtered(pairs: DataFrame, units: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b of uid) that sizes and bitmaps let through, and the bitmaps' distance."""
-    side = lambda c, n, m: units.select(F.col("uid").alias(c), F.col("n_shingles").alias(n), F.col("bitmap").alias(m))
-    both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").where(F.expr(f"100 * least(n, m) >= {similarity} * greatest(n, m)"))
+    """The pairs (a, b of uid; a stored table, each pair once) that sizes and bitmaps let
+    through, and the bitmaps' distance."""
+    pairs = sized(pairs)  # few pairs go to the bitmaps, many meet them in a shuffle
+    side = lambda c, n, m: pairs.join(units.select(F.col("uid").alias(c), F.col("n_shingles").alias(n), F.col("bitmap").alias(m)), c)
+    both = side("a", "n", "x").join(side("b", "m", "y"), ["a", "b"]).where(F.expr(f"100 * least(n, m) >= {similarity} * greatest(n, m)"))
 
     def passes(batches):
         for pdf in batches:
@@ -274,6 +287,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: i
     members = names.join(names.groupBy("gkey").agg(F.min("uid").alias("gid")), "gkey").select("uid", "gid", "row")
     units = stored(held.join(members, ["uid", "row"]).select("uid", "gid", "__key", "n_shingles", "prefix", "bitmap"), "units")
     members = units.select("uid", "gid")
+    ids = stored(signed.select("__id", "__key", "n_shingles", "uid"), "ids")
+    removed(signed)
 
     # groups are posted under their prefix shingles; a shingle of one group is no list
     posted = units.where("uid = gid").select("gid", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("i", "token"))
@@ -316,13 +331,14 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: i
     cross = left.join(other, "token").where(f"class < class2 and {fits}").select(F.col("uid").alias("a"), F.col("uid2").alias("b"))
     side = lambda c, k: merged.select(F.col("gid").alias(f"g{c}"), F.col("uid").alias(c), F.col("class").alias(k))
     apart = met.select(F.col("a").alias("ga"), F.col("b").alias("gb")).join(side("a", "class"), "ga").join(side("b", "class2"), "gb").where("class <> class2")
-    rest = cross.unionByName(apart.select("a", "b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    across = stored(_verified(stored(_filtered(rest, units, similarity).select("a", "b"), "rest"), units, texts, words, similarity), "across")
+    rest = stored(cross.unionByName(apart.select("a", "b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "rest")
+    across = stored(_verified(stored(_filtered(rest, units, similarity).select("a", "b"), "close"), units, texts, words, similarity), "across")
     final = _merged(merged, components(_classwise(across, merged), "links"))
 
     labelled = stored(final.select("uid", "class"), "labelled")
-    least = signed.select("uid", "__id").join(labelled, "uid").groupBy("class").agg(F.min("__id").alias("component_id"))
-    return signed.select("__id", "__key", "n_shingles", "uid").join(labelled.join(least, "class"), "uid", "left").drop("uid")
+    removed(units, postings, met, placed, rows, hubs, outside, merged, left, rest, across)
+    least = ids.select("uid", "__id").join(labelled, "uid").groupBy("class").agg(F.min("__id").alias("component_id"))
+    return ids.join(labelled.join(least, "class"), "uid", "left").drop("uid")
 
 
 def _ends(links: DataFrame) -> DataFrame:

@@ -45,7 +45,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
                 spark.conf.unset(key)
             else:
                 spark.conf.set(key, value)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path.rsplit("/", 1)[0]
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more, in whatever store they are."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of a stored table that may be broadcast: its columns are a few numbers each.
