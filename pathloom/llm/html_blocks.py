@@ -5,6 +5,8 @@ bidirectional LSTM reads, for each block, hashed vectors of its tag path and its
 a few measures, and labels every block as article or not with the whole page in view.  It
 learns from pages whose own semantic tags say where the article is, and from layouts made
 of those pages' blocks (sidebars, notices, forms, comments) that such tags do not cover.
+Half of the made layouts give their containers names that tell nothing, so that the labeller
+has to read lengths, links, words and neighbours.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import html as _html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,8 +34,63 @@ ENDS_P = BLOCK - set("button caption legend option tbody td th tr thead tfoot he
 OUTSIDE_TAGS = set("nav footer aside form header head title button select".split())
 OUTSIDE_NAMES = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|header|footer|cookie\w*|consent|notice|alert|comments?|replies|respond|share|social|related|recommend\w*|newsletter|subscribe|breadcrumbs?|login|search|widget|popup|modal)(?:$|[-_ ])")
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s[^<>\"']*|\"[^\"]*\"|'[^']*'|[^<>\"'\s]+)*)>", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Open elements of a path, from the root and from the block up, that a block keeps.
+PATH_ENDS = 16
+
+# A tag's name, and what follows up to its end; without a way back, so no page takes more
+# than a pass or two.  A quote that never closes leaves the plain form.
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_REST = re.compile(r"((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_PLAIN_REST = re.compile(r"([^<>]*+)>")
+_NAMES = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# References by numbers that no character has, and needless zeros.
+_NO_CHARACTER = re.compile(r"&#(?=0*+[1-9][0-9]{7})[0-9]++;?")
+_ZEROS = re.compile(r"&#0{8,}+")
+
+
+def _unescaped(text: str) -> str:
+    if "&#" in text:
+        text = _ZEROS.sub("&#0", _NO_CHARACTER.sub("\ufffd", text))
+    return _html.unescape(text)
+
+
+def markup(page: str):
+    """(text before, whether a tag closes, name, attributes) of each tag in order, and the
+    text behind the last one with an empty name.  Comments, declarations and instructions
+    vanish; a ``<`` that starts nothing of this is text."""
+    begin = at = 0
+    end_of = {}  # where to look on for marks that end comments and the like
+
+    def find(mark: str, start: int) -> int:
+        if end_of.get(mark, 0) >= 0 and end_of.get(mark, 0) < start:
+            end_of[mark] = page.find(mark, start)
+        return end_of.get(mark, 0)
+
+    while (i := page.find("<", at)) >= 0:
+        at = i + 1
+        end, closes, name, rest = -1, "", "", ""
+        if page.startswith("<!--", i):
+            end = find("-->", i + 4)
+            end = end + 3 if end >= 0 else len(page)
+        elif page.startswith("<![CDATA[", i) and (end := find("]]>", i + 9)) >= 0:
+            end += 3
+        elif page.startswith(("<!", "<?"), i):
+            end = find(">", i + 2)
+            end += end >= 0
+        elif m := _NAME.match(page, at):
+            tail = _REST.match(page, m.end()) or _PLAIN_REST.match(page, m.end())
+            if tail:
+                end, closes, name, rest = tail.end(), m[1], m[2].lower(), tail[1]
+        if end < 0:
+            continue
+        # text that goes on behind a comment comes in one piece with what follows
+        got = yield page[begin:i], bool(closes), name, rest
+        begin = at = end
+        if got:  # an element whose content is no markup
+            close = re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(page, at)
+            begin = at = close.end() if close else len(page)
+            yield None
+    yield page[begin:], False, "", ""
 
 
 @dataclass
@@ -48,39 +106,33 @@ def blocks(page: str | None) -> list[Block]:
     hold no blocks; null and empty pages have none."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    is_open: Counter[str] = Counter()
     held: list[tuple[str, bool]] = []
-    page = page or ""
 
     def flush() -> None:
         if held:
-            text = " ".join(_html.unescape("".join(t for t, _ in held)).split())
+            text = " ".join(_unescaped("".join(t for t, _ in held)).split())
             if text:
                 size = sum(len(t) for t, _ in held)
-                out.append(Block(tuple(f"{t} {n}".strip() for t, n in stack), text, sum(len(t) for t, a in held if a) / size))
+                path = stack if len(stack) <= 2 * PATH_ENDS else stack[:PATH_ENDS] + stack[-PATH_ENDS:]
+                out.append(Block(tuple(f"{t} {n}".strip() for t, n in path), text, sum(len(t) for t, a in held if a) / size))
             held.clear()
 
-    def put(text: str) -> None:
-        if text:
-            held.append((text, any(t == "a" for t, _ in stack)))
+    def cut(i: int) -> None:
+        is_open.subtract(t for t, _ in stack[i:])
+        del stack[i:]
 
     def close(tag: str) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
-                return
-
-    at, size = 0, len(page)
-    while at < size:
-        m = _TAG.search(page, at)
-        if not m:
-            put(page[at:])
-            break
-        put(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if is_open[tag] > 0:
+            cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+
+    tokens = markup(page or "")
+    for text, closes, tag, rest in tokens:
+        if text:
+            held.append((text, is_open["a"] > 0))
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if closes:
             if tag in BLOCK:
                 flush()
             close(tag)
@@ -92,28 +144,29 @@ def blocks(page: str | None) -> list[Block]:
             flush()
             if tag in ENDS_P:
                 close("p")
-            if tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
+            alike = {"dt", "dd"} if tag in ("dt", "dd") else {tag}
+            if tag in ("li", "td", "th", "tr", "dt", "dd", "option") and any(is_open[t] > 0 for t in alike):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in ("ul", "ol", "table", "dl", "select", "menu"):
                         break
-                    if stack[i][0] == tag or {stack[i][0], tag} == {"dt", "dd"}:
-                        del stack[i:]
+                    if stack[i][0] in alike:
+                        cut(i)
                         break
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
+        if tag in VOID or rest.rstrip().endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+            tokens.send(True)
             continue
-        names = " ".join(" ".join(filter(None, g)) for g in _NAMES.findall(m[3])).lower()
+        names = " ".join(" ".join(filter(None, g)) for g in _NAMES.findall(rest)).lower()
         stack.append((tag, names))
+        is_open[tag] += 1
     flush()
     return out
 
 
-def taught(path: tuple[str, ...]) -> int | None:
+def taught(path: tuple[str, ...]) -> int:
     """What semantic tags say of a block: 1 inside an article or main element with nothing
-    in between that takes it out, 0 otherwise; None if the page's tags cannot tell."""
+    in between that takes it out, 0 otherwise (pages without any 1 are not learnt from)."""
     inside = 0
     for step in path:
         tag, _, names = step.partition(" ")
@@ -206,7 +259,7 @@ class Labeller:
             g["c" + d] = dz_all.sum((0, 1))
         return g
 
-    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 8, batch: int = 24, rate: float = 0.01, seed: int = 5) -> None:
+    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, batch: int = 24, rate: float = 0.01, seed: int = 5) -> None:
         """Adam on the mean log loss of blocks."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -253,6 +306,9 @@ def padded(pages: list[tuple[np.ndarray, np.ndarray]]):
 
 # Layouts for learning: where articles stand, and what else stands around or inside them.
 ARTICLES = ["article", "main", "main|article", "div content", "div post-content", "section entry-content", "div main-content|div article-body", "div story"]
+# Articles in containers whose names tell nothing.
+PLAIN = ["div", "div|div", "div wrap|div text", "div c1|div c2", "section", "table|tbody|tr|td", "table|tr|td", "div row|div col", "div page|div inner|div", "center", "div box", "td"]
+PLAIN_AROUND = ["div|ul|li", "div|div", "div row|div", "table|tr|td", "ul|li", "div|p", "div c3|ul|li", "div left|div", "td|ul|li"]
 AROUND = ["nav|ul|li", "header", "header|nav|ul|li", "div header", "div menu|ul|li", "div breadcrumbs", "aside", "aside sidebar|div widget", "div sidebar|ul|li", "div ad", "div ads|p", "div advert", "div sponsored", "div cookie-notice|p", "div cookie-banner", "div notice|p", "div alert", "form", "form|label", "form search", "div login|form", "footer", "footer|p", "div footer|p", "div footer|ul|li", "section comments|div comment|p", "div comments|p", "div id-comments|ol|li", "ul comment-list|li comment|p", "div related|ul|li", "div newsletter|p", "div share", "div social|ul|li", "div popup|p"]
 WITHIN = ["aside", "div ad", "div advert|p", "form", "div comments|p", "section comments|div comment|p", "div share", "div related|ul|li", "div newsletter|p", "div notice|p", "nav|ul|li", "footer", "header|p"]
 
@@ -265,11 +321,14 @@ def layouts(good: list[str], bad: list[str], n: int, seed: int = 9) -> list[tupl
 
     def other(place: str, root: list[str]) -> list[Block]:
         path = root + place.split("|")
-        # notices, comments and sidebars read like prose, menus and footers do not
-        prose = rng.random() < (0.15 if path[-1] == "li" else 0.5)
+        # notices, comments and sidebars read like prose, menus and footers do not; where no
+        # name tells them from the article, prose is the article's
+        prose = not plain and rng.random() < (0.15 if path[-1] == "li" else 0.5)
         return [Block(tuple(path), pick(good if prose and good else bad), float(path[-1] == "li" and rng.random() < 0.8)) for _ in range(int(rng.integers(1, 5)))]
 
     for _ in range(n):
+        plain = rng.random() < 0.5
+        around = PLAIN_AROUND if plain else AROUND
         page: list[Block] = []
         y: list[int] = []
 
@@ -280,8 +339,8 @@ def layouts(good: list[str], bad: list[str], n: int, seed: int = 9) -> list[tupl
         if rng.random() < 0.7:
             add([Block(("html", "head", "title"), pick(good), 0.0)], 0)
         for _ in range(int(rng.integers(0, 4))):
-            add(other(pick(AROUND), ["html", "body"]), 0)
-        root = ["html", "body", *pick(ARTICLES).split("|")]
+            add(other(pick(AROUND if rng.random() < 0.3 else around), ["html", "body"]), 0)
+        root = ["html", "body", *pick(PLAIN if plain else ARTICLES).split("|")]
         if rng.random() < 0.7:
             add([Block((*root, pick(["h1", "h2"])), pick(good)[:60], 0.0)], 1)
         for _ in range(int(rng.integers(1, 8))):
@@ -289,16 +348,23 @@ def layouts(good: list[str], bad: list[str], n: int, seed: int = 9) -> list[tupl
             if rng.random() < 0.12:
                 add(other(pick(WITHIN), root), 0)
         for _ in range(int(rng.integers(0, 4))):
-            add(other(pick(AROUND), ["html", "body"]), 0)
+            add(other(pick(AROUND if rng.random() < 0.3 else around), ["html", "body"]), 0)
+        # any names will do where names tell nothing
+        name = {}
         for b in page:
             b.path = tuple(s for step in b.path for s in step.split("/"))
+            if plain:
+                for step in b.path[2:]:
+                    made = "".join(map(chr, rng.integers(97, 123, int(rng.integers(1, 7)))))
+                    name.setdefault(step, f"{step.split()[0]} {made}" if rng.random() < 0.5 else step)
+                b.path = b.path[:2] + tuple(name[step] for step in b.path[2:])
         out.append((page, np.array(y, float)))
     return out
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", train_pages: int = TRAIN_PAGES) -> Labeller:
     """Learns from at most about ``train_pages`` pages (twice that bound is kept by the
-    limit), and three times as many made layouts of their blocks."""
+    limit), and four times as many made layouts of their blocks."""
     share = min(1.0, train_pages / max(1, pages.count()))
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(F.pmod(F.xxhash64("id", F.lit(21)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * train_pages)
     found = [blocks(r["html"]) for r in sorted(rows.collect(), key=lambda r: str(r["id"]))]
@@ -310,7 +376,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", train
             good += [b.text for b, k in zip(page, y, strict=True) if k]
             bad += [b.text for b, k in zip(page, y, strict=True) if not k]
     model = Labeller()
-    made = layouts(good or ["Some text of an article, long enough to read."], bad, 3 * train_pages)
+    made = layouts(good or ["Some text of an article, long enough to read."], bad, 4 * train_pages)
     model.train([(vectors(p), y) for p, y in own + made])
     return model
 
