@@ -14,11 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import BUCKETS, hashed_terms
+from .store import stored
 
 #: Labelled documents that a model learns from at most, about; dealt by a hash of doc_id.
 TRAIN_DOCS = 30_000
 #: Terms that keep weights: those that tell the labels apart best.
 TERMS = 4096
+#: Labelled documents in which pairs of terms are tried, at most, about.
+PAIR_DOCS = 8_000
+#: Frequent terms whose pairs are tried: terms that tell nothing alone may do so together.
+PAIRED = 1024
+#: Deviations from the labels' share that make a pair, and how much more than its members'.
+PAIR_FAR, PAIR_GAIN = 5.5, 1.5
 FACTORS = 8
 
 
@@ -46,6 +53,29 @@ def _margin(owner, term, n, weight, factor) -> np.ndarray:
     return out
 
 
+def paired_terms(owner: np.ndarray, place: np.ndarray, label: np.ndarray, terms: int, most: int = 512) -> np.ndarray:
+    """The terms of the ``most`` pairs that tell the labels apart best, of those that do so
+    much better than each of their members.  ``place`` numbers terms from 0 to ``terms``."""
+    both = np.zeros((2, terms, terms), np.float32)
+    begin = np.searchsorted(owner, np.arange(0, len(label) + 512, 512))
+    for k in range(len(begin) - 1):
+        at = slice(begin[k], begin[k + 1])
+        x = np.zeros((512, terms), np.float32)
+        x[owner[at] - 512 * k, place[at]] = 1
+        both[0] += x.T @ x
+        x = x[: len(label) - 512 * k][label[512 * k : 512 * (k + 1)] == 1]
+        both[1] += x.T @ x
+    p = label.mean() if len(label) else 0.0
+    if not 0 < p < 1:
+        return np.zeros(0, np.int64)
+    far = np.abs(both[1] - p * both[0]) / np.sqrt(np.maximum(both[0], 1) * p * (1 - p))
+    alone = np.diag(far)
+    far[(both[0] < 5) | (far < PAIR_FAR) | (far < PAIR_GAIN * np.maximum(alone[:, None], alone[None]))] = 0
+    a, b = np.nonzero(np.triu(far, 1))
+    best = np.argsort(-far[a, b], kind="stable")[:most]
+    return np.unique(np.concatenate((a[best], b[best])))
+
+
 def train(owner: np.ndarray, term: np.ndarray, label: np.ndarray, terms: int, factors: int = FACTORS, epochs: int = 40, batch: int = 512, rate: float = 0.1, decay: float = 2e-5, seed: int = 7):
     """Adagrad on the log loss; ``owner`` is sorted and numbers the texts from 0."""
     rng = np.random.default_rng(seed)
@@ -81,7 +111,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, terms:
 
     At most about ``train_docs`` of them, dealt by a hash of doc_id.  Counts of terms by
     label are summed on the executors; the terms that tell labels apart best (at most
-    ``terms``) come to the driver, then each document's few terms among them.  Labels that
+    ``terms``) and the PAIRED most frequent come to the driver.  Of the frequent ones those
+    stay that tell labels apart in pairs, in about PAIR_DOCS documents; then each document's
+    few terms among all these come.  Labels that
     are null or not 0 or 1 are left out; without any, every score is one half.
     """
     learn = lambda df: df.where("doc_id is not null and pmod(crc32(cast(doc_id as string)), 5) <> 0")
@@ -89,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, terms:
     share = min(1.0, train_docs / max(1, marks.count()))
     # the labels dealt are bounded by train_docs, so they go to the texts, not the texts to them
     dealt = F.expr(f"pmod(xxhash64(doc_id, 11), 1000000) < {int(share * 1_000_000)}")
-    rows = learn(docs.select("doc_id", "text")).where(dealt).join(F.broadcast(marks.where(dealt)), "doc_id").select("text", "toxic")
+    rows = learn(docs.select("doc_id", "text")).where(dealt).join(F.broadcast(marks.where(dealt)), "doc_id").select("doc_id", "text", "toxic")
 
     def count(batches):
         for pdf in batches:
@@ -107,27 +139,41 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, terms:
     if not zeros or not ones:
         return FactorizationMachine(index, 0.0 if not zeros + ones else (4.0 if ones else -4.0), np.zeros(1), np.zeros((1, FACTORS)))
     counted = rows.mapInPandas(count, "bucket bigint, zeros bigint, ones bigint").groupBy("bucket").agg(F.sum("zeros").alias("z"), F.sum("ones").alias("o"))
+    counted = stored(counted.where("z + o >= 3"), "terms")
     # how far the share of ones among a term's texts is from all texts' share, in deviations
     p = ones / (ones + zeros)
-    tells = counted.where("z + o >= 3").withColumn("far", F.abs(F.col("o") - p * (F.col("z") + F.col("o"))) / F.sqrt((F.col("z") + F.col("o")) * F.lit(p * (1 - p))))
+    tells = counted.withColumn("far", F.abs(F.col("o") - p * (F.col("z") + F.col("o"))) / F.sqrt((F.col("z") + F.col("o")) * F.lit(p * (1 - p))))
     best = tells.where("far > 2.5").orderBy(F.desc("far"), "bucket").limit(terms).select("bucket").toPandas()["bucket"].to_numpy()
-    index[best] = np.arange(len(best))
+    often = counted.select("bucket", (F.col("z") + F.col("o")).alias("n")).where(F.col("n").between(5, int(0.8 * (ones + zeros))))
+    often = often.orderBy(F.desc("n"), "bucket").limit(PAIRED).select("bucket").toPandas()["bucket"].to_numpy()
+    tried = F.expr(f"pmod(xxhash64(doc_id, 12), 1000000) < {int(min(1.0, PAIR_DOCS / (ones + zeros)) * 1_000_000)}")
+    owner, term, label = _terms(rows.where(tried), often)
+    chosen = np.union1d(best, often[paired_terms(owner, term, label, len(often))] if len(often) else often).astype(np.int64)
+    owner, term, label = _terms(rows, chosen)
+    bias, weight, factor = train(owner, term, label, max(len(chosen), 1))
+    index[chosen] = np.arange(len(chosen))
+    return FactorizationMachine(index, bias, weight, factor)
+
+
+def _terms(rows: DataFrame, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text and term (a place in ``buckets``) of all terms of ``rows``, and the labels."""
+    index = np.full(BUCKETS, -1, np.int32)
+    index[buckets] = np.arange(len(buckets))
     kept = rows.sparkSession.sparkContext.broadcast(index)
 
     def select(batches):
         for pdf in batches:
             held = [np.zeros(0, np.int32)] * len(pdf)
             for first, owner, bucket in hashed_terms(pdf["text"].tolist(), kept.value >= 0):
-                for k in np.unique(owner):
-                    held[first + k] = kept.value[bucket[owner == k]]
+                cut = np.searchsorted(owner, np.arange(int(owner[-1]) + 2 if len(owner) else 1))
+                for k in range(len(cut) - 1):
+                    held[first + k] = kept.value[bucket[cut[k] : cut[k + 1]]]
             yield pd.DataFrame({"toxic": pdf["toxic"], "terms": [h.astype(np.int32).tobytes() for h in held]})
 
     data = rows.mapInPandas(select, "toxic int, terms binary").toPandas().sort_values(["toxic", "terms"], kind="stable")
     held = [np.frombuffer(b, np.int32) for b in data["terms"]]
-    owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
-    term = np.concatenate(held) if held else np.zeros(0, np.int32)
-    bias, weight, factor = train(owner, term, data["toxic"].to_numpy(float), max(len(best), 1))
-    return FactorizationMachine(index, bias, weight, factor)
+    owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held])
+    return owner, np.concatenate(held) if held else np.zeros(0, np.int32), data["toxic"].to_numpy(float)
 
 
 def scored(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
