@@ -18,14 +18,14 @@ def _pair(ok: Column, lo: Column, hi: Column) -> Column:
 
 
 def size_interval(x: Column | str) -> Column:
-    """Integer, optional k m g t, optional b: ``1kb`` is 1000 to 1949."""
+    """Integer, optional k m g t, optional b: ``1kb`` is 1000 to 1949; null beyond 64 bits."""
     x = fold(F.trim(col(x)))
     number = F.regexp_extract(x, "^([0-9]+)([kmgt]?)b?$", 1).try_cast("bigint")
     suffix = F.regexp_extract(x, "^([0-9]+)([kmgt]?)b?$", 2)
     unit = F.coalesce(*(F.when(suffix == s, F.lit(v)) for s, v in _SIZES.items()), F.lit(1)).cast("bigint")
-    lo = number * unit
-    hi = F.when(suffix == "", lo).otherwise(lo + F.expr("0L") + (unit / 1000 * 950).cast("bigint") - 1)
-    return _pair(number.isNotNull(), lo, hi)
+    lo = F.try_multiply(number, unit)
+    hi = F.when(suffix == "", lo).otherwise(F.try_add(lo, (unit / 1000 * 950).cast("bigint") - 1))
+    return _pair(hi.isNotNull(), lo, hi)
 
 
 def int_interval(x: Column | str) -> Column:
@@ -58,13 +58,16 @@ MONTHS = ["january", "february", "march", "april", "may", "june", "july", "augus
 NUMBERS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "dozen": 12, "hundred": 100}
 UNITS = {"year": "year", "month": "month", "week": "week", "day": "day", "hour": "hour", "minute": "minute", "min": "minute", "second": "second", "sec": "second"}
 
+# Counts that reach back 1900 years, so that no date leaves the calendar.
+MOST = {"year": 1_900, "month": 22_800, "week": 99_000, "day": 693_000, "hour": 16_600_000, "minute": 998_000_000, "second": 2_147_483_647}
+
 _RELATIVE = "^(inthelast|last|previous|prev|past|this)?([0-9]+|" + "|".join(NUMBERS) + ")?(year|month|week|day|hour|minute|min|second|sec)(s?)$"
 
 
 def relative_interval(x: Column | str, now: Column | str) -> Column:
     """today, yesterday, weekday and month names, and counts of units up to ``now``
     (timestamp without zone).  Weeks start on Monday.  More than one needs a plural, one a
-    singular; min and sec are both."""
+    singular; min and sec are both.  Counts of more than 1900 years say nothing."""
     x, now = fold(F.trim(col(x))), col(now)
     start = lambda unit, t=None: F.date_trunc(unit, now if t is None else t).cast("timestamp_ntz")
     day = start("day")
@@ -83,9 +86,11 @@ def relative_interval(x: Column | str, now: Column | str) -> Column:
     both = unit.isin("min", "sec") & (plural == "")
     fits = (unit != "") & (n >= 1) & (both | (plural == F.when(n > 1, F.lit("s")).otherwise(F.lit("")))) & ~(unit.isin("min", "sec") & (plural == "s"))
     fits &= (prefix != "this") | (count == "")
+    asked = n
     for u in dict.fromkeys(UNITS.values()):
+        n = F.least(asked, F.lit(MOST[u]))
         back = {"year": F.make_ym_interval(n, F.lit(0)), "month": F.make_ym_interval(F.lit(0), n), "week": F.make_dt_interval(n * 7), "day": F.make_dt_interval(n), "hour": F.make_dt_interval(F.lit(0), n), "minute": F.make_dt_interval(F.lit(0), F.lit(0), n), "second": F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), n.cast("decimal(18,6)"))}[u]
-        mine = fits & unit.isin(*(k for k, v in UNITS.items() if v == u))
+        mine = fits & (asked <= MOST[u]) & unit.isin(*(k for k, v in UNITS.items() if v == u))
         named = named.when(mine & (prefix == "this"), F.struct(start(u).alias("lo"), now.alias("hi")))
         named = named.when(mine & prefix.isin("past", ""), F.struct((now - back).alias("lo"), now.alias("hi")))
         named = named.when(mine, F.struct((start(u) - back).alias("lo"), start(u).alias("hi")))

@@ -17,6 +17,11 @@ def fold(x: Column | str) -> Column:
     return F.translate(col(x), UPPER, LOWER)
 
 
+def fold_text(text: str) -> str:
+    """``fold`` of a text on the driver."""
+    return text.translate(str.maketrans(UPPER, LOWER))
+
+
 def name_of(path: Column | str) -> Column:
     """The last component; an empty one shows as ``/``."""
     last = F.element_at(F.split(col(path), "/"), -1)
@@ -98,12 +103,18 @@ def glob_to_regex(x: Column | str) -> Column:
 
 
 def format_size(size: Column | str, iec: bool = False) -> Column:
-    """Bytes as text with one decimal: units of 1000, or of 1024 with ``iec``."""
+    """Bytes as text with one decimal: units of 1000, or of 1024 with ``iec``.  The quotient
+    is rounded as the binary number it is, halves to even, as C does."""
     size, base = col(size), 1024 if iec else 1000
     names = ["KiB", "MiB", "GiB", "TiB", "PiB"] if iec else ["kB", "MB", "GB", "TB", "PB"]
     out = F.when(size < base, F.concat(size.cast("string"), F.when(size == 1, F.lit(" byte")).otherwise(F.lit(" bytes"))))
     for i, unit in enumerate(names, 1):
-        text = F.concat(F.format_string("%.1f", size / F.lit(float(base) ** i)), F.lit(f" {unit}"))
+        q = size / F.lit(float(base) ** i)
+        tenths = F.floor(q * 10)
+        # the sign of what separates q from the middle of two tenths; no term is rounded
+        apart = (2 * tenths + 1).cast("double") - q * 16 - q * 4
+        tenths = tenths + F.when((apart < 0) | (apart == 0) & (tenths % 2 == 1), 1).otherwise(0)
+        text = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
         out = out.when(size < base ** (i + 1), text) if i < len(names) else out.otherwise(text)
     return out
 

@@ -32,7 +32,7 @@ def _with_last_removal(events: DataFrame, removals: DataFrame) -> DataFrame:
     folders = removals.where("action = 'delete' and is_folder").groupBy("root", F.col("path").alias("folder")).agg(F.max("seq").alias("gone"))
     cleared = removals.where("action = 'clear'").groupBy("root").agg(F.max("seq").alias("cleared"))
     above = up.join(folders, ["root", "folder"]).groupBy("root", "path").agg(F.max("gone").alias("gone"))
-    out = events.join(above, ["root", "path"], "left").join(F.broadcast(cleared), "root", "left")
+    out = events.join(above, ["root", "path"], "left").join(cleared, "root", "left")
     return out.withColumn("gone", F.greatest("gone", "cleared")).drop("cleared")
 
 
@@ -43,6 +43,45 @@ def drop_obsolete(changes: DataFrame) -> DataFrame:
     return kept.select(*changes.columns)
 
 
+def states(changes: DataFrame) -> DataFrame:
+    """What a part of the feed says of each path: ``deciding`` (the last event that decides
+    whether it is there), ``v`` (the last values), ``gone`` (the last delete of it as a
+    folder, or clear of it as a root).  States of two parts merge, in any order and with
+    repeats, by the largest of each."""
+    events = normalise(changes).where("action <> 'none'")
+    seq = F.col("seq").cast("bigint").alias("seq")
+    return _largest(events.select("root", "path", F.when(F.col("action") != "update", F.struct(seq, "action")).alias("deciding"), F.when(F.col("action").isin("upsert", "update"), F.struct(seq, *CORE[2:])).alias("v"), F.when((F.col("action") == "clear") | (F.col("action") == "delete") & F.col("is_folder"), seq).alias("gone")))
+
+
+def _largest(states: DataFrame) -> DataFrame:
+    return states.groupBy("root", "path").agg(*(F.max(c).alias(c) for c in ("deciding", "v", "gone")))
+
+
+def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The states of two parts of a feed taken together."""
+    return _largest(a.unionByName(b))
+
+
+def given(snapshot: DataFrame) -> DataFrame:
+    """A snapshot as the state before a feed."""
+    seq = F.lit(-1).cast("bigint").alias("seq")
+    return snapshot.select("root", "path", F.struct(seq, F.lit("upsert").alias("action")).alias("deciding"), F.struct(seq, *CORE[2:]).alias("v"), F.lit(None).cast("bigint").alias("gone"))
+
+
+def live(states: DataFrame) -> DataFrame:
+    """The snapshot that merged states stand for: what is decided after all removals of it,
+    of folders above it, and of its root."""
+    removals = states.where("gone is not null")
+    folders = removals.select("root", F.col("path").alias("folder"), F.col("gone").alias("above"))
+    inner = F.filter(F.array_append(P.ancestors("path", "root"), F.col("path")), lambda p: p != F.col("root"))
+    up = states.where("deciding.action = 'upsert'").select("root", "path", F.explode(inner).alias("folder"))
+    above = up.join(folders, ["root", "folder"]).groupBy("root", "path").agg(F.max("above").alias("above"))
+    cleared = removals.where("path = root").select("root", F.col("gone").alias("cleared"))
+    rows = states.where("deciding.action = 'upsert'").join(above, ["root", "path"], "left").join(cleared, "root", "left")
+    rows = rows.withColumn("end", F.coalesce(F.greatest("above", "cleared"), F.lit(-2)))
+    return rows.where("deciding.seq > end and v.seq > end").select("root", "path", "v.is_folder", "v.size", "v.mtime")
+
+
 def fold(changes: DataFrame, snapshot: DataFrame) -> DataFrame:
     """The snapshot after the feed, in order of seq.
 
@@ -50,17 +89,7 @@ def fold(changes: DataFrame, snapshot: DataFrame) -> DataFrame:
     folder with all below; clearing a root removes all of it.  Per path one aggregation
     finds the last event that decides whether the entry is there and the last values.
     """
-    events = normalise(changes).where("action <> 'none'")
-    removals = events.where("action in ('delete', 'clear')")
-    first = snapshot.select(*CORE).withColumns({"seq": F.lit(-1).cast("bigint"), "action": F.lit("upsert")})
-    rows = first.unionByName(events.select(*CORE, F.col("seq").cast("bigint").alias("seq"), "action"))
-    rows = _with_last_removal(rows, removals).where("gone is null or seq > gone")
-    last = rows.groupBy("root", "path").agg(
-        F.max(F.when(F.col("action") != "update", F.struct("seq", "action"))).alias("deciding"),
-        F.max(F.when(F.col("action").isin("upsert", "update"), F.struct("seq", "is_folder", "size", "mtime"))).alias("v"),
-    )
-    live = last.where("deciding.action = 'upsert'")
-    return live.select("root", "path", F.col("v.is_folder").alias("is_folder"), F.col("v.size").alias("size"), F.col("v.mtime").alias("mtime"))
+    return live(merged(given(snapshot), states(changes)))
 
 
 def remove_paths(entries: DataFrame, paths: DataFrame, monitored: DataFrame | None = None) -> DataFrame:
@@ -68,7 +97,7 @@ def remove_paths(entries: DataFrame, paths: DataFrame, monitored: DataFrame | No
     monitored keep theirs, their feed will tell."""
     from .rules import below
 
-    listed = paths if monitored is None else paths.join(F.broadcast(monitored.select("root")), "root", "left_anti")
+    listed = paths if monitored is None else paths.join(monitored.select("root"), "root", "left_anti")
     return entries.join(below(entries, listed), ["root", "path"], "left_anti")
 
 
@@ -93,7 +122,7 @@ def diff_feed(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def replace_root(snapshot: DataFrame, fresh: DataFrame) -> DataFrame:
     """The roots of ``fresh`` give way to it, others stay."""
-    return snapshot.join(F.broadcast(fresh.select("root").distinct()), "root", "left_anti").unionByName(fresh.select(*snapshot.columns))
+    return snapshot.join(fresh.select("root").distinct(), "root", "left_anti").unionByName(fresh.select(*snapshot.columns))
 
 
 def apply_rollup_delta(folders: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ ARCHIVES = "7z ace arj bz2 cab gz gzip jar rar tar tgz z zip"  # and r00 to r29
 AUDIO = "aac ac3 aif aifc aiff au cda dts fla flac it m1a m2a m3u m4a mid midi mka mod mp2 mp3 mpa ogg opus ra rmi spc snd umx voc wav wma xm"
 DOCUMENTS = "c chm cpp csv cxx doc docm docx dot dotm dotx h hpp htm html hxx ini java lua mht mhtml ods odt odp pdf potx potm ppam ppsm ppsx pps ppt pptm pptx rtf sldm sldx thmx txt vsd vsdx wpd wps wri xlam xls xlsb xlsm xlsx xltm xltx xml"
 PICTURES = "ani bmp gif ico jpe jpeg jpg pcx png psd tga tif tiff webp svg avif nef dds exr hdr wmf"
-VIDEOS = "3g2 3gp 3gp2 3gpp amr amv asf avi bdmv bik d2v divx drc dsa dsm dss dsv evo f4v flc fli flic flv hdmov ifo ivf m1v m2p m2t m2ts m2v m4b m4p m4v mkv mp2v mp4 mpe mpeg mpg mpls mpv2 mpv4 mov mts ogm ogv pss pva qt ram ratdvd rm rmm rmvb roq rpm smil smk swf tp tpr ts vob vp6 webm wm wmp wmv"
+VIDEOS = "3g2 3gp 3gp2 3gpp amr amv asf avi bdmv bik d2v divx drc dsa dsm dss dsv evo f4v flc fli flic flv hdmov ifo ivf m1v m2p m2t m2ts m2v m4b m4p m4v mkv mp2v mp4 mp4v mpe mpeg mpg mpls mpv2 mpv4 mov mts ogm ogv pss pva qt ram ratdvd rm rmm rmvb roq rpm smil smk swf tp tpr ts vob vp6 webm wm wmp wmv"
 
 
 def _both(words: str, *more: str) -> list[str]:

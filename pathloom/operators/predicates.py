@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.literals import date_interval, int_interval, relative_interval, size_interval
-from ..functions.paths import col, fold
+from ..functions.paths import col, fold, fold_text
 from ..functions.types import content_type
 
 
@@ -75,7 +75,7 @@ def _text(haystack: Column, needle: str, flags: Flags) -> Column:
     if flags.case:
         h, n = haystack, F.lit(needle)
     elif needle.isascii():
-        h, n = fold(haystack), F.lit("".join(c.lower() if "A" <= c <= "Z" else c for c in needle))
+        h, n = fold(haystack), F.lit(fold_text(needle))
     else:
         h, n = F.collate(haystack, flags.collation), F.collate(F.lit(needle), flags.collation)
     return h == n if flags.exact else F.contains(h, n)
@@ -117,7 +117,7 @@ def ext(*items: str, flags: Flags = Flags()) -> Column:
     """Files with one of the extensions; none, or an empty item, means files without."""
     wanted = items or ("",)
     have = F.col("ext") if flags.case else fold("ext")
-    return two_valued(~F.col("is_folder") & have.isin(*(w if flags.case else w.lower() for w in wanted)))
+    return two_valued(~F.col("is_folder") & have.isin(*(w if flags.case else fold_text(w) for w in wanted)))
 
 
 def parent(path: str, flags: Flags = Flags()) -> Column:

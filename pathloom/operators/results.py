@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import sort_keys
-from ..functions.paths import fold
+from ..functions.paths import fold, fold_text
+from ..sources.scratch import settled
+from .predicates import Flags
 
 KEY = ["root", "path"]
+#: Rows before a page that a limit may pass over.
+NEAR_TOP = 10_000
 
 
 def sort_by(result: DataFrame, prop: str, desc: bool = False, prev: list[str] | None = None) -> DataFrame:
@@ -21,7 +25,11 @@ def top(result: DataFrame, k: int, prop: str, desc: bool = False, prev: list[str
 
 
 def page(result: DataFrame, start: int, n: int, prop: str, desc: bool = False) -> DataFrame:
-    return sort_by(result, prop, desc).offset(start).limit(n)
+    """Rows ``start`` to ``start + n`` of the order.  A page near the top is a limit; a
+    deeper one is cut from the row index, so that nothing before it is gathered."""
+    if start <= NEAR_TOP:
+        return sort_by(result, prop, desc).offset(start).limit(n)
+    return sort_by(with_row_index(result, prop, desc).where(F.col("row_index").between(start, start + n - 1)).drop("row_index"), prop, desc)
 
 
 def with_row_index(result: DataFrame, prop: str, desc: bool = False, prev: list[str] | None = None) -> DataFrame:
@@ -31,7 +39,8 @@ def with_row_index(result: DataFrame, prop: str, desc: bool = False, prev: list[
     parts = int(result.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = result.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
     # written once, so that counts and rows see the same ranges
-    dealt = dealt.withColumn("__part", F.shiftright("__id", 33)).persist()
+    dealt = dealt.withColumn("__part", F.shiftright("__id", 33))
+    dealt = settled(dealt)
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))
     starts = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__start"))
     inside = F.col("__id") - F.shiftleft("__part", 33)
@@ -111,13 +120,23 @@ def _octets(text: Column, chars: Column) -> Column:
     return F.octet_length(F.left(text, chars))
 
 
+def _hit(text: Column, needle: str, case: bool = False) -> tuple[Column, Column]:
+    """First and last (excluded) character, from 1, of the first hit; 0 without any."""
+    if case or needle.isascii():
+        at = F.instr(text if case else fold(text), needle if case else fold_text(needle))
+        return at, at + len(needle)
+    like = lambda c: F.collate(c, Flags.collation)
+    at = F.instr(like(text), F.lit(needle))
+    sizes = F.sequence(F.lit(1), F.lit(3 * len(needle)))
+    size = F.filter(sizes, lambda n: like(F.substring(text, at, n)) == like(F.lit(needle)))
+    return at, at + F.coalesce(F.get(size, 0), F.lit(len(needle)))
+
+
 def highlight_term(needle: str, case: bool = False, field: str = "name") -> Column:
-    """ARRAY<STRUCT<field, start, end>> in bytes: the first hit of a substring."""
-    h = F.col(field) if case else fold(field)
-    n = needle if case else needle.lower()
-    at = F.instr(h, n)
-    start = _octets(F.col(field), at - 1)
-    return F.when(at > 0, F.array(F.struct(F.lit(field).alias("field"), start.alias("start"), (start + len(needle.encode())).alias("end")))).otherwise(F.array().cast("array<struct<field:string,start:int,end:int>>"))
+    """ARRAY<STRUCT<field, start, end>> in bytes: the first hit of a substring.  A needle
+    beyond ASCII is found as ``term`` finds it; its hit may be longer or shorter."""
+    at, end = _hit(F.col(field), needle, case)
+    return F.when(at > 0, F.array(F.struct(F.lit(field).alias("field"), _octets(F.col(field), at - 1).alias("start"), _octets(F.col(field), end - 1).alias("end")))).otherwise(F.array().cast("array<struct<field:string,start:int,end:int>>"))
 
 
 def highlight_regex(pattern: str, field: str = "name", groups: int = 0) -> Column:
@@ -137,9 +156,8 @@ def highlight_regex(pattern: str, field: str = "name", groups: int = 0) -> Colum
 
 def highlight_path(needle: str) -> Column:
     """A substring of the path, split over the folder part and the name."""
-    at = F.instr(fold("path"), needle.lower())
-    a = F.octet_length(F.left(F.col("path"), at - 1))
-    b = a + len(needle.encode())
+    at, end = _hit(F.col("path"), needle)
+    a, b = _octets(F.col("path"), at - 1), _octets(F.col("path"), end - 1)
     cut = F.octet_length("path") - F.octet_length("name")
     folder = F.when(a < cut, F.struct(F.lit("path").alias("field"), a.alias("start"), F.least(b, cut).alias("end")))
     name = F.when(b > cut, F.struct(F.lit("name").alias("field"), F.greatest(a - cut, F.lit(0)).alias("start"), (b - cut).alias("end")))
@@ -170,4 +188,8 @@ def rank_within(result: DataFrame, by: str, order: str = "size") -> DataFrame:
 def share_of_parent(result: DataFrame) -> DataFrame:
     from .tree import with_parent
 
-    return with_parent(result).withColumn("share", F.when(F.col("parent_size") > 0, F.col("size") / F.col("parent_size")))
+    """Each entry's part of its parent's size, and the parts' running total among its
+    siblings, the largest first."""
+    running = Window.partitionBy("root", "parent_path").orderBy(F.desc("size"), "path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    result = with_parent(result).withColumn("running", F.sum("size").over(running))
+    return result.withColumn("share", F.when(F.col("parent_size") > 0, F.col("size") / F.col("parent_size")))

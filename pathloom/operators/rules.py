@@ -50,13 +50,15 @@ def excluded_paths(entries: DataFrame, excludes: DataFrame, exclude_hidden: bool
 
 def excluded_by_join(entries: DataFrame, excludes: DataFrame, exclude_hidden: bool) -> DataFrame:
     """The same for long rule tables: fixed rules by equality joins, patterns by one
-    broadcast theta-join (a rule table is kept by hand, so it is small)."""
+    theta-join.  Regexes are tried one by one on the driver; those that do not compile
+    never match, as in ``exclude_match``."""
     e = entries.select("root", "path", "name", "is_folder")
     r = excludes.where("active")
     fits = "(target = 'both' or (target = 'files') = (not is_folder))"
-    fixed = [e.join(F.broadcast(r.where(f"type = 'fixed' and scope = '{s}'").select(F.col("pattern").alias(c), "target")), c).where(fits).select("root", "path", "is_folder") for s, c in (("full_path", "path"), ("basename", "name"))]
-    globs = r.where("type <> 'fixed'").withColumn("rx", F.concat(F.lit("(?d)"), F.when(F.col("type") == "wildcard", P.glob_to_regex("pattern")).otherwise(F.col("pattern"))))
-    theta = e.join(F.broadcast(globs), F.expr(f"(case when scope = 'full_path' then path else name end) rlike rx and {fits}"), "left_semi").select("root", "path", "is_folder")
+    fixed = [e.join(r.where(f"type = 'fixed' and scope = '{s}'").select(F.col("pattern").alias(c), "target"), c).where(fits).select("root", "path", "is_folder") for s, c in (("full_path", "path"), ("basename", "name"))]
+    broken = [x["pattern"] for x in r.where("type not in ('fixed', 'wildcard')").select("pattern").distinct().toLocalIterator() if not compiles("(?d)" + x["pattern"])]
+    globs = r.where("type <> 'fixed'").where((F.col("type") == "wildcard") | ~F.col("pattern").isin(broken)).withColumn("rx", F.concat(F.lit("(?d)"), F.when(F.col("type") == "wildcard", P.glob_to_regex("pattern")).otherwise(F.col("pattern"))))
+    theta = e.join(globs, F.expr(f"(case when scope = 'full_path' then path else name end) rlike rx and {fits}"), "left_semi").select("root", "path", "is_folder")
     parts = [*fixed, theta]
     if exclude_hidden:
         parts.append(e.where("startswith(name, '.')").select("root", "path", "is_folder"))
@@ -67,14 +69,23 @@ def excluded_by_join(entries: DataFrame, excludes: DataFrame, exclude_hidden: bo
 
 
 def below(entries: DataFrame, folders: DataFrame) -> DataFrame:
-    """(root, path) of entries that are, or lie below, one of the folders (root, path)."""
-    up = entries.select("root", "path", F.explode(F.array_append(P.ancestors("path", "root"), F.col("path"))).alias("at"))
-    return up.join(folders.select("root", F.col("path").alias("at")), ["root", "at"], "left_semi").select("root", "path").distinct()
+    """(root, path) of entries that are, or lie below, one of ``folders`` (root, path); one
+    row for each of those above it.  The root itself, which every entry lies below, joins
+    on the root alone, so that it is no hot key."""
+    folders = folders.select("root", F.col("path").alias("at"))
+    inner = F.filter(F.array_append(P.ancestors("path", "root"), F.col("path")), lambda p: p != F.col("root"))
+    hit = entries.select("root", "path", F.explode(inner).alias("at")).join(folders, ["root", "at"], "left_semi").select("root", "path")
+    whole = folders.where("at = root").select("root")
+    return hit.unionByName(entries.select("root", "path").join(whole, "root", "left_semi"))
 
 
 def apply_excludes(entries: DataFrame, excludes: DataFrame, exclude_hidden: bool = False) -> DataFrame:
     """Entries that no rule hits, neither themselves nor one of their folders."""
     gone = excluded_paths(entries, excludes, exclude_hidden)
+    rules = excludes.where("active").limit(INLINE_RULES + 1).collect()
+    if len(rules) <= INLINE_RULES:  # what is hit by itself is filtered, only folders are joined
+        entries = entries.where((F.col("path") == F.col("root")) | ~excluded(rules, exclude_hidden))
+        gone = gone.where("is_folder")
     return entries.join(below(entries, gone), ["root", "path"], "left_anti")
 
 
@@ -97,13 +108,13 @@ def union_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
     live = roots.where("active").select(F.col("path").alias("root")).distinct()
     cols = [c for c in entries.columns if c != "root"]
     up = entries.select(*cols, F.explode(F.array_append(P.ancestors("path", F.lit("/")), F.col("path"))).alias("root"))
-    return up.join(F.broadcast(live), "root").select("root", *cols)
+    return up.join(live, "root").select("root", *cols)
 
 
 def root_of(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """The innermost root of each path: (path, root), null without any."""
     up = paths.select("path", F.posexplode(F.array_append(P.ancestors("path", F.lit("/")), F.col("path"))).alias("i", "root"))
-    hit = up.join(F.broadcast(roots.select(F.col("path").alias("root")).distinct()), "root")
+    hit = up.join(roots.select(F.col("path").alias("root")).distinct(), "root")
     best = hit.groupBy("path").agg(F.max_by("root", "i").alias("root"))
     return paths.join(best, "path", "left")
 
@@ -111,5 +122,5 @@ def root_of(paths: DataFrame, roots: DataFrame) -> DataFrame:
 def same_device(entries: DataFrame) -> DataFrame:
     """Entries on the device of their root; a foreign device takes its subtree along."""
     home = entries.where("path = root").select("root", F.col("device").alias("home"))
-    foreign = entries.join(F.broadcast(home), "root").where("not (device <=> home)").select("root", "path")
+    foreign = entries.join(home, "root").where("not (device <=> home)").select("root", "path")
     return entries.join(below(entries, foreign), ["root", "path"], "left_anti")

@@ -45,17 +45,27 @@ def rollup_size(entries: DataFrame) -> DataFrame:
     return up.groupBy("root", F.col("folder").alias("path")).agg(F.sum(own).alias("total_size"), F.count_if(~F.col("is_folder")).alias("all_files"), F.count_if("is_folder").alias("all_folders"))
 
 
+def folder_table(files: DataFrame) -> DataFrame:
+    """All folders, given or implied, with recursive size and direct counts: root, path,
+    size, mtime, num_files, num_folders.  One aggregation over files and their ancestors
+    gives folders, sizes and files; another over the folders counts those below each."""
+    above = F.when(F.col("is_folder"), F.array("path")).otherwise(P.ancestors("path", "root"))
+    up = files.select("root", P.parent_of("path", "root").alias("parent"), "is_folder", "size", "mtime", F.explode(above).alias("folder"))
+    own = F.when(~F.col("is_folder"), F.col("size")).otherwise(0)
+    direct = ~F.col("is_folder") & (F.col("folder") == F.col("parent"))
+    found = up.groupBy("root", F.col("folder").alias("path")).agg(F.sum(own).alias("size"), F.count_if(direct).alias("num_files"), F.max(F.when(F.col("is_folder"), F.col("mtime"))).alias("mtime"))
+    inner = found.where("path <> root").groupBy("root", P.parent_of("path", "root").alias("path")).agg(F.count("*").alias("num_folders"))
+    out = found.join(inner, ["root", "path"], "left")
+    return out.select("root", "path", "size", F.coalesce("mtime", F.expr(EPOCH)).alias("mtime"), "num_files", F.coalesce("num_folders", F.lit(0)).alias("num_folders"))
+
+
 def catalog(files: DataFrame) -> DataFrame:
-    """The whole entries table: folders added, sizes and child counts rolled up."""
-    rows = with_folders(files)
-    folders = rows.where("is_folder")
-    sizes = rollup_size(rows).select("root", "path", "total_size")
-    counts = rollup_counts(rows)
-    folders = folders.join(sizes, ["root", "path"], "left").join(counts, ["root", "path"], "left")
-    folders = folders.select("root", "path", "is_folder", F.coalesce("total_size", F.lit(0)).alias("size"), "mtime", F.coalesce("num_files", F.lit(0)).alias("num_files"), F.coalesce("num_folders", F.lit(0)).alias("num_folders"))
+    """The whole entries table: folders added (one given twice counts once), sizes and
+    child counts rolled up."""
     none = F.lit(None).cast("bigint")
-    both = rows.where("not is_folder").select("root", "path", "is_folder", "size", "mtime", none.alias("num_files"), none.alias("num_folders")).unionByName(folders)
-    return described(both)
+    own = files.where("not is_folder").select("root", "path", "is_folder", "size", "mtime", none.alias("num_files"), none.alias("num_folders"))
+    folders = folder_table(files).select("root", "path", F.lit(True).alias("is_folder"), "size", "mtime", "num_files", "num_folders")
+    return described(own.unionByName(folders))
 
 
 def with_parent(entries: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey
 DOCUMENTS = """SELECT concat('/docs/', lang, '/', source, '/', CASE WHEN doc_id % 10 = 0 THEN '.' ELSE '' END, 'doc', doc_id,
   CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.tmp' WHEN 2 THEN '.html' ELSE '.' END) AS path,
   n_chars AS size, {stamp} '2024-01-01 00:00:00' AS mtime FROM {documents}"""
+WORDS = """SELECT concat('/', lang, '/', replace(split_part(text, ' ', 1), '/', ''), CASE doc_id % 3 WHEN 0 THEN '.éX' WHEN 1 THEN '.TXT' ELSE '' END) AS path,
+  max(n_chars) AS size, {stamp} '2024-01-01 00:00:00' AS mtime FROM {documents} WHERE replace(split_part(text, ' ', 1), '/', '') <> '' AND NOT contains(split_part(text, ' ', 1), chr(10)) GROUP BY 1"""
 PAGES = """SELECT path, max(size) AS size, {stamp} '2024-01-01 00:00:00' AS mtime FROM (
   SELECT concat('/', regexp_extract(url, '^https?://([^/?#]+)', 1),
     regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '')) AS path,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import literals, order
+from ..functions import literals, order, sql
 from ..functions import paths as P
 from ..functions.types import TABLE, content_type, file_type
 from ..operators import changes as C
@@ -16,7 +17,9 @@ from ..operators import predicates as D
 from ..operators import results as R
 from ..operators import rules as B
 from ..operators import tree as T
+from ..operators.ranges import range_join
 from ..sources import snapshot as S
+from ..sources.scratch import shared_folder
 from . import duck, fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +100,14 @@ def a5(spark, sf_dir):
     return B.same_device(orders_catalog(spark, sf_dir).withColumn("device", F.expr(_device))).select("path")
 
 
+@query("a6_a7_snapshot_round_trip", duck.entries() + "SELECT root, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, max(mtime) AS newest FROM entries GROUP BY root")
+def a67(spark, sf_dir):
+    """Saved as a new version in the shared folder, and what loading gives."""
+    path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    S.save_snapshot(orders_catalog(spark, sf_dir), path, roots(spark).select("path", "active"), rules(spark))
+    return S.load_snapshot(spark, path).groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("mtime").alias("newest"))
+
+
 @query("a6_a7_snapshot_content", duck.entries() + "SELECT root, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, max(mtime) AS newest FROM entries GROUP BY root")
 def a6(spark, sf_dir):
     """The rows that a snapshot holds; saving and loading are tested as a round trip."""
@@ -108,7 +119,10 @@ for _what, _sql in (("full_path", "path"), ("parent_path", "parent_path"), ("nam
     ORACLES[f"a9_export_{_what}"] = duck.entries() + f"SELECT {_sql} AS value FROM entries"
 
 
-@query("a10_uri")
+_uri = "'file://' || list_reduce(list_transform(string_split(path, '/'), lambda p: url_encode(p)), lambda a, b: a || '/' || b)"
+
+
+@query("a10_uri", duck.entries(DOCS) + f"SELECT {_uri} AS value FROM entries")
 def a10(spark, sf_dir):
     return S.lines(docs_catalog(spark, sf_dir), "uri")
 
@@ -184,7 +198,12 @@ def c11(spark, sf_dir):
     return R.describe(orders_catalog(spark, sf_dir), ["name", "size", "access_time"])
 
 
-@query("c12_format_size")
+def _shown(base: int, units: list[str]) -> str:
+    steps = " ".join(f"WHEN size < {base ** (i + 1)} THEN printf('%.1f', size / {float(base) ** i}) || ' {u}'" for i, u in enumerate(units, 1))
+    return f"CASE WHEN size = 1 THEN '1 byte' WHEN size < {base} THEN size || ' bytes' {steps} END"
+
+
+@query("c12_format_size", duck.entries() + f"SELECT path, {_shown(1000, ['kB', 'MB', 'GB', 'TB'])} AS si, {_shown(1024, ['KiB', 'MiB', 'GiB', 'TiB'])} AS iec FROM entries")
 def c12(spark, sf_dir):
     return orders_catalog(spark, sf_dir).select("path", P.format_size("size").alias("si"), P.format_size("size", iec=True).alias("iec"))
 
@@ -202,6 +221,8 @@ def c14(spark, sf_dir):
 _f = duck.fold
 _search("d1_contains", lambda: D.term("ORDER1"), f"contains({_f('name')}, 'order1')")
 _search("d2_contains_beyond_ascii", lambda: D.term("ordér"), "false")
+_search("d2_contains_accents", lambda: D.any_of(D.term("É"), D.term("ÜBER", D.Flags(exact=True))), "contains(lower(name), 'é') OR lower(name) = 'über'", fixtures.WORDS)
+_search("d10_extension_accents", lambda: D.ext("éX", "Txt"), f"NOT is_folder AND {_f('ext')} IN ('éx', 'txt')", fixtures.WORDS)
 _search("d3_contains_case", lambda: D.term("JPG", D.Flags(case=True)), "contains(name, 'JPG')")
 _search("d4_exact", lambda: D.any_of(D.term("ORDER1.PDF", D.Flags(exact=True)), D.term("asia", D.Flags(exact=True)), D.term("europe", D.Flags(exact=True, case=True))), f"{_f('name')} IN ('order1.pdf', 'asia')")
 _search("d5_wildcard", lambda: D.term("order1*.p?f"), f"regexp_matches({_f('name')}, '^order1.*\\.p.f$')")
@@ -232,7 +253,16 @@ def d23(spark, sf_dir):
     return D.search(D.search(orders_catalog(spark, sf_dir), D.term("99"), FL.default_filters()["Files"])).select("path")
 
 
-_tags = {"All": "true", "Folders": "is_folder", "Files": "NOT is_folder"} | {FL.NAMES[k]: "NOT is_folder AND ext IN (" + ", ".join(repr(x) for x in v) + ")" for k, v in FL.EXTENSIONS.items()}
+# What each default search lists, by itself.
+_lists = {
+    "Applications": "desktop",
+    "Archives": "7z ace arj bz2 cab gz gzip jar r00 r01 r02 r03 r04 r05 r06 r07 r08 r09 r10 r11 r12 r13 r14 r15 r16 r17 r18 r19 r20 r21 r22 r23 r24 r25 r26 r27 r28 r29 rar tar tgz z zip",
+    "Audio": "aac ac3 aif aifc aiff au cda dts fla flac it m1a m2a m3u m4a mid midi mka mod mp2 mp3 mpa ogg opus ra rmi spc snd umx voc wav wma xm",
+    "Documents": "c chm cpp csv cxx doc docm docx dot dotm dotx h hpp htm html hxx ini java lua mht mhtml ods odt odp pdf potx potm ppam ppsm ppsx pps ppt pptm pptx rtf sldm sldx thmx txt vsd vsdx wpd wps wri xlam xls xlsb xlsm xlsx xltm xltx xml",
+    "Pictures": "ani bmp gif ico jpe jpeg jpg pcx png psd tga tif tiff webp svg avif nef dds exr hdr wmf",
+    "Videos": "3g2 3gp 3gp2 3gpp amr amv asf avi bdmv bik d2v divx drc dsa dsm dss dsv evo f4v flc fli flic flv hdmov ifo ivf m1v m2p m2t m2ts m2v m4b m4p m4v mkv mp2v mp4 mp4v mpe mpeg mpg mpls mpv2 mpv4 mov mts ogm ogv pss pva qt ram ratdvd rm rmm rmvb roq rpm smil smk swf tp tpr ts vob vp6 webm wm wmp wmv",
+}
+_tags = {"All": "true", "Folders": "is_folder", "Files": "NOT is_folder"} | {k: "NOT is_folder AND ext IN (" + ", ".join(repr(x) for x in [*v.split(), *v.upper().split(), *([""] if k == "Pictures" else [])]) + ")" for k, v in _lists.items()}
 
 
 @query("d26_h6_default_filters", duck.entries() + " UNION ALL ".join(f"SELECT path, '{k}' AS search FROM entries WHERE {v}" for k, v in _tags.items()))
@@ -285,11 +315,27 @@ INTERVALS = [("small", 0, 50_000), ("middle", 50_000, 200_000), ("large", 200_00
 
 @query("j6_range_join", duck.entries() + ", r(name, lo, hi) AS (VALUES " + ", ".join(map(repr, INTERVALS)) + ") SELECT r.name AS search, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM entries JOIN r ON size >= lo AND size < hi WHERE NOT is_folder GROUP BY 1")
 def j6(spark, sf_dir):
-    table = F.broadcast(spark.createDataFrame(INTERVALS, "search string, lo bigint, hi bigint"))
-    rows = orders_catalog(spark, sf_dir).where("not is_folder").join(table, F.expr("size >= lo and size < hi"))
+    rows = range_join(orders_catalog(spark, sf_dir).where("not is_folder"), "size", spark.createDataFrame(INTERVALS, "search string, lo bigint, hi bigint"))
     return rows.groupBy("search").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
+@query("j6_range_join_of_tables", "WITH r AS (SELECT c_custkey AS k, CAST(c_custkey AS BIGINT) * 200 AS lo, CAST(c_custkey AS BIGINT) * 200 + c_custkey % 7 * 300 AS hi FROM customer) SELECT r.k, count(*) AS n, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS bytes FROM orders JOIN r ON floor(o_totalprice) >= lo AND floor(o_totalprice) < hi GROUP BY 1")
+def j6b(spark, sf_dir):
+    """Two tables that both grow: prices in intervals, one for each customer."""
+    k = F.col("c_custkey").cast("bigint")
+    intervals = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), (k * 200).alias("lo"), (k * 200 + k % 7 * 300).alias("hi"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.floor("o_totalprice").cast("bigint").alias("size"))
+    return range_join(rows, "size", intervals, few=0).groupBy("k").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+@query("sql_functions", duck.entries(DOCS) + f"SELECT path, parent_path, name, depth, ext, CASE WHEN path = '/' THEN 0 ELSE len(string_split(path, '/')) - 1 END AS n_above, {_f('name')} AS folded FROM entries")
+def sql_functions(spark, sf_dir):
+    """The temporary SQL functions over the canonical table."""
+    sql.register(spark)
+    rows = docs_catalog(spark, sf_dir).select("root", "path", "is_folder")
+    return spark.sql("SELECT path, path_parent(path, root) AS parent_path, path_name(path) AS name, path_depth(path, root) AS depth, path_ext(path_name(path), is_folder) AS ext, size(path_ancestors(path, root)) AS n_above, path_fold(path_name(path)) AS folded FROM {rows}", rows=rows)
+
+
 @query("f1_f4_j5_rollups", duck.entries() + "SELECT path, num_files, num_folders, num_files + num_folders AS children, size FROM entries WHERE is_folder")
 def f1(spark, sf_dir):
     return orders_catalog(spark, sf_dir).where("is_folder").select("path", "num_files", "num_folders", (F.col("num_files") + F.col("num_folders")).alias("children"), "size")
@@ -380,6 +426,15 @@ def h8(spark, sf_dir):
     return docs_catalog(spark, sf_dir).select("path", show(R.highlight_term("doc1")).alias("term"), show(R.highlight_ext()).alias("ext"), show(R.highlight_size()).alias("size"))
 
 
+_piece = f"x AS (SELECT path, regexp_extract(name, '(?i)oc[0-9]+') AS m, strpos({_f('name')}, 'oc') AS o, strpos({_f('path')}, 'src1/doc') AS p, strlen(path) - strlen(name) AS cut FROM entries)"
+
+
+@query("h8_h9_accents", duck.entries(fixtures.WORDS) + ", x AS (SELECT path, name, strpos(lower(name), 'é') AS a FROM entries) SELECT path, CASE WHEN a > 0 THEN 'name:' || strlen(left(name, a - 1)) || ':' || strlen(left(name, a)) ELSE '' END AS term FROM x")
+def h8c(spark, sf_dir):
+    show = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["field"], x["start"].cast("string"), x["end"].cast("string"))), "|")
+    return T.catalog(fixtures.files(spark, sf_dir, fixtures.WORDS)).select("path", show(R.highlight_term("É")).alias("term"))
+
+
 @query("h8_regex_and_path_highlights")
 def h8b(spark, sf_dir):
     return docs_catalog(spark, sf_dir).select("path", R.highlight_regex("oc([0-9]+)", groups=1).alias("rx"), R.highlight_path("src1/doc").alias("split"))
@@ -499,6 +554,11 @@ def x2(spark, sf_dir):
     return R.rank_within(orders_catalog(spark, sf_dir), "parent_path").select("path", "rank")
 
 
+@query("x3_running_total", duck.entries() + "SELECT path, CAST(sum(size) OVER (PARTITION BY parent_path ORDER BY size DESC, path ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM entries")
+def x3b(spark, sf_dir):
+    return R.share_of_parent(orders_catalog(spark, sf_dir)).select("path", "running")
+
+
 @query("x3_share_of_parent", duck.entries() + "SELECT e.path, CASE WHEN p.size > 0 THEN e.size / p.size END AS share FROM entries e LEFT JOIN entries p ON p.path = e.parent_path")
 def x3(spark, sf_dir):
     return R.share_of_parent(orders_catalog(spark, sf_dir)).select("path", "share")

@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import col
 from ..operators.tree import EPOCH
+from .scratch import settled
 
 
 def read_inventory(df: DataFrame, path: str = "path", size: str | None = "size", mtime: str | None = "mtime", is_folder: str | None = None, root: str | Column = "/") -> DataFrame:
-    """root, path, is_folder, size, mtime.  Absent or null sizes are 0, times the epoch,
-    so later predicates see no nulls and push down; trailing slashes go; rows without a
-    path, or with an empty one, go."""
+    """root, path, is_folder, size, mtime.  Absent, null or malformed sizes are 0, times the
+    epoch, so later predicates see no nulls and push down; trailing slashes go; rows
+    without a path, or with an empty one, go."""
     p = col(path)
     p = F.when(p == "/", p).otherwise(F.regexp_replace(p, "/+$", ""))
     r = F.lit(root) if isinstance(root, str) else root
-    s = F.coalesce(col(size).cast("bigint"), F.lit(0)) if size else F.lit(0)
-    m = F.coalesce(col(mtime).cast("timestamp_ntz"), F.expr(EPOCH)) if mtime else F.expr(EPOCH)
-    f = F.coalesce(col(is_folder).cast("boolean"), F.lit(False)) if is_folder else F.lit(False)
+    s = F.coalesce(col(size).try_cast("bigint"), F.lit(0)) if size else F.lit(0)
+    m = F.coalesce(col(mtime).try_cast("timestamp_ntz"), F.expr(EPOCH)) if mtime else F.expr(EPOCH)
+    f = F.coalesce(col(is_folder).try_cast("boolean"), F.lit(False)) if is_folder else F.lit(False)
     return df.select(r.alias("root"), p.alias("path"), f.alias("is_folder"), s.cast("bigint").alias("size"), m.alias("mtime")).where("path <> ''")
 
 
@@ -55,7 +56,7 @@ def scan_tree(spark: SparkSession, roots: list[str], tasks: int = 32) -> DataFra
     out = spark.createDataFrame(start, _LISTED)
     while True:
         found = level.repartition(tasks, "path").mapInPandas(_list, _LISTED)
-        found = found.checkpoint() if spark.sparkContext.getCheckpointDir() else found.persist()
+        found = settled(found)
         out = out.unionByName(found)
         level = found.where("is_folder").select("root", "path")
         if not level.take(1):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.changes import event_stats, fold, normalise, watch
+from ..operators.changes import event_stats, live, merged, normalise, states, watch
 
 CHANGES = "seq bigint, ts timestamp, root string, path string, kind string, is_folder boolean, size bigint, mtime timestamp_ntz"
 
@@ -29,52 +29,82 @@ def once(changes: DataFrame, late: str = "1 minute") -> DataFrame:
 
 
 class PathState(StatefulProcessor):
-    """The last state of one path; it depends on seq alone, not on the order of arrival
-    inside a batch."""
+    """The last state of one path.  The event that decides and the last values are kept
+    apart, so the state hangs on seq alone, whatever the order or batch of arrival, and an
+    event that comes twice changes nothing."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("entry", "seq bigint, live boolean, size bigint, mtime timestamp")
+        self.state = handle.getValueState("entry", "seq bigint, live boolean, vseq bigint, size bigint, mtime timestamp")
 
     def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("seq")
-        seq, live, size, mtime = self.state.get() if self.state.exists() else (-1, False, None, None)
-        for e in events.itertuples():
-            if e.seq <= seq:
-                continue
-            if e.action == "upsert" or e.action == "update" and live:
-                live, size, mtime = True, e.size, e.mtime
-            elif e.action == "delete":
-                live = False
-            seq = e.seq
-        self.state.update((int(seq), bool(live), None if size is None else int(size), mtime))
-        yield pd.DataFrame({"root": [key[0]], "path": [key[1]], "seq": [seq], "live": [live], "size": pd.array([size], "Int64"), "mtime": [mtime]})
+        seq, live, vseq, size, mtime = self.state.get() if self.state.exists() else (-1, False, -1, None, None)
+        for e in pd.concat(list(rows)).itertuples():
+            if e.action != "update" and e.seq > seq:
+                seq, live = e.seq, e.action == "upsert"
+            if e.action in ("upsert", "update") and e.seq > vseq:
+                vseq, size, mtime = e.seq, e.size, e.mtime
+        self.state.update((int(seq), bool(live), int(vseq), None if size is None or pd.isna(size) else int(size), None if mtime is None or pd.isna(mtime) else mtime))
+        yield pd.DataFrame({"root": [key[0]], "path": [key[1]], "seq": [max(seq, vseq)], "live": [live], "size": pd.array([size], "Int64"), "mtime": [mtime]})
 
     def close(self) -> None:
         pass
 
 
 def fold_paths(changes: DataFrame) -> DataFrame:
-    """Per path its newest state (files only: subtrees go through ``write_catalog``).  The
-    session's state store must be RocksDB."""
-    events = normalise(changes).select("root", "path", "seq", "action", "size", F.col("mtime").cast("timestamp").alias("mtime"))
+    """Per path its newest state (files only: removals of folders and roots go through
+    ``write_catalog``).  The session's state store must be RocksDB."""
+    events = normalise(changes).where("action in ('upsert', 'update', 'delete')").select("root", "path", "seq", "action", "size", F.col("mtime").cast("timestamp").alias("mtime"))
     return events.groupBy("root", "path").transformWithStateInPandas(statefulProcessor=PathState(), outputStructType="root string, path string, seq bigint, live boolean, size bigint, mtime timestamp", outputMode="Update", timeMode="None")
 
 
+_STATE = "root string, path string, deciding struct<seq: bigint, action: string>, v struct<seq: bigint, is_folder: boolean, size: bigint, mtime: timestamp_ntz>, gone bigint"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _states(spark: SparkSession, catalog: str, most: int | None = None) -> DataFrame:
+    out = spark.createDataFrame([], _STATE)
+    base = -1
+    if _exists(spark, f"{catalog}/base"):
+        kept = spark.read.schema(_STATE + ", upto bigint").parquet(f"{catalog}/base")
+        base = kept.agg(F.max("upto")).first()[0]
+        base = -1 if base is None else base
+        out = kept.where(F.col("upto") == base).drop("upto")
+    if _exists(spark, f"{catalog}/deltas"):
+        new = spark.read.schema(_STATE + ", batch bigint").parquet(f"{catalog}/deltas").where(F.col("batch") > base)
+        out = merged(out, (new if most is None else new.where(F.col("batch") <= most)).drop("batch"))
+    return out
+
+
+def read_catalog(spark: SparkSession, catalog: str, batch: int | None = None) -> DataFrame:
+    """The snapshot that ``write_catalog`` has come to, or had after a batch (one since the
+    last ``compact``)."""
+    return live(_states(spark, catalog, batch))
+
+
+def compact(spark: SparkSession, catalog: str) -> None:
+    """Merges the batches so far into one table, which later reads start from."""
+    upto = spark.read.schema(_STATE + ", batch bigint").parquet(f"{catalog}/deltas").agg(F.max("batch")).first()[0]
+    if upto is not None:
+        _states(spark, catalog, upto).write.mode("overwrite").parquet(f"{catalog}/base/upto={upto}")
+
+
 def write_catalog(changes: DataFrame, catalog: str, checkpoint: str, searches: dict[str, Column] | None = None, deltas: str | None = None, describe=None, trigger: dict | None = None) -> StreamingQuery:
-    """Folds each batch into the catalog: version n + 1 is written beside version n, so a
-    batch that is tried again starts from the same state.  With ``searches`` what enters
-    and leaves each of them is appended to ``deltas``."""
+    """Appends what each batch says of its paths, and nothing else: states merge in any
+    order, so late events, and batches that are tried again, end as one fold of the whole
+    feed would.  With ``searches`` what enters and leaves each of them is appended to
+    ``deltas``."""
 
     def batch(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
-        df = df.persist()
-        before = spark.read.parquet(f"{catalog}/v{n}") if n else spark.createDataFrame([], "root string, path string, is_folder boolean, size bigint, mtime timestamp_ntz")
-        fold(df, before).write.mode("overwrite").parquet(f"{catalog}/v{n + 1}")
+        states(df).write.mode("overwrite").parquet(f"{catalog}/deltas/batch={n}")
         if searches and deltas:
-            after = spark.read.parquet(f"{catalog}/v{n + 1}")
             full = describe or (lambda x: x)
+            before, after = read_catalog(spark, catalog, n - 1), read_catalog(spark, catalog, n)
             watch(full(before), full(after), searches).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{deltas}/batch={n}")
-        df.unpersist()
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 

@@ -1,14 +1,21 @@
 """Round trips and properties of the catalog."""
 
+import random
 import time
+import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
+from pathloom.functions import literals, sql
+from pathloom.functions import paths as P
 from pathloom.operators import changes as C
 from pathloom.operators import rules as B
 from pathloom.operators import tree as T
+from pathloom.operators.ranges import range_join
 from pathloom.plans import queries as plans
 from pathloom.sources import inventory, snapshot
+from pathloom.sources.scratch import shared_folder
 from pathloom.streaming import feed
 
 FEED = [
@@ -61,9 +68,8 @@ def test_stream_is_batch(spark, tmp_path):
     stream = feed.read_changes(spark, str(tmp_path / "in"), 1)
     q = feed.write_catalog(stream, str(tmp_path / "cat"), str(tmp_path / "ck"), trigger={"availableNow": True})
     q.awaitTermination(120)
-    n = len(list((tmp_path / "cat").iterdir()))
     final = C.fold(df, df.select(*T.CORE).where("false"))
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / f"cat/v{n}")).collect())) == sorted(map(tuple, final.collect()))
+    assert sorted(map(tuple, feed.read_catalog(spark, str(tmp_path / "cat")).collect())) == sorted(map(tuple, final.collect()))
 
 
 def test_type_order_of_all_entries(spark):
@@ -76,3 +82,101 @@ def test_type_order_of_all_entries(spark):
         want = db.execute(plans.ORACLES["g4_g6_sort_type_all"]).fetchall()
     got = [tuple(r) for r in plans.QUERIES["g4_g6_sort_type_all"](spark, folder).collect()]
     assert sorted(got) == sorted(want) and sorted(i for _, i in got) == list(range(len(got)))
+
+
+def test_stream_of_late_events_is_batch(spark, tmp_path):
+    """Batches out of order, a batch twice, removals of folders and of the root."""
+    rows = [*FEED, (10, "/r/c/d", "CREATE", False, 4), (11, "/r", "DELETE_SELF", True, 0), (12, "/r/c/e", "CREATE", False, 6), (13, "/r/c/e", "ATTRIB", False, 1), (14, "/r/c/f", "CREATE", False, 2), (15, "/r/c", "DELETE", True, 0), (16, "/r/c/g", "CREATE", False, 3)]
+    df = changes(spark, rows)
+    batches = [(13, 13), (6, 9), (1, 5), (15, 16), (10, 12), (6, 9), (14, 14)]
+    for a, b in batches:
+        df.where(f"seq between {a} and {b}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.2)
+    out = str(tmp_path / "cat")
+    q = feed.write_catalog(feed.read_changes(spark, str(tmp_path / "in"), 1), out, str(tmp_path / "ck"), {"all": F.lit(True)}, str(tmp_path / "out"), trigger={"availableNow": True})
+    assert q.awaitTermination(180) and not q.exception()
+    want = sorted(map(tuple, C.fold(df, df.select(*T.CORE).where("false")).collect()))
+    got = lambda: sorted(map(tuple, feed.read_catalog(spark, out).collect()))
+    assert [r[1] for r in want] == ["/r/c/g"] and got() == want
+    feed.compact(spark, out)
+    assert got() == want
+    moved = spark.read.parquet(str(tmp_path / "out")).groupBy("path").agg(F.sum(F.when(F.col("delta") == "enter", 1).otherwise(-1)).alias("n")).where("n <> 0")
+    assert [tuple(r) for r in moved.collect()] == [("/r/c/g", 1)]
+    # by path, whatever the order of batches: an update that comes before the entry it is of
+    two = changes(spark, [(6, "/r/x", "ATTRIB", False, 7), (5, "/r/x", "CREATE", False, 1)])
+    for seq in (6, 5):
+        two.where(f"seq = {seq}").coalesce(1).write.mode("append").parquet(str(tmp_path / "two"))
+        time.sleep(0.2)
+    q = feed.fold_paths(feed.read_changes(spark, str(tmp_path / "two"), 1)).writeStream.outputMode("update").format("memory").queryName("folded").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+    assert q.awaitTermination(180) and not q.exception()
+    assert [(r["live"], r["size"]) for r in spark.table("folded").collect()][-1] == (True, 7)
+
+
+def test_snapshot_refusals(spark, tmp_path):
+    rows = T.catalog(changes(spark).where("kind = 'CREATE'").select(*T.CORE))
+    rules, roots = B.default_excludes(spark), spark.createDataFrame([("/r", True)], "path string, active boolean")
+    path = str(tmp_path / "snap")
+    base = snapshot.save_snapshot(rows, path, roots, rules)
+    assert snapshot.load_snapshot(spark, path).count() == rows.count()
+    spark.createDataFrame([("/other", True)], roots.schema).write.mode("append").parquet(f"{base}/roots")
+    with pytest.raises(ValueError, match="changed"):
+        snapshot.load_snapshot(spark, path)
+    newer = spark.read.parquet(f"{path}/manifest").withColumn("major", F.lit(snapshot.MAJOR + 1)).withColumn("saved", F.current_timestamp())
+    newer.write.mode("append").parquet(f"{path}/manifest")
+    with pytest.raises(ValueError, match="version"):
+        snapshot.load_snapshot(spark, path)
+
+
+def test_malformed_inventory_values(spark):
+    rows = spark.createDataFrame([("/a", "12x", "no date", "maybe"), ("/b/", "7", "2024-01-02", "true"), ("", "1", None, None), (None, "1", None, None)], "path string, size string, mtime string, d string")
+    got = {r["path"]: (r["size"], str(r["mtime"]), r["is_folder"]) for r in inventory.read_inventory(rows, is_folder="d").collect()}
+    assert got == {"/a": (0, "1970-01-01 00:00:00", False), "/b": (7, "2024-01-02 00:00:00", True)}
+
+
+def test_long_rule_tables(spark):
+    """Beyond the inline bound the same rules, broken ones too, give the same rows."""
+    few = [("(", True, "regex", "basename", "both"), ("x.*", True, "regex", "basename", "both"), ("/r/b", True, "fixed", "full_path", "folders")]
+    many = few + [(f"name{i}", True, "fixed", "basename", "both") for i in range(B.INLINE_RULES + 10)]
+    rows = T.described(spark.createDataFrame([("/r", p, d) for p, d in (("/r/x1", False), ("/r/b", True), ("/r/b/c", False), ("/r/d", False), ("/r", True))], "root string, path string, is_folder boolean"))
+    for rules in (few, many):
+        got = B.apply_excludes(rows, spark.createDataFrame(rules, B.RULE))
+        assert sorted(r["path"] for r in got.collect()) == ["/r", "/r/d"]
+
+
+def test_range_join_by_cells(spark):
+    rnd = random.Random(6)
+    values = [rnd.randint(-300, 300) for _ in range(200)] + [None, 2**62, -(2**62)]
+    ranges = [(i, *sorted((rnd.randint(-320, 320), rnd.randint(-320, 320)))) for i in range(60)] + [(98, -(2**62), 2**62), (99, 5, 5)]
+    rows, table = spark.createDataFrame([(v,) for v in values], "v bigint"), spark.createDataFrame(ranges, "k int, lo bigint, hi bigint")
+    want = sorted((v, k) for v in values if v is not None for k, lo, hi in ranges if lo <= v < hi)
+    for few in (0, 1000):
+        assert sorted((r["v"], r["k"]) for r in range_join(rows, "v", table, few=few).collect()) == want
+
+
+def test_sql_functions(spark):
+    sql.register(spark)
+    one = lambda q: spark.sql(f"SELECT {q}").first()[0]
+    assert one("path_ancestors('/a/b/c', '/')") == ["/", "/a", "/a/b"] and one("path_ancestors('/a', '/a')") == []
+    assert one("path_ancestors('/a/b/c', '/a')") == ["/a", "/a/b"] and one("path_depth('/a/b/c', '/a')") == 2
+    assert one("path_parent('/a', '/')") == "/" and one("path_join('/', 'x')") == "/x" and one("path_ext('a.tar.gz', false)") == "gz"
+    for glob in ("?b.c", "*a[b]", "|{x"):
+        assert one(f"glob_to_regex('{glob}')") == spark.range(1).select(P.glob_to_regex(F.lit(glob))).first()[0]
+    for text in ("12mb", "100", "9223372036854775t", "x", "3K"):
+        assert one(f"size_interval('{text}')") == spark.range(1).select(literals.size_interval(F.lit(text))).first()[0]
+
+
+def test_scans_and_pushdown(spark):
+    """A search over the catalog reads each table twice at most, and a filter on a stored
+    catalog reaches the Parquet scan."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = plans.orders_catalog(spark, "/root/testdata/sf0.001").where("size > 1000 and is_folder")
+    assert plan(rows).count("FileScan parquet") <= 12
+    stored = snapshot_of(spark).where((F.col("size") > 1000) & F.col("name").startswith("a")).select("path")
+    text = plan(stored)
+    assert "GreaterThan(size,1000)" in text and "StringStartsWith(name,a)" in text and "mtime" not in text.split("ReadSchema")[1]
+
+
+def snapshot_of(spark):
+    path = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    plans.orders_catalog(spark, "/root/testdata/sf0.001").write.parquet(path)
+    return spark.read.parquet(path)
