@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -228,16 +229,19 @@ def scan(texts: list[str | None], phrases: Phrases):
             yield int(w.counts[k]), [(a - base, b - base) for a, b in own], items.get(k, set()), [(int(w.start[a]) - byte, int(w.end[b - 1]) - byte) for a, b in own]
 
 
-def _blocks(items: DataFrame, size: int) -> list[Phrases]:
-    """The test items, in blocks of bounded bytes."""
+def _blocks(items: DataFrame, size: int) -> list[Broadcast]:
+    """The test items, a broadcast for each block of bounded bytes; the driver holds one
+    block at a time, the workers hold all: a benchmark, not a corpus."""
+    share = items.sparkSession.sparkContext.broadcast
     held, blocks, total = [], [], 0
     for row in items.toLocalIterator():
         held.append((row[0], row[1]))
-        total += len(row[1] or "")
+        total += len(encoded(row[1]))
         if total > BLOCK_BYTES:
-            blocks.append(Phrases(held, size))
+            blocks.append(share(Phrases(held, size)))
             held, total = [], 0
-    blocks.append(Phrases(held, size))
+    if held or not blocks:
+        blocks.append(share(Phrases(held, size)))
     return blocks
 
 
@@ -250,13 +254,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     blocks = _blocks(items.select(item_id, item_text), size)
     texts = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"))
-    shared = texts.sparkSession.sparkContext.broadcast(blocks)
 
     def find(batches):
         for pdf in batches:
             names, rows = pdf["__id"].to_numpy(), []
             texts = pdf["__text"].tolist()
-            for found in zip(*(scan(texts, p) for p in shared.value), strict=True):
+            for found in zip(*(scan(texts, b.value) for b in blocks), strict=True):
                 hit: set = set()
                 for f in found:
                     for a, b in f[1]:
@@ -292,18 +295,18 @@ def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS)
     """``docs`` with every occurrence of a test phrase cut out of text, and n_chars to
     match; other documents and columns stay as they are."""
     blocks = _blocks(items.select("item_id", "text"), size)
-    shared = docs.sparkSession.sparkContext.broadcast(blocks)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series) -> pd.Series:
         out = texts.copy()
         held = texts.tolist()
-        dirty = {k for p in shared.value for k, found in enumerate(scan(held, p)) if found[1]}
+        dirty = {k for b in blocks for k, found in enumerate(scan(held, b.value)) if found[1]}
         for k in dirty:
-            out.iloc[k] = without_phrases(held[k], shared.value)
+            out.iloc[k] = without_phrases(held[k], [b.value for b in blocks])
         return out
 
-    clean = docs.withColumn("text", cut("text"))
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+    # the given columns stay together, so none of their names can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), cut("text").alias("text"))
+    same = F.col("text").eqNullSafe(F.col("row.text"))
+    new = {"text": F.col("text"), "n_chars": F.when(same, F.col("row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return rows.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))

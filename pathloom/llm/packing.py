@@ -75,13 +75,15 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     """
     n = docs.count()
     groups = max(1, -(-n // group_docs))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")))), F.lit(groups)).alias("pack"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")))).alias("pack"))
 
     def cut(batches):
         enc = encoder(vocabulary)
         for pdf in batches:
             rows = []
-            packs, names = pdf["pack"].tolist(), pdf["doc_id"]
+            # rows that repeat an id and a text go to one group after another
+            packs = ((pdf["pack"] + pdf.groupby("pack").cumcount()) % groups).tolist()
+            names = pdf["doc_id"]
             for k, ids in enumerate(enc.encode([t if isinstance(t, str) else "" for t in pdf["text"]])):
                 raw, total = ids.astype("<u4").tobytes(), len(ids)
                 for a in range(0, total, capacity):

@@ -103,7 +103,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                 score = x[rows] @ one
                 score[ids[rows] == name] = -np.inf
                 floor = np.partition(score, -k)[-k] if len(score) > k else -np.inf
-                take = np.flatnonzero((score >= floor - 1e-9) & np.isfinite(score))
+                take = np.flatnonzero((score >= floor - 1e-9 * max(1.0, abs(floor))) & np.isfinite(score))
                 take = take[np.lexsort((ids[rows[take]], -score[take]))][: 2 * k]
                 parts.append(pd.DataFrame({"query_id": name, "vec_id": ids[rows[take]], "q": [one] * len(take), "v": list(x[rows[take]])}))
         return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "q": [], "v": []})

@@ -26,6 +26,21 @@ def neighbours(conversations: DataFrame) -> DataFrame:
     return pairs.select("pair_id", F.col("x.conv_id").alias("chosen_id"), F.col("y.conv_id").alias("rejected_id"), F.col("x.turns").alias("chosen"), F.col("y.turns").alias("rejected"))
 
 
+def answers_replaced(conversations: DataFrame) -> DataFrame:
+    """Pairs that share turns, one for each conversation with an answer: it is chosen as far
+    as its last answer; rejected is the same with that answer given by the neighbour (2 n
+    by 2 n + 1 and the reverse), or left empty where there is none.
+    (pair_id, chosen_id, rejected_id: the neighbour's or null, chosen, rejected)"""
+    answers = "filter(transform(turns, (x, i) -> named_struct('i', i, 'role', x.role, 'text', x.text)), x -> x.role = 'assistant')"
+    rows = conversations.select("conv_id", "turns", F.expr(f"try_element_at({answers}, -1)").alias("last"))
+    rows = rows.select("conv_id", F.expr("case when last is not null then slice(turns, 1, last.i + 1) end").alias("turns"), F.expr("last.text").alias("answer"))
+    # a neighbour's answer alone moves, not its turns
+    meet = rows.select(F.expr("conv_id + 1 - 2 * pmod(conv_id, 2)").alias("conv_id"), F.col("conv_id").alias("other"), "answer")
+    pairs = rows.where("turns is not null").drop("answer").join(meet, "conv_id", "left")
+    changed = "concat(slice(turns, 1, size(turns) - 1), transform(slice(turns, -1, 1), x -> named_struct('turn', x.turn, 'role', x.role, 'text', coalesce(answer, ''))))"
+    return pairs.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), F.col("other").alias("rejected_id"), F.col("turns").alias("chosen"), F.expr(changed).alias("rejected"))
+
+
 def formatted(pairs: DataFrame) -> DataFrame:
     """``pairs`` (pair_id, chosen_id, rejected_id, chosen, rejected: arrays of turns) ->
     pair_id, chosen_id, rejected_id, n_common, prompt, chosen_text, rejected_text,

@@ -63,25 +63,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op5_preferences", """
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
-l AS (SELECT conv_id, coalesce(arg_max(CASE WHEN role = 'assistant' THEN length(text) END, CASE WHEN role = 'assistant' THEN i END), 0) AS k FROM o GROUP BY conv_id),
-r AS (SELECT conv_id, conv_id // 2 AS pair_id, row_number() OVER (PARTITION BY conv_id // 2 ORDER BY k DESC, conv_id) AS place, count(*) OVER (PARTITION BY conv_id // 2) AS m FROM l),
-p AS (SELECT a.pair_id, a.conv_id AS chosen_id, b.conv_id AS rejected_id FROM r a JOIN r b ON a.pair_id = b.pair_id AND a.place = 1 AND b.place = 2 WHERE a.m = 2),
-d AS (SELECT p.pair_id, min(CASE WHEN y.conv_id IS NULL OR x.role <> y.role OR x.text <> y.text THEN x.i END) - 1 AS cut, count(*) AS n
-  FROM p JOIN o x ON x.conv_id = p.chosen_id LEFT JOIN o y ON y.conv_id = p.rejected_id AND y.i = x.i GROUP BY p.pair_id),
-c AS (SELECT p.*, coalesce(d.cut, d.n) AS n_common FROM p JOIN d USING (pair_id)),
-g AS (SELECT pair_id, chosen_id, rejected_id, n_common, conv_id, i, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s,
-  CASE WHEN role = 'assistant' AND i > n_common THEN length(text) + 8 ELSE 0 END AS learnt FROM c JOIN o ON o.conv_id IN (chosen_id, rejected_id))
-SELECT pair_id, chosen_id, rejected_id, n_common,
-  sha256(coalesce(string_agg(s, '' ORDER BY i) FILTER (conv_id = chosen_id AND i <= n_common), '')) AS prompt_sha256,
-  sha256(coalesce(string_agg(s, '' ORDER BY i) FILTER (conv_id = chosen_id AND i > n_common), '')) AS chosen_sha256,
-  sha256(coalesce(string_agg(s, '' ORDER BY i) FILTER (conv_id = rejected_id AND i > n_common), '')) AS rejected_sha256,
-  CAST(coalesce(sum(learnt) FILTER (conv_id = chosen_id), 0) AS BIGINT) AS chosen_learnt,
-  CAST(coalesce(sum(learnt) FILTER (conv_id = rejected_id), 0) AS BIGINT) AS rejected_learnt
-FROM g GROUP BY ALL""")
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+l AS (SELECT conv_id, max(i) AS k, arg_max(text, i) AS answer FROM o WHERE role = 'assistant' GROUP BY conv_id),
+c AS (SELECT DISTINCT conv_id FROM t),
+p AS (SELECT l.conv_id, k, answer, c.conv_id AS rejected_id FROM l LEFT JOIN c ON c.conv_id = CASE WHEN l.conv_id % 2 = 0 THEN l.conv_id + 1 ELSE l.conv_id - 1 END),
+r AS (SELECT p.*, coalesce(o.answer, '') AS other, CASE WHEN coalesce(o.answer, '') = p.answer THEN p.k ELSE p.k - 1 END AS n_common FROM p LEFT JOIN l o ON o.conv_id = p.rejected_id),
+g AS (SELECT r.conv_id, rejected_id, n_common, i, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s FROM r JOIN o ON o.conv_id = r.conv_id AND o.i <= r.n_common),
+h AS (SELECT conv_id, string_agg(s, '' ORDER BY i) AS prompt FROM g GROUP BY conv_id)
+SELECT r.conv_id AS pair_id, r.conv_id AS chosen_id, rejected_id, n_common, sha256(coalesce(prompt, '')) AS prompt_sha256,
+  sha256(CASE WHEN n_common = k THEN '' ELSE '<|assistant|>' || chr(10) || answer || '<|end|>' || chr(10) END) AS chosen_sha256,
+  sha256(CASE WHEN n_common = k THEN '' ELSE '<|assistant|>' || chr(10) || other || '<|end|>' || chr(10) END) AS rejected_sha256,
+  CASE WHEN n_common = k THEN 0 ELSE length(answer) + 8 END AS chosen_learnt, CASE WHEN n_common = k THEN 0 ELSE length(other) + 8 END AS rejected_learnt
+FROM r LEFT JOIN h ON h.conv_id = r.conv_id""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = preferences.formatted(preferences.neighbours(preferences.conversations_of(table(spark, sf_dir, "conversations"))))
+    rows = preferences.formatted(preferences.answers_replaced(preferences.conversations_of(table(spark, sf_dir, "conversations"))))
     learnt = lambda c: F.expr(f"cast(aggregate({c}, 0, (a, x) -> a + x.e - x.s) as bigint)")
     digest = lambda c: F.sha2(c, 256)
     return rows.select("pair_id", "chosen_id", "rejected_id", "n_common", digest("prompt").alias("prompt_sha256"), digest("chosen_text").alias("chosen_sha256"), digest("rejected_text").alias("rejected_sha256"), learnt("chosen_mask").alias("chosen_learnt"), learnt("rejected_mask").alias("rejected_learnt"))

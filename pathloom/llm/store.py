@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset (tests on one
-    machine) a temporary folder, which is then set for the session."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="pathloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+from ..sources.scratch import shared_folder
 
 
 #: Bytes of an Arrow batch while a table is written, unless the session sets its own.
@@ -32,7 +22,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     costs a read, not a recomputation.  Python stages get batches of bounded bytes, and the
     write's shuffle files go with its end, so that they never add up over many tables."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pathloom-{uuid.uuid4().hex}/{name}"
+    path = f"{shared_folder(spark)}/pathloom-{uuid.uuid4().hex}/{name}"
     own = {key: spark.conf.get(key, None) for key in (_BATCH, _CLEANUP)}
     if own[_BATCH] is None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))

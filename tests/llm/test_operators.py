@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from pathloom.llm import fmindex, html_blocks, jaccard, licenses, ordinal, packing, permutation, pii, preferences, toxicity
+from pathloom.llm.bytewords import NONSPACE, Words
 from pathloom.llm.tokens import Encoder
 
 AWKWARD = [(1, None), (2, ""), (3, "  \n "), (4, "one two"), (5, "One TWO"), (6, "word " * 3000), (7, "a b c d e f g h"), (8, "a b c d e f g h"), (9, "é 🙂 日本 \0 x")]
@@ -278,3 +279,168 @@ def test_licences_and_preferences(spark):
     (r,) = rows
     assert (r["chosen_id"], r["n_common"], r["prompt"]) == (1, 1, "<|user|>\nhi<|end|>\n")
     assert [r["chosen_text"][a:b] for a, b in r["chosen_mask"]] == ["longer<|end|>\n"]
+
+
+def thue_morse(n):
+    """Two words of the letters a and b that a polynomial modulo 2 ** 64 takes for one."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomials_confuse(spark):
+    for n in (64, 256, 512, 2048):
+        a, b = thue_morse(n)
+        assert len(set(Words([a.encode(), b.encode()], NONSPACE).hash.tolist())) == 2
+    rest = " one two three four five six seven eight nine ten"
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_classes(docs(spark, [(1, a + rest), (2, b + rest), (3, "x " + rest)])).collect()}
+    assert got == {1: 1, 2: 2, 3: 3}
+    P = pytest.importorskip("public_tokenizers")
+    enc = Encoder(P.path("byte_bpe_50k.json"))
+    assert [x.tolist() for x in enc.encode([a, b, a])] == [enc.whole(t).tolist() + [0] for t in (a, b, a)]
+
+
+def test_large_class_and_its_neighbours(spark, monkeypatch):
+    """A class of many near copies, small classes that reach it by few of its members or
+    not at all, and lists longer than the pivots; slices and blocks of a few sets."""
+    monkeypatch.setattr(jaccard, "SLICE_SHINGLES", 500)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 700)
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    rnd = random.Random(9)
+    base = [f"t{i}" for i in range(70)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for k in rnd.sample(range(70), rnd.choice([0, 1, 1, 2, 2, 3])):
+            words[k] = f"n{rnd.random()}"
+        rows.append((i, " ".join(words)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    label = {i: i for i in sets}
+    for _ in range(20):
+        for a in sets:
+            for b in sets:
+                k = len(sets[a] & sets[b])
+                if 100 * k >= 80 * (len(sets[a]) + len(sets[b]) - k):
+                    label[a] = label[b] = min(label[a], label[b])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_classes(docs(spark, rows)).collect()}
+    assert got == label and 2 < len(set(label.values())) < 60
+
+
+def test_toxicity_of_pairs(spark):
+    """Labels that hang on two terms together: no linear score can tell an exclusive or."""
+    rnd = random.Random(5)
+    rows, xor = [], {}
+    for i in range(2000):
+        words = [f"w{rnd.randrange(300)}" for _ in range(40)]
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        words[rnd.randrange(20)] = "alpha" if a else words[0]
+        words[20 + rnd.randrange(20)] = "beta" if b else words[0]
+        rows.append((i, " ".join(words)))
+        xor[i] = int(a != b)
+    table = docs(spark, rows)
+    model = toxicity.fit(table, spark.createDataFrame(list(xor.items()), "doc_id long, toxic int"))
+    right = lambda m: np.mean([r["predicted"] == xor[r["doc_id"]] for r in toxicity.scored(table, m).where("held_out").collect()])
+    assert right(model) > 0.95
+    model.factor[:] = 0  # what is left is linear
+    assert right(model) < 0.7
+    kept = {r["doc_id"] for r in toxicity.without_toxic(table, model).collect()}
+    assert kept == {r["doc_id"] for r in toxicity.scored(table, model).where("predicted = 0").collect()}
+
+
+def test_html_markup_takes_one_pass():
+    import time
+
+    bad = ["<p>if i <n " + "word " * 200_000, "<a " + "x " * 500_000, "<" * 500_000, "<a '" * 200_000, "<!--" * 200_000, "<![CDATA[" * 100_000, "</b>x" * 100_000, "<p class=" + " " * 500_000, "&#" + "9" * 500_000]
+    for page in bad:
+        began = time.time()
+        html_blocks.blocks(page)
+        assert time.time() - began < 5, page[:20]
+    text = lambda h: [b.text for b in html_blocks.blocks(h)]
+    assert text("<p>a<!-- x -->b<textarea>q<p></textarea>c 3 < 4 <n x</p>z") == ["abc 3 < 4 <n x", "z"]
+    assert text('<p class="x>y</p>z') == ["y", "z"] and text("&#99999999999; &#" + "0" * 5000 + "65;") == ["\ufffd A"]
+
+
+def test_main_texts_of_other_layouts(spark):
+    """Learnt on one layout, read on layouts with other containers; F1 over blocks."""
+    rnd = random.Random(3)
+    prose = lambda: (" ".join(rnd.choice(["stone", "river", "quite", "and", "the", "walks", "slowly", "under", "green", "light"]) for _ in range(rnd.randint(20, 60))) + ".").capitalize()
+
+    def page(before, after, item):
+        menu = "".join(f'<{item}><a href="/x">{w}</a></{item}>' for w in rnd.sample(["Home", "Products", "Team", "Jobs", "Press", "Login"], 4))
+        body = [prose() for _ in range(rnd.randint(2, 6))]
+        html = f"<html><head><title>t</title><script>no</script></head><body><div>{menu}</div>{before}" + "".join(f"<p>{b}</p>" for b in body) + f"{after}<div>{menu}<span>Copyright 2020</span></div></body></html>"
+        return html, body
+
+    known = [(i, "u", page("<article>", "</article>", "li")[0]) for i in range(120)]
+    schema = "page_id long, url string, html string"
+    model = html_blocks.fit(spark.createDataFrame(known, schema))
+    other = [('<div class="wrap"><div class="text">', "</div></div>", "li"), ("<table><tr><td>", "</td></tr></table>", "li"), ('<div class="k9"><div id="zz">', "</div></div>", "div"), ("<dl><dd>", "</dd></dl>", "li")]
+    rows, want = [], {}
+    for i in range(80):
+        html, want[i] = page(*other[i % 4])
+        rows.append((i, "u", html))
+    rows += [(100, "u", None), (101, None, ""), (102, "u", "<p>"), (102, "u", "<p>")]
+    got = html_blocks.main_texts(spark.createDataFrame(rows, schema), model).collect()
+    assert len(got) == 84 and all(r["n_chars"] == len(r["text"]) for r in got) and all(r["text"] == "" for r in got if r["page_id"] >= 100)
+    found = [(r["page_id"], b) for r in got for b in r["text"].split("\n") if b]
+    true = {(i, b) for i, body in want.items() for b in body}
+    hit = sum(x in true for x in found)
+    assert 2 * hit / (len(found) + len(true)) > 0.9
+
+
+def test_ordinal_thresholds_and_tails():
+    """Thresholds stay in order, tails fall with the grade, and the likelihood rises."""
+    rnd = np.random.default_rng(2)
+    grade = rnd.integers(0, 4, 800)
+    owner = np.repeat(np.arange(800), 6)
+    bucket = np.where(rnd.random(4800) < 0.5, grade[owner], rnd.integers(4, 60, 4800))
+    model = ordinal.train(owner, bucket, grade, 4)
+    assert (np.diff(model.theta) > 0).all()
+    margin = np.bincount(owner, model.weight[bucket], 800) / np.sqrt(6)
+    tails = 1 / (1 + np.exp(-(margin[:, None] - model.theta[None])))
+    assert (np.diff(tails, axis=1) < 0).all()
+    p = -np.diff(np.concatenate((np.ones((800, 1)), tails, np.zeros((800, 1))), 1), axis=1)
+    share = np.bincount(grade) / 800
+    assert np.log(p[np.arange(800), grade]).mean() > np.log(share[grade]).mean() + 0.3
+    assert np.corrcoef(tails.sum(1), grade)[0, 1] > 0.8
+
+
+def test_packing_deals_repeated_rows(spark):
+    P = pytest.importorskip("public_tokenizers")
+    rows = spark.createDataFrame([(None, None)] * 400, "doc_id long, text string")
+    got = packing.pack_documents(rows, P.path("byte_bpe_50k.json"), group_docs=50).groupBy((packing.F.col("sequence_id") / (1 << 32)).cast("long").alias("g")).count().collect()
+    assert sum(r["count"] for r in got) == 400 and len(got) == 8 and max(r["count"] for r in got) <= 100
+
+
+def test_licences_subsumed_and_named(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    third = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    rows = [(1, bsd), (2, bsd + third), (3, bsd + third + "\n\nx.\n\n" + bsd), (4, bsd + third + "\nReleased under the MIT License\n"), (5, "This project is licensed under the MIT License. See it."), (6, "Distributed under the terms of the GNU Lesser General Public License v2.1."), (7, "It is available under the GNU Affero General Public License, version 3"), (8, "We walked under the trees.")]
+    got = {r["doc_id"]: r["licences"] for r in licenses.licences(docs(spark, rows)).collect()}
+    assert got == {1: "BSD-2-Clause", 2: "BSD-3-Clause", 3: "BSD-2-Clause,BSD-3-Clause", 4: "BSD-3-Clause,MIT", 5: "MIT", 6: "LGPL-2.1", 7: "AGPL-3.0", 8: ""}
+
+
+def test_preferences_share_turns(spark):
+    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "why"), (0, 3, "assistant", "so"), (0, 4, "user", "bye"), (1, 0, "assistant", "longer"), (4, 0, "assistant", "x"), (5, 0, "assistant", "x"), (6, 0, "assistant", None), (8, 0, "user", "none")]
+    rows = preferences.formatted(preferences.answers_replaced(preferences.conversations_of(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))).collect()
+    got = {r["pair_id"]: r for r in rows}
+    assert sorted(got) == [0, 1, 4, 5, 6] and [got[i]["rejected_id"] for i in (0, 1, 4, 6)] == [1, 0, 5, None]
+    assert got[0]["n_common"] == 3 and got[0]["prompt"].count("<|end|>") == 3
+    assert (got[0]["chosen_text"], got[0]["rejected_text"]) == ("<|assistant|>\nso<|end|>\n", "<|assistant|>\nlonger<|end|>\n")
+    assert got[4]["n_common"] == 1 and got[4]["chosen_text"] == ""
+
+
+def test_stages_keep_columns_and_clean_rows(spark):
+    """Filtering and cutting operators return the given columns, whatever their names, and
+    leave what they do not touch as it is."""
+    rows = [(1, "mail a@b.co now", "k", 7), (2, "plain words", None, 99), (3, None, "z", None), (4, "", "z", 0)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, __text string, n_chars long").withColumn("__base", pii.F.lit(1))
+    got = {r["doc_id"]: r for r in pii.redacted(given, pii.Redactor()).collect()}
+    assert got[1]["text"] == "mail [EMAIL] now" and got[1]["n_chars"] == 16 and got[1]["__text"] == "k"
+    assert (got[2]["text"], got[2]["n_chars"], got[3]["text"], got[3]["n_chars"]) == ("plain words", 99, None, None)
+    items = spark.createDataFrame([(1, "mail a b co now")], "item_id long, text string")
+    clean = fmindex.decontaminated(given, items)
+    assert clean.columns == given.columns
+    got = {r["doc_id"]: r for r in clean.collect()}
+    assert got[1]["text"].strip(" @.") == "" and got[2]["n_chars"] == 99 and got[3]["n_chars"] is None and got[1]["__base"] == 1
