@@ -6,13 +6,14 @@ that makes a chunk of its own, so no text is ever cut.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 #: A longer span is hashed by itself, not in step with the others.
 LONG_BYTES = 256
@@ -20,6 +21,11 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 # by number of bytes: what a load of eight keeps of a span that ends inside it
 _ENDS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _libc = None
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Words of letters, digits and everything beyond ASCII, once A-Z is lower-cased.
@@ -63,6 +69,14 @@ def encoded(text: str | bytes | None) -> bytes:
     return text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")
 
 
+def tidied() -> None:
+    """Gives memory that is free back to the system: workers live on after a task, and what
+    they keep adds up beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def arrow_texts(column: pa.Array, step: int = 256) -> Iterator[bytes | None]:
     """The texts of an Arrow column as UTF-8, a few at a time."""
     raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())

@@ -9,6 +9,8 @@ import numpy as np
 from .bytewords import ALNUM, Words, chunks
 
 BUCKETS = 1 << 18
+#: Bytes of texts whose terms are made together; each byte takes some sixty.
+CHUNK_BYTES = 500_000
 #: Bytes of a word's beginning that make a term of their own.
 BEGINNINGS = (4, 5, 6)
 
@@ -17,7 +19,7 @@ def hashed_terms(texts, marked: np.ndarray | None = None, signs: bool = False) -
     """For chunks of texts: index of the first text, text of each term (from there), bucket
     of each term; each pair once.  ``marked`` (by bucket) keeps only terms it marks.
     ``signs`` adds runs of signs between words as terms."""
-    for first, held in chunks(texts):
+    for first, held in chunks(texts, CHUNK_BYTES):
         w = Words(held, ALNUM)
         text = w.text_of_word()
         parts, owner = [w.hash], [text]

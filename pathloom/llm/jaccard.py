@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytewords import NONSPACE, Words, arrow_texts, chunks, mix
+from .bytewords import NONSPACE, Words, arrow_texts, chunks, mix, tidied
 from .components import components
 from .store import removed, sized, stored
 
@@ -37,7 +37,7 @@ FREQUENT_SHARE = 1 / 2000
 #: ... and from this many of them; a run of sets reports those it holds as often.
 FREQUENT_LEAST = 8
 #: Shingles of such a run.
-REPORTED = 4_000_000
+REPORTED = 3_000_000
 #: Groups of a posting list that all its groups are tried against.
 PIVOTS = 8
 #: Shingles of a class that one task holds, about, and of the units that meet them there.
@@ -129,6 +129,8 @@ def frequent_shingles(texts: DataFrame, words: int, n_texts: int) -> np.ndarray:
                     held[n : n + len(s)] = s
                     n += len(s)
         yield counted(held[:n])
+        del held
+        tidied()
 
     floor = max(FREQUENT_LEAST, int(n_texts * FREQUENT_SHARE))
     rows = stored(texts.select("__text").mapInArrow(report, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= floor).select("h"), "frequent").toPandas()
@@ -158,6 +160,7 @@ def _signed(texts: DataFrame, words: int, similarity: int, frequent: np.ndarray)
                 maps.append(bitmap(s) if new else None)
             columns = [batch.column("__id"), batch.column("__key"), pa.array(n, pa.int64()), pa.array(uid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["__id", "__key", "n_shingles", "uid", "prefix", "bitmap"])
+        tidied()
 
     # the number tells rows apart that repeat an id and a text; once stored it stays
     return texts.mapInArrow(sign, _SIGNED).withColumn("row", F.monotonically_increasing_id())
@@ -181,6 +184,7 @@ def _verified(pairs: DataFrame, units: DataFrame, texts: DataFrame, words: int,
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * shared >= similarity * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        tidied()
 
     return both.mapInArrow(verify, "a bigint, b bigint")
 

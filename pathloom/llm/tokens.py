@@ -17,7 +17,7 @@ from .bytewords import span_hashes
 
 LETTER, NUMBER, SPACE, OTHER, END = 0, 1, 2, 3, 4
 #: Characters of a chunk; a longer text makes a chunk of its own.
-CHUNK_CHARS = 2_500_000
+CHUNK_CHARS = 1_000_000
 #: Distinct pre-tokens that a worker remembers before it starts afresh.
 REMEMBERED = 2_000_000
 

@@ -9,10 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytewords import arrow_texts, tidied
 from .hashing import BUCKETS, hashed_terms
 from .store import stored
 
@@ -37,8 +38,9 @@ class FactorizationMachine:
     factor: np.ndarray
 
     def scores(self, texts) -> np.ndarray:
+        """``texts``: an Arrow column, or a list."""
         out = np.full(len(texts), self.bias)
-        for first, owner, bucket in hashed_terms(texts, self.index >= 0):
+        for first, owner, bucket in hashed_terms(arrow_texts(texts) if isinstance(texts, pa.Array) else texts, self.index >= 0):
             n = int(owner.max()) + 1 if len(owner) else 0
             term = self.index[bucket]
             out[first : first + n] += _margin(owner, term, n, self.weight, self.factor)
@@ -124,21 +126,22 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, terms:
     rows = learn(docs.select("doc_id", "text")).where(dealt).join(F.broadcast(marks.where(dealt)), "doc_id").select("doc_id", "text", "toxic")
 
     def count(batches):
-        for pdf in batches:
-            toxic = pdf["toxic"].to_numpy()
-            n = np.zeros((2, BUCKETS), np.int64)
-            for first, owner, bucket in hashed_terms(pdf["text"].tolist()):
+        n = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
+            for first, owner, bucket in hashed_terms(arrow_texts(batch.column("text"))):
                 for k in (0, 1):
                     n[k] += np.bincount(bucket[toxic[first + owner] == k], minlength=BUCKETS)
-            used = np.flatnonzero(n.sum(0))
-            yield pd.DataFrame({"bucket": used, "zeros": n[0, used], "ones": n[1, used]})
+        used = np.flatnonzero(n.sum(0))
+        tidied()
+        yield pa.RecordBatch.from_pydict({"bucket": used, "zeros": n[0, used], "ones": n[1, used]})
 
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     zeros, ones = sizes.get(0, 0), sizes.get(1, 0)
     index = np.full(BUCKETS, -1, np.int32)
     if not zeros or not ones:
         return FactorizationMachine(index, 0.0 if not zeros + ones else (4.0 if ones else -4.0), np.zeros(1), np.zeros((1, FACTORS)))
-    counted = rows.mapInPandas(count, "bucket bigint, zeros bigint, ones bigint").groupBy("bucket").agg(F.sum("zeros").alias("z"), F.sum("ones").alias("o"))
+    counted = rows.mapInArrow(count, "bucket bigint, zeros bigint, ones bigint").groupBy("bucket").agg(F.sum("zeros").alias("z"), F.sum("ones").alias("o"))
     counted = stored(counted.where("z + o >= 3"), "terms")
     # how far the share of ones among a term's texts is from all texts' share, in deviations
     p = ones / (ones + zeros)
@@ -162,15 +165,16 @@ def _terms(rows: DataFrame, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     kept = rows.sparkSession.sparkContext.broadcast(index)
 
     def select(batches):
-        for pdf in batches:
-            held = [np.zeros(0, np.int32)] * len(pdf)
-            for first, owner, bucket in hashed_terms(pdf["text"].tolist(), kept.value >= 0):
+        for batch in batches:
+            held = [np.zeros(0, np.int32)] * batch.num_rows
+            for first, owner, bucket in hashed_terms(arrow_texts(batch.column("text")), kept.value >= 0):
                 cut = np.searchsorted(owner, np.arange(int(owner[-1]) + 2 if len(owner) else 1))
                 for k in range(len(cut) - 1):
                     held[first + k] = kept.value[bucket[cut[k] : cut[k + 1]]]
-            yield pd.DataFrame({"toxic": pdf["toxic"], "terms": [h.astype(np.int32).tobytes() for h in held]})
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([h.astype(np.int32).tobytes() for h in held], pa.binary())], ["toxic", "terms"])
+        tidied()
 
-    data = rows.mapInPandas(select, "toxic int, terms binary").toPandas().sort_values(["toxic", "terms"], kind="stable")
+    data = rows.mapInArrow(select, "toxic int, terms binary").toPandas().sort_values(["toxic", "terms"], kind="stable")
     held = [np.frombuffer(b, np.int32) for b in data["terms"]]
     owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held])
     return owner, np.concatenate(held) if held else np.zeros(0, np.int32), data["toxic"].to_numpy(float)
@@ -182,9 +186,11 @@ def scored(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
     whole, in chunks; a null id is not held out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts.tolist()))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        out = pa.array(shared.value.scores(texts))
+        tidied()
+        return out
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), score(F.col(text_col)).alias("score"), F.coalesce(F.expr(f"pmod(crc32(cast(`{id_col}` as string)), 5) = 0"), F.lit(False)).alias("held_out"))
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -194,8 +200,10 @@ def without_toxic(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """``docs`` without those that score one half or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts.tolist()) < 0.5)
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        out = pa.array(shared.value.scores(texts) < 0.5)
+        tidied()
+        return out
 
     return docs.where(clean(F.col("text"))).select(*docs.columns)
