@@ -35,7 +35,7 @@ SHINGLE_WORDS = 5
 #: A shingle counts as frequent from this share of the documents on ...
 FREQUENT_SHARE = 1 / 2000
 #: ... and from this many of them; a run of sets reports those it holds as often.
-FREQUENT_LEAST = 8
+FREQUENT_LEAST = 4
 #: Shingles of such a run.
 REPORTED = 3_000_000
 #: Groups of a posting list that all its groups are tried against.
@@ -294,9 +294,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: i
     ids = stored(signed.select("__id", "__key", "n_shingles", "uid"), "ids")
     removed(signed)
 
-    # groups are posted under their prefix shingles; a shingle of one group is no list
+    # groups are posted under their prefix shingles; a shingle of one group makes no list
     posted = units.where("uid = gid").select("gid", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("i", "token"))
-    lists = posted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    lists = posted.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor("gid").alias("same")).where("k > 1")
+    # lists of the same groups (a shared passage makes many) propose the same pairs: the
+    # first of them in the order of shingles, whose bounds are the widest, stands for all
+    turned = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  signed order to unsigned
+    lists = lists.groupBy("k", "same").agg(F.min(turned("token")).alias("first")).select(turned("first").alias("token"), "k")
     postings = stored(posted.join(lists, "token"), "postings")
     # what two sets can still share from their first common shingle on, at places i and i2
     # of the order, must do for the similarity (and bounds their sizes too)

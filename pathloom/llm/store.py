@@ -49,7 +49,7 @@ def removed(*tables: DataFrame) -> None:
 
 
 #: Rows of a stored table that may be broadcast: its columns are a few numbers each.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 150_000
 
 
 def sized(df: DataFrame) -> DataFrame:

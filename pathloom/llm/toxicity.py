@@ -155,6 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, terms:
     owner, term, label = _terms(rows, chosen)
     bias, weight, factor = train(owner, term, label, max(len(chosen), 1))
     index[chosen] = np.arange(len(chosen))
+    tidied()
     return FactorizationMachine(index, bias, weight, factor)
 
 
