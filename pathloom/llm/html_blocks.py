@@ -16,6 +16,8 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,6 +48,7 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\
 # References by numbers that no character has, and needless zeros.
 _NO_CHARACTER = re.compile(r"&#(?=0*+[1-9][0-9]{7})[0-9]++;?")
 _ZEROS = re.compile(r"&#0{8,}+")
+_DIGIT = re.compile(r"\d")
 
 
 def _unescaped(text: str) -> str:
@@ -69,12 +72,13 @@ def markup(page: str):
     while (i := page.find("<", at)) >= 0:
         at = i + 1
         end, closes, name, rest = -1, "", "", ""
-        if page.startswith("<!--", i):
+        marked = page.startswith(("!", "?"), at)
+        if marked and page.startswith("<!--", i):
             end = find("-->", i + 4)
             end = end + 3 if end >= 0 else len(page)
-        elif page.startswith("<![CDATA[", i) and (end := find("]]>", i + 9)) >= 0:
+        elif marked and page.startswith("<![CDATA[", i) and (end := find("]]>", i + 9)) >= 0:
             end += 3
-        elif page.startswith(("<!", "<?"), i):
+        elif marked:
             end = find(">", i + 2)
             end += end >= 0
         elif m := _NAME.match(page, at):
@@ -111,7 +115,7 @@ def blocks(page: str | None) -> list[Block]:
 
     def flush() -> None:
         if held:
-            text = " ".join(_unescaped("".join(t for t, _ in held)).split())
+            text = " ".join(_unescaped("".join([t for t, _ in held])).split())
             if text:
                 size = sum(len(t) for t, _ in held)
                 path = stack if len(stack) <= 2 * PATH_ENDS else stack[:PATH_ENDS] + stack[-PATH_ENDS:]
@@ -119,12 +123,16 @@ def blocks(page: str | None) -> list[Block]:
             held.clear()
 
     def cut(i: int) -> None:
-        is_open.subtract(t for t, _ in stack[i:])
+        for t, _ in stack[i:]:
+            is_open[t] -= 1
         del stack[i:]
 
     def close(tag: str) -> None:
         if is_open[tag] > 0:
-            cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+            i = len(stack) - 1
+            while stack[i][0] != tag:
+                i -= 1
+            cut(i)
 
     tokens = markup(page or "")
     for text, closes, tag, rest in tokens:
@@ -157,7 +165,7 @@ def blocks(page: str | None) -> list[Block]:
         if tag in RAW:
             tokens.send(True)
             continue
-        names = " ".join(" ".join(filter(None, g)) for g in _NAMES.findall(rest)).lower()
+        names = " ".join(" ".join(filter(None, g)) for g in _NAMES.findall(rest)).lower() if rest else ""
         stack.append((tag, names))
         is_open[tag] += 1
     flush()
@@ -177,21 +185,34 @@ def taught(path: tuple[str, ...]) -> int:
     return inside
 
 
+@lru_cache(maxsize=1 << 12)
+def _path_places(step: str) -> tuple[int, ...]:
+    """Where an open element shows in the vector: its tag, its names and their parts."""
+    tag, _, names = step.partition(" ")
+    if tag in ("html", "body"):
+        return ()
+    return tuple(zlib.crc32(name.encode()) % PATH_DIM for name in (tag, *(f".{p}" for n in names.split() for p in {n, *re.split(r"[-_]", n)})))
+
+
 def vectors(page: list[Block]) -> np.ndarray:
-    x = np.zeros((len(page), PATH_DIM + WORD_DIM + MEASURES), np.float32)
-    for i, b in enumerate(page):
-        for depth, step in enumerate(b.path):
-            tag, _, names = step.partition(" ")
-            if tag in ("html", "body"):
-                continue
-            for name in (tag, *(f".{p}" for n in names.split() for p in {n, *re.split(r"[-_]", n)})):
-                x[i, zlib.crc32(name.encode()) % PATH_DIM] = 1
-        words = b.text.lower().split()
-        for w in words:
-            x[i, PATH_DIM + zlib.crc32(w.encode()) % WORD_DIM] += 1
-        k = PATH_DIM + WORD_DIM
-        x[i, PATH_DIM:k] /= max(1, len(words)) ** 0.5 * 4
-        x[i, k:] = np.log1p(len(b.text)) / 8, b.linked, b.text[-1] in ".!?…:\"'»)", i / len(page), (len(page) - 1 - i) / len(page), sum(c.isdigit() for c in b.text) / len(b.text)
+    n, k = len(page), PATH_DIM + WORD_DIM
+    x = np.zeros((n, k + MEASURES), np.float32)
+    if not n:
+        return x
+    steps = [[p for step in b.path for p in _path_places(step)] for b in page]
+    x[np.repeat(np.arange(n), [len(s) for s in steps]), np.fromiter(chain.from_iterable(steps), np.int64)] = 1
+    words = [b.text.lower().encode().split(b" ") for b in page]  # a block's one white space
+    size = np.array([len(w) for w in words])
+    place = np.fromiter(map(zlib.crc32, chain.from_iterable(words)), np.int64, int(size.sum())) % WORD_DIM
+    counts = np.bincount(np.repeat(np.arange(n) * WORD_DIM, size) + place, minlength=n * WORD_DIM).reshape(n, WORD_DIM)
+    x[:, PATH_DIM:k] = counts / (np.sqrt(np.maximum(size, 1)) * 4)[:, None]
+    chars = np.array([len(b.text) for b in page])
+    x[:, k] = np.log1p(chars) / 8
+    x[:, k + 1] = [b.linked for b in page]
+    x[:, k + 2] = [b.text[-1] in ".!?…:\"'»)" for b in page]
+    x[:, k + 3] = np.arange(n) / n
+    x[:, k + 4] = np.arange(n)[::-1] / n
+    x[:, k + 5] = np.array([len(_DIGIT.findall(b.text)) for b in page]) / chars
     return x
 
 
