@@ -11,14 +11,17 @@ located by walking back to sampled suffix positions.  Their spans are merged per
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import ALNUM, LOWER, Words, chunks, encoded
+from .bytewords import ALNUM, Words, arrow_texts, chunks, encoded, tidied
 
 WINDOW_WORDS = 10
 #: Bytes of item texts that one broadcast holds; more items are searched block by block.
@@ -201,7 +204,7 @@ def occurrences(w: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
     return first[good], which[good]
 
 
-def scan(texts: list[str | None], phrases: Phrases):
+def scan(texts: Iterable[str | bytes | None], phrases: Phrases):
     """For each text: its number of words, merged (first, end) word spans, the items that
     occur, and the same spans in bytes of its UTF-8 form."""
     for _, held in chunks(texts):
@@ -269,6 +272,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             out = pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
             out.insert(0, "__id", names)
             yield out
+        tidied()
 
     out = texts.mapInPandas(find, "__id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
     return out.withColumnRenamed("__id", id_col)
@@ -296,14 +300,15 @@ def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS)
     match; other documents and columns stay as they are."""
     blocks = _blocks(items.select("item_id", "text"), size)
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        out = texts.copy()
-        held = texts.tolist()
-        dirty = {k for b in blocks for k, found in enumerate(scan(held, b.value)) if found[1]}
-        for k in dirty:
-            out.iloc[k] = without_phrases(held[k], [b.value for b in blocks])
-        return out
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array) -> pa.Array:
+        dirty = sorted({k for b in blocks for k, found in enumerate(scan(arrow_texts(texts), b.value)) if found[1]})
+        if dirty:
+            mask = np.zeros(len(texts), bool)
+            mask[dirty] = True
+            texts = pc.replace_with_mask(texts, mask, pa.array([without_phrases(texts[k].as_py(), [b.value for b in blocks]) for k in dirty], texts.type))
+        tidied()
+        return texts
 
     # the given columns stay together, so none of their names can clash
     rows = docs.select(F.struct(*docs.columns).alias("row"), cut("text").alias("text"))

@@ -202,6 +202,7 @@ def _filtered(pairs: DataFrame, units: DataFrame, similarity: int) -> DataFrame:
             total = pdf["n"] + pdf["m"]
             shared = (total - pdf["far"]) // 2
             yield pdf.loc[100 * shared >= similarity * (total - shared), ["a", "b", "far"]]
+        tidied()
 
     return both.mapInPandas(passes, "a bigint, b bigint, far bigint")
 
@@ -255,6 +256,8 @@ def _in_blocks(meeting: DataFrame, hubs: DataFrame, units: DataFrame, texts: Dat
                 if len(hit):
                     out["a"].append(name)
                     out["b"].append(many["uid"].iloc[hit[0]])
+            del index
+        tidied()
         return pd.DataFrame(out, dtype="int64")
 
     by = ("hub", "slice", "block")

@@ -16,8 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytewords import tidied
 from .tokens import encoder
 
+#: Documents that a task encodes at a time.
+ENCODED_DOCS = 1024
 #: Documents of a group, about.
 GROUP_DOCS = 4096
 
@@ -80,19 +83,20 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     def cut(batches):
         enc = encoder(vocabulary)
         for pdf in batches:
-            rows = []
             # rows that repeat an id and a text go to one group after another
-            packs = ((pdf["pack"] + pdf.groupby("pack").cumcount()) % groups).tolist()
-            names = pdf["doc_id"]
-            for k, ids in enumerate(enc.encode([t if isinstance(t, str) else "" for t in pdf["text"]])):
-                raw, total = ids.astype("<u4").tobytes(), len(ids)
-                for a in range(0, total, capacity):
-                    b = min(a + capacity, total)
-                    rows.append((packs[k], k, a, b - a, zlib.crc32(raw[4 * a : 4 * b]), total))
-            if rows:
+            pdf["pack"] = (pdf["pack"] + pdf.groupby("pack").cumcount()) % groups
+            for first in range(0, len(pdf), ENCODED_DOCS):
+                part, rows = pdf.iloc[first : first + ENCODED_DOCS], []
+                packs = part["pack"].tolist()
+                for k, ids in enumerate(enc.encode([t if isinstance(t, str) else "" for t in part["text"]])):
+                    raw, total = ids.astype("<u4").tobytes(), len(ids)
+                    for a in range(0, total, capacity):
+                        b = min(a + capacity, total)
+                        rows.append((packs[k], k, a, b - a, zlib.crc32(raw[4 * a : 4 * b]), total))
                 out = pd.DataFrame(rows, columns=["pack", "k", "start", "length", "ids_crc32", "doc_tokens"])
-                out.insert(1, "doc_id", names.iloc[out.pop("k").to_numpy()].to_numpy())
+                out.insert(1, "doc_id", part["doc_id"].iloc[out.pop("k").to_numpy()].to_numpy())
                 yield out
+        tidied()
 
     schema = "pack bigint, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     pieces = texts.mapInPandas(cut, schema)
