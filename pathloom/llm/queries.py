@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_blocks, licenses, ordinal, pii, preferences, toxicity
+from . import divergence, html_blocks, licenses, ordinal, pii, preferences, sentencepieces, toxicity, whitening
 from .fmindex import contamination
 from .jaccard import jaccard_classes
 from .packing import pack_documents
@@ -38,6 +38,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces() -> str:
+    """The model of the SentencePiece operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @query("op1_ordinal_quality")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades 0 (poor), 1 (good but toxic), 2 (good and clean) from the two labels."""
@@ -118,3 +125,37 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deviation as a long (null beyond 64 bits) and, beside it, as it is."""
+    vectors = table(spark, sf_dir, "embeddings")
+    rows = whitening.whitened(vectors, whitening.fit(vectors)).withColumnRenamed("deviation", "deviation_exact")
+    return rows.withColumn("deviation", F.col("deviation_exact").try_cast("bigint"))
+
+
+@query("op12_source_divergence", r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+langs AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(n) AS HUGEINT) AS total FROM kept GROUP BY lang),
+used AS (SELECT t.lang, source, t.term, count(*) AS n FROM t JOIN kept ON kept.lang = t.lang AND kept.term = t.term GROUP BY ALL),
+own AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS total FROM used GROUP BY ALL),
+groups AS (SELECT g.lang, g.source, coalesce(own.total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN own ON own.lang = g.lang AND own.source = g.source),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(used.n, 0) AS n, 1 + 1000000000 * (coalesce(used.n, 0) + 5) // (g.total + 5 * v) AS p, 1 + 1000000000 * (kept.n + 5) // (langs.total + 5 * v) AS q
+  FROM groups g JOIN kept ON kept.lang = g.lang JOIN langs ON langs.lang = g.lang LEFT JOIN used ON used.lang = g.lang AND used.source = g.source AND used.term = kept.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sums.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+every AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_sentencepieces")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentencepieces.encoded(table(spark, sf_dir, "documents"), pieces())
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
