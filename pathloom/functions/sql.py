@@ -27,9 +27,21 @@ FUNCTIONS = {
     "size_interval(x STRING)": ("STRUCT<lo: BIGINT, hi: BIGINT>", f"CASE WHEN {_HI} IS NOT NULL THEN named_struct('lo', {_LO}, 'hi', {_HI}) END"),
 }
 
+_TOKEN = "CASE WHEN rlike(t, '^[1-9]') THEN concat('1', lpad(cast(length(t) AS STRING), 5, '0'), t) WHEN rlike(t, '^0+$') THEN concat(t, chr_last()) WHEN rlike(t, '^0') THEN t ELSE translate(t, '/', chr(1)) END"
+FUNCTIONS |= {
+    "path_root(path STRING, roots ARRAY<STRING>)": ("STRING", "array_max(transform(filter(roots, r -> path = r OR startswith(path, CASE WHEN r = '/' THEN '/' ELSE concat(r, '/') END)), r -> named_struct('n', length(r), 'r', r))).r"),
+    "natural_key(x STRING)": ("STRING", "array_join(transform(regexp_extract_all(x, '([0-9]+|[^0-9]+)', 1), t -> " + _TOKEN.replace("chr_last()", "decode(unhex('F48FBFBF'), 'UTF-8')") + "), '')"),
+}
+# signature -> (columns, query)
+TABLE_FUNCTIONS = {
+    "path_ancestor_rows(path STRING, root STRING)": ("place INT, folder STRING", "SELECT pos, col FROM posexplode(" + FUNCTIONS["path_ancestors(path STRING, root STRING)"][1] + ")"),
+}
+
 
 def register(spark: SparkSession) -> list[str]:
     """Puts the functions into the session; returns their names."""
     for signature, (kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {kind} RETURN {body}")
-    return [s.split("(")[0] for s in FUNCTIONS]
+    for signature, (columns, body) in TABLE_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS TABLE ({columns}) RETURN {body}")
+    return [s.split("(")[0] for s in (*FUNCTIONS, *TABLE_FUNCTIONS)]

@@ -2,28 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Intervals up to this number are sent to the values.
 FEW = 1_000
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _code(name: str, kinds: list[T.DataType]) -> Column:
+    """A whole number between -2**62 and 2**62 that never falls where the column rises: half
+    of a long; the days or half the microseconds of times; else a logarithm in fine steps.
+    Values that are close may share one, so what meets by codes is compared again."""
+    x = F.col(name)
+    if all(isinstance(k, _WHOLE) for k in kinds):
+        return F.shiftright(x.cast("bigint"), 1)
+    if all(isinstance(k, T.DateType) for k in kinds):
+        return F.unix_date(x).cast("bigint")
+    if all(isinstance(k, T.TimestampType) for k in kinds):
+        return F.shiftright(F.unix_micros(x), 1)
+    if all(isinstance(k, (T.TimestampNTZType, T.DateType)) for k in kinds):
+        return F.shiftright(F.expr(f"timestampdiff(microsecond, timestamp_ntz '1970-01-01 00:00:00', cast(`{name}` as timestamp_ntz))"), 1)
+    if all(isinstance(k, (*_WHOLE, T.FloatType, T.DoubleType, T.DecimalType)) for k in kinds):
+        d = x.cast("double")
+        size = F.floor(F.least(F.log1p(F.abs(d)), F.lit(800.0)) * F.lit(float(1 << 52))).cast("bigint")
+        return F.when(F.isnan(d), F.lit(801 << 52)).when(d < 0, -size).otherwise(size)
+    raise TypeError(f"no range join over {kinds}")
 
 
 def range_join(rows: DataFrame, value: str, intervals: DataFrame, lo: str = "lo", hi: str = "hi", few: int = FEW) -> DataFrame:
-    """``rows`` with each of the ``intervals`` [lo, hi) of whole numbers that holds their
-    value; nulls and empty intervals join with nothing.
+    """``rows`` with each of the ``intervals`` [lo, hi) that holds their value: numbers of any
+    kind, dates or times; nulls and empty intervals join with nothing.
 
-    Few intervals are broadcast.  Many are cut into their dyadic cells, at most two of each
-    size 1, 2, 4, ...; a value lies in one cell of each size, so an equality join on size
-    and cell is exact and large tables meet in an ordinary shuffle.
+    Few intervals are broadcast.  Many are cut into the dyadic cells of their codes, at most
+    two of each size 1, 2, 4, ...; a value lies in one cell of each size, so large tables meet
+    in an ordinary shuffle by size and cell.  Both ways end in the same comparison.
     """
     inside = (F.col(value) >= F.col(lo)) & (F.col(value) < F.col(hi))
     if intervals.limit(few + 1).count() <= few:
         return rows.join(F.broadcast(intervals), inside)
-    cut = intervals.where(F.col(lo) < F.col(hi)).withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(62))))
-    cells = cut.withColumn("__a", F.expr(f"-shiftright(-cast(`{lo}` as bigint), __level)")).withColumn("__b", F.expr(f"shiftright(cast(`{hi}` as bigint), __level)")).where("__a < __b")
+    kinds = [rows.schema[value].dataType, intervals.schema[lo].dataType, intervals.schema[hi].dataType]
+    cut = intervals.where(F.col(lo) < F.col(hi)).withColumns({"__lo": _code(lo, kinds), "__hi": _code(hi, kinds) + 1})
+    cut = cut.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(62))))
+    cells = cut.withColumns({"__a": F.expr("-shiftright(-__lo, __level)"), "__b": F.expr("shiftright(__hi, __level)")}).where("__a < __b")
     ends = F.array(F.when(F.expr("(__a & 1) = 1"), F.col("__a")), F.when(F.expr("(__b & 1) = 1"), F.col("__b") - 1))
-    cells = cells.withColumn("__cell", F.explode(F.filter(ends, lambda c: c.isNotNull()))).drop("__a", "__b")
+    # the ends of a level may be the same cell
+    cells = cells.withColumn("__cell", F.explode(F.array_distinct(F.filter(ends, lambda c: c.isNotNull())))).drop("__a", "__b", "__lo", "__hi")
     levels = [r[0] for r in cells.select("__level").distinct().collect()]  # 63 at most
-    at = rows.withColumn("__level", F.explode(F.array(*map(F.lit, sorted(levels))).cast("array<int>"))).withColumn("__cell", F.expr(f"shiftright(cast(`{value}` as bigint), __level)"))
-    return at.join(cells, ["__level", "__cell"]).drop("__level", "__cell")
+    at = rows.withColumn("__code", _code(value, kinds)).withColumn("__level", F.explode(F.array(*map(F.lit, sorted(levels))).cast("array<int>"))).withColumn("__cell", F.expr("shiftright(__code, __level)"))
+    return at.join(cells, ["__level", "__cell"]).where(inside).drop("__level", "__cell", "__code")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.groups import captured
 from ..functions.order import sort_keys
 from ..functions.paths import fold, fold_text
 from ..sources.scratch import settled
@@ -140,18 +141,24 @@ def highlight_term(needle: str, case: bool = False, field: str = "name") -> Colu
 
 
 def highlight_regex(pattern: str, field: str = "name", groups: int = 0) -> Column:
-    """The whole first match of a regex, and those of its groups that stand in it."""
-    rx = F.lit("(?d)(?iu)" + pattern)
-    hit = F.regexp_extract(F.col(field), "(?d)(?iu)" + pattern, 0)
-    at = F.regexp_instr(F.col(field), rx)
+    """The whole first match of a regex, and those of its groups that hold any text.  The regex
+    is asked with all text between groups captured too, so a group's place is a sum of lengths
+    (``groups.captured``)."""
+    asked, places = captured(pattern)
+    rx = "(?d)(?iu)" + asked
+    part = lambda g: F.octet_length(F.regexp_extract(F.col(field), rx, g))
+    at = F.regexp_instr(F.col(field), F.lit(rx))
     start = _octets(F.col(field), at - 1)
-    spans = [F.struct(F.lit(field).alias("field"), start.alias("start"), (start + F.octet_length(hit)).alias("end"))]
+    empty = F.array().cast("array<struct<field:string,start:int,end:int>>")
+    span = lambda a, b: F.struct(F.lit(field).alias("field"), a.cast("int").alias("start"), b.cast("int").alias("end"))
+    spans = [span(start, start + part(0))]
     for g in range(1, groups + 1):
-        part = F.regexp_extract(F.col(field), "(?d)(?iu)" + pattern, g)
-        inside = F.instr(hit, part)
-        a = start + _octets(hit, inside - 1)
-        spans.append(F.struct(F.lit(field).alias("field"), a.alias("start"), (a + F.octet_length(part)).alias("end")))
-    return F.when(at > 0, F.array(*spans)).otherwise(F.array().cast("array<struct<field:string,start:int,end:int>>"))
+        own, terms = places[g]
+        a = start
+        for number, sign in terms:
+            a = a + part(number) * sign
+        spans.append(F.when(part(own) > 0, span(a, a + part(own))))
+    return F.when(at > 0, F.filter(F.array(*spans), lambda x: x.isNotNull())).otherwise(empty)
 
 
 def highlight_path(needle: str) -> Column:
@@ -186,10 +193,10 @@ def rank_within(result: DataFrame, by: str, order: str = "size") -> DataFrame:
 
 
 def share_of_parent(result: DataFrame) -> DataFrame:
-    from .tree import with_parent
-
     """Each entry's part of its parent's size, and the parts' running total among its
     siblings, the largest first."""
+    from .tree import with_parent
+
     running = Window.partitionBy("root", "parent_path").orderBy(F.desc("size"), "path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     result = with_parent(result).withColumn("running", F.sum("size").over(running))
     return result.withColumn("share", F.when(F.col("parent_size") > 0, F.col("size") / F.col("parent_size")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..sources.scratch import settled
 from .predicates import _glob, any_of, compiles, two_valued
 
 
@@ -33,10 +34,10 @@ def exclude_match(rule, path: Column | str = "path", name: Column | str = "name"
     return {"files": ~is_folder & hit, "folders": is_folder & hit}.get(rule["target"], hit)
 
 
-def excluded(rules: list, exclude_hidden: bool, name: Column | str = "name") -> Column:
+def excluded(rules: list, exclude_hidden: bool, name: Column | str = "name", path: Column | str = "path", is_folder: Column | str = "is_folder") -> Column:
     """Hidden, or hit by an active rule."""
     hidden = [F.startswith(P.col(name), F.lit("."))] if exclude_hidden else []
-    return two_valued(any_of(*hidden, *(exclude_match(r) for r in rules if r["active"])))
+    return two_valued(any_of(*hidden, *(exclude_match(r, path, name, is_folder) for r in rules if r["active"])))
 
 
 def excluded_paths(entries: DataFrame, excludes: DataFrame, exclude_hidden: bool) -> DataFrame:
@@ -79,14 +80,75 @@ def below(entries: DataFrame, folders: DataFrame) -> DataFrame:
     return hit.unionByName(entries.select("root", "path").join(whole, "root", "left_semi"))
 
 
+#: Listed folders that are sent to every task; a longer list is joined by ancestors.
+MANY_FOLDERS = 100_000
+
+
+def _levels(folders: DataFrame) -> tuple[DataFrame, list[int]] | None:
+    """The listed (root, path) that lie in their root, written once, and the numbers of components that occur; None
+    if the list is too long to send."""
+    inside = (F.col("path") == F.col("root")) | P.is_descendant("path", F.col("root"))
+    listed = settled(folders.select("root", "path").where(inside).distinct())
+    if listed.count() > MANY_FOLDERS:
+        return None
+    return listed, [r[0] for r in listed.select(F.size(F.split("path", "/"))).distinct().collect()]
+
+
+def _prefix(level: int) -> Column:
+    """The first components of a path, as a path; the top folder has one, which is empty."""
+    seg = F.split("path", "/")
+    cut = F.array_join(F.slice(seg, 1, level), "/")
+    return F.when(F.size(seg) >= level, F.when(cut == "", F.lit("/")).otherwise(cut))
+
+
+def _at_level(listed: DataFrame, level: int) -> DataFrame:
+    """The list's folders of so many components; ``/`` splits into two, but is one."""
+    own = F.when(F.col("path") == "/", F.lit(1)).otherwise(F.size(F.split("path", "/")))
+    return F.broadcast(listed.where(own == level).select(F.col("root").alias("__root"), F.col("path").alias("__at")))
+
+
+def _tops(levels: list[int]) -> list[int]:
+    return sorted({1, *levels})
+
+
+def not_under(entries: DataFrame, folders: DataFrame) -> DataFrame:
+    """``entries`` that neither are one of ``folders`` (root, path) nor lie below one.  A list
+    that was counted to be short goes to the entries, one lookup of a path's first components
+    for each depth that the list has: no row per ancestor, no shuffle of the entries."""
+    found = _levels(folders)
+    if found is None:
+        return entries.join(below(entries, folders), ["root", "path"], "left_anti")
+    for level in _tops(found[1]):
+        entries = entries.join(_at_level(found[0], level), (F.col("root") == F.col("__root")) & (_prefix(level) == F.col("__at")), "left_anti")
+    return entries
+
+
+def under(entries: DataFrame, folders: DataFrame) -> DataFrame:
+    """(root, path) of entries that are one of ``folders`` or lie below one; an entry may
+    appear once for each of them."""
+    found = _levels(folders)
+    if found is None:
+        return below(entries, folders)
+    out = entries.select("root", "path").where(F.lit(False))
+    for level in _tops(found[1]):
+        out = out.unionByName(entries.select("root", "path").join(_at_level(found[0], level), (F.col("root") == F.col("__root")) & (_prefix(level) == F.col("__at")), "left_semi"))
+    return out
+
+
 def apply_excludes(entries: DataFrame, excludes: DataFrame, exclude_hidden: bool = False) -> DataFrame:
-    """Entries that no rule hits, neither themselves nor one of their folders."""
-    gone = excluded_paths(entries, excludes, exclude_hidden)
+    """Entries that no rule hits, neither themselves nor one of their folders (whether or not
+    that has a row of its own); roots are never tested.
+
+    Rules are asked of an entry and of each folder above it where it stands: one pass without
+    a join.  Tables too long for one expression find their folders by joins.
+    """
     rules = excludes.where("active").limit(INLINE_RULES + 1).collect()
-    if len(rules) <= INLINE_RULES:  # what is hit by itself is filtered, only folders are joined
-        entries = entries.where((F.col("path") == F.col("root")) | ~excluded(rules, exclude_hidden))
-        gone = gone.where("is_folder")
-    return entries.join(below(entries, gone), ["root", "path"], "left_anti")
+    if len(rules) > INLINE_RULES:
+        return not_under(entries, excluded_by_join(entries.where("path <> root"), excludes, exclude_hidden))
+    folder_rules = [r for r in rules if r["target"] != "files"]
+    tests = lambda p: excluded(folder_rules, exclude_hidden, P.name_of(p), p, F.lit(True))
+    above = F.exists(P.ancestors("path", "root"), lambda p: (p != F.col("root")) & tests(p))
+    return entries.where((F.col("path") == F.col("root")) | ~(excluded(rules, exclude_hidden) | above))
 
 
 def add_rules(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -121,6 +183,8 @@ def root_of(paths: DataFrame, roots: DataFrame) -> DataFrame:
 
 def same_device(entries: DataFrame) -> DataFrame:
     """Entries on the device of their root; a foreign device takes its subtree along."""
-    home = entries.where("path = root").select("root", F.col("device").alias("home"))
-    foreign = entries.join(home, "root").where("not (device <=> home)").select("root", "path")
-    return entries.join(below(entries, foreign), ["root", "path"], "left_anti")
+    home = settled(entries.where("path = root").select("root", F.col("device").alias("home"), F.lit(True).alias("__known")).dropDuplicates(["root"]))
+    home = F.broadcast(home) if home.count() <= MANY_FOLDERS else home  # a row for each root
+    foreign = entries.join(home, "root").where("is_folder and not (device <=> home)").select("root", "path")
+    alike = entries.join(home, "root", "left").where("__known is null or device <=> home or is_folder").select(*entries.columns)
+    return not_under(alike, foreign)

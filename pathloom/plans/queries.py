@@ -20,6 +20,8 @@ from ..operators import tree as T
 from ..operators.ranges import range_join
 from ..sources import snapshot as S
 from ..sources.scratch import shared_folder
+from ..streaming import live
+from ..streaming.feed import read_changes
 from . import duck, fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -297,7 +299,24 @@ def e3(spark, sf_dir):
 _words = ["today", "yesterday", "thishour", "pastyear", "past4year", "past3years", "lastweek", "last2weeks", "lasttwoweeks", "inthelastday", "4months", "3min", "thismonth", "monday", "jan", "december", "prevyear", "pastdozendays"]
 
 
-@query("e4_e10_relative_texts")
+def _relative(word: str) -> tuple[str, str] | None:
+    """Lower and upper end of a word as DuckDB text, written from its meaning."""
+    start = lambda unit: f"date_trunc('{unit}', now)"
+    back = lambda n, unit: f"now - INTERVAL {n} {unit}"
+    before = lambda n, unit: (f"{start(unit)} - INTERVAL {n} {unit}", start(unit))
+    return {
+        "today": (start("day"), f"{start('day')} + INTERVAL 1 day"), "yesterday": before(1, "day"), "thishour": (start("hour"), "now"), "pastyear": (back(1, "year"), "now"), "past4year": None,
+        "past3years": (back(3, "year"), "now"), "lastweek": before(1, "week"), "last2weeks": before(2, "week"), "lasttwoweeks": before(2, "week"), "inthelastday": before(1, "day"), "4months": (back(4, "month"), "now"),
+        "3min": (back(3, "minute"), "now"), "thismonth": (start("month"), "now"), "monday": (start("week"), f"{start('week')} + INTERVAL 1 day"), "jan": (start("year"), f"{start('year')} + INTERVAL 1 month"),
+        "december": (f"CASE WHEN month(now) = 12 THEN {start('month')} ELSE {start('year')} - INTERVAL 1 month END", f"CASE WHEN month(now) = 12 THEN {start('month')} + INTERVAL 1 month ELSE {start('year')} END"),
+        "prevyear": before(1, "year"), "pastdozendays": (back(12, "day"), "now"),
+    }[word]
+
+
+_ends = ["CASE t " + " ".join(f"WHEN '{w}' THEN CAST({_relative(w)[i]} AS TIMESTAMP)" for w in _words if _relative(w)) + " END" for i in (0, 1)]
+
+
+@query("e4_e10_relative_texts", f"WITH w AS (SELECT o_orderkey AS k, [{', '.join(repr(w) for w in _words)}][CAST(o_orderkey % {len(_words)} AS INTEGER) + 1] AS t, CAST(o_orderdate AS TIMESTAMP) AS now FROM orders) SELECT k, t, now, {_ends[0]} AS lo, {_ends[1]} AS hi FROM w")
 def e4(spark, sf_dir):
     """Each order against one of the words, with its own date as now."""
     pick = F.element_at(F.array(*(F.lit(w) for w in _words)), (F.pmod("o_orderkey", F.lit(len(_words))) + 1).cast("int"))
@@ -328,6 +347,38 @@ def j6b(spark, sf_dir):
     return range_join(rows, "size", intervals, few=0).groupBy("k").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
+@query("j6_range_join_of_fractions", "WITH r AS (SELECT c_custkey AS k, c_acctbal AS lo, c_acctbal + c_custkey % 5 * 0.75 AS hi FROM customer) SELECT r.k, count(*) AS n FROM supplier JOIN r ON s_acctbal >= lo AND s_acctbal < hi GROUP BY 1")
+def j6c(spark, sf_dir):
+    """Balances, with fractions and below nothing, in intervals as many as the customers."""
+    intervals = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("lo"), (F.col("c_acctbal") + F.col("c_custkey") % 5 * 0.75).alias("hi"))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_acctbal")
+    return range_join(rows, "s_acctbal", intervals, few=0).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("j6_range_join_of_times", "WITH r AS (SELECT o_orderkey AS k, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 36 HOUR * (o_orderkey % 3) AS lo, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 36 HOUR * (o_orderkey % 3) + INTERVAL 1 HOUR * (o_orderkey % 50) AS hi FROM orders), e AS (SELECT event_id, CAST('1995-01-01' AS TIMESTAMP) + INTERVAL 1 SECOND * (event_id * 19777 % 200000000) AS ts FROM events) SELECT r.k, count(*) AS n FROM e JOIN r ON ts >= lo AND ts < hi GROUP BY 1")
+def j6d(spark, sf_dir):
+    """Times in intervals of hours, one for each order."""
+    at = "(cast(o_orderdate as timestamp_ntz) + make_dt_interval(0, 36 * cast(o_orderkey % 3 as int)))"
+    intervals = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.expr(at).alias("lo"), F.expr(f"{at} + make_dt_interval(0, cast(o_orderkey % 50 as int))").alias("hi"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr("timestamp_ntz '1995-01-01' + make_dt_interval(0, 0, 0, event_id * 19777 % 200000000)").alias("ts"))
+    return range_join(rows, "ts", intervals, few=0).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("sql_lateral_ancestors", duck.entries(DOCS) + f", a AS (SELECT path, size, unnest({duck.ancestors()}) AS folder FROM entries WHERE NOT is_folder) SELECT folder, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, max(CASE WHEN folder = '/' THEN 0 ELSE len(string_split(folder, '/')) - 1 END) AS place FROM a GROUP BY 1")
+def sql_lateral(spark, sf_dir):
+    """The table function of ancestors, joined laterally."""
+    sql.register(spark)
+    rows = docs_catalog(spark, sf_dir).where("not is_folder").select("root", "path", "size")
+    return spark.sql("SELECT folder, count(*) AS n, sum(size) AS bytes, max(place) AS place FROM {rows} r, LATERAL path_ancestor_rows(r.path, r.root) GROUP BY folder", rows=rows)
+
+
+@query("sql_natural_key_and_root", duck.entries(DOCS) + f"SELECT path, {duck.natural('name')} AS k, CASE WHEN starts_with(path, '/docs/en/') OR path = '/docs/en' THEN '/docs/en' WHEN starts_with(path, '/docs/') OR path = '/docs' THEN '/docs' END AS own FROM entries")
+def sql_key(spark, sf_dir):
+    sql.register(spark)
+    rows = docs_catalog(spark, sf_dir).select("path", "name")
+    return spark.sql("SELECT path, natural_key(name) AS k, path_root(path, array('/docs', '/docs/en', '/docs/e')) AS own FROM {rows}", rows=rows)
+
+
 @query("sql_functions", duck.entries(DOCS) + f"SELECT path, parent_path, name, depth, ext, CASE WHEN path = '/' THEN 0 ELSE len(string_split(path, '/')) - 1 END AS n_above, {_f('name')} AS folded FROM entries")
 def sql_functions(spark, sf_dir):
     """The temporary SQL functions over the canonical table."""
@@ -362,6 +413,13 @@ def f9(spark, sf_dir):
     return R.root_report(B.union_roots(orders_catalog(spark, sf_dir), roots(spark)), roots(spark), 1705312800).where("num_files + num_folders > 0")
 
 
+@query("f9_root_report_all", duck.entries() + _live + ", x AS (SELECT DISTINCT path AS root, last_scan_time, rescan_after > 0 AND last_scan_time + rescan_after <= 1705312800 AS due, monitor OR scan_after_launch AS due_at_start FROM (SELECT * FROM r WHERE active UNION ALL SELECT '/NOWHERE', true, false, true, 60, 0)) SELECT x.root, count(*) FILTER (NOT e.is_folder) AS num_files, count(*) FILTER (e.is_folder) AS num_folders, CAST(coalesce(sum(size) FILTER (NOT e.is_folder), 0) AS BIGINT) AS bytes, last_scan_time, due, due_at_start FROM x LEFT JOIN entries e ON e.path = x.root OR starts_with(e.path, x.root || '/') GROUP BY ALL")
+def f9b(spark, sf_dir):
+    """All active roots, those that hold nothing too."""
+    more = roots(spark).unionByName(spark.createDataFrame([("/NOWHERE", True, False, True, 60, 0)], roots(spark).schema))
+    return R.root_report(B.union_roots(orders_catalog(spark, sf_dir), more), more, 1705312800)
+
+
 def _ranked(name: str, prop: str, keys: str, desc: bool = False, files: str = DOCS) -> None:
     """The place of each entry in an order."""
 
@@ -435,7 +493,14 @@ def h8c(spark, sf_dir):
     return T.catalog(fixtures.files(spark, sf_dir, fixtures.WORDS)).select("path", show(R.highlight_term("É")).alias("term"))
 
 
-@query("h8_regex_and_path_highlights")
+@query("h8_group_highlights", duck.entries(DOCS) + ", m AS (SELECT path, name, regexp_extract(name, '(o)(c)([0-9]*)([0-9])([.])([a-z]+)|(c)([0-9]+)', 0) AS hit, regexp_extract(name, 'o(c[0-9]*)[0-9][.][a-z]+', 1) AS g1, regexp_extract(name, 'oc[0-9]*([0-9])[.][a-z]+', 1) AS g2, regexp_extract(name, 'oc[0-9]*[0-9][.]([a-z]+)', 1) AS g3 FROM entries), x AS (SELECT *, instr(name, hit) - 1 AS a FROM m WHERE starts_with(hit, 'oc')) SELECT path, a || ':' || (a + strlen(hit)) || '|' || (a + 1) || ':' || (a + 1 + strlen(g1)) || '|' || (a + 1 + strlen(g1)) || ':' || (a + 1 + strlen(g1) + strlen(g2)) || '|' || (a + strlen(hit) - strlen(g3)) || ':' || (a + strlen(hit)) AS spans FROM x")
+def h8d(spark, sf_dir):
+    """Groups beside each other, one with the text of an earlier one: places by lengths, not by search."""
+    rows = docs_catalog(spark, sf_dir).select("path", R.highlight_regex("o(c[0-9]*)([0-9])[.]([a-z]+)", groups=3).alias("rx")).where(F.size("rx") > 0)
+    return rows.select("path", F.array_join(F.transform("rx", lambda h: F.concat_ws(":", h["start"].cast("string"), h["end"].cast("string"))), "|").alias("spans"))
+
+
+@query("h8_regex_and_path_highlights", duck.entries(DOCS) + ", x AS (SELECT path, name, strpos(lower(name), 'oc') AS o, regexp_extract(lower(name), 'oc([0-9]+)', 1) AS d, strpos(path, 'src1/doc') - 1 AS p, strlen(path) - strlen(name) AS cut FROM entries) SELECT path, CASE WHEN d <> '' THEN [{'field': 'name', 'start': CAST(o - 1 AS INTEGER), 'end': CAST(o + 1 + length(d) AS INTEGER)}, {'field': 'name', 'start': CAST(o + 1 AS INTEGER), 'end': CAST(o + 1 + length(d) AS INTEGER)}] ELSE [] END AS rx, CASE WHEN p < 0 THEN [] WHEN p + 8 <= cut THEN [{'field': 'path', 'start': CAST(p AS INTEGER), 'end': CAST(p + 8 AS INTEGER)}] ELSE [{'field': 'path', 'start': CAST(p AS INTEGER), 'end': CAST(cut AS INTEGER)}, {'field': 'name', 'start': 0, 'end': CAST(p + 8 - cut AS INTEGER)}] END AS split FROM x")
 def h8b(spark, sf_dir):
     return docs_catalog(spark, sf_dir).select("path", R.highlight_regex("oc([0-9]+)", groups=1).alias("rx"), R.highlight_path("src1/doc").alias("split"))
 
@@ -539,11 +604,63 @@ def i10(spark, sf_dir):
     return C.watch(before, after, {"big": D.size_is(">", "50k"), "seven": D.term("k7")}).select("search", "path", "delta")
 
 
+def _streamed(spark: SparkSession, feed: DataFrame, parts: Column, n: int, **run) -> str:
+    """Plays a feed as ``n`` files, in the order of ``parts``, one in each batch."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    feed = feed.withColumn("ts", F.col("ts").cast("timestamp"))
+    for i in range(n):
+        feed.where(parts == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    out = {k: f"{folder}/{k}" for k in run.pop("to")}
+    q = live.write_live(read_changes(spark, f"{folder}/in", 1), f"{folder}/checkpoint", late=None, trigger={"availableNow": True}, **out, **run)
+    q.awaitTermination()
+    return folder
+
+
+@query("i3_live_stream", _half + " SELECT path, size FROM last WHERE decided = 'upsert'")
+def i3b(spark, sf_dir):
+    """The feed with folders deleted half-way, as a stream whose batches hold every third event."""
+    folder = _streamed(spark, _with_deletes(spark, sf_dir), F.pmod(F.col("seq"), F.lit(3)), 3, to=["log"])
+    return live.snapshot_of(live.read_log(spark, f"{folder}/log")).select("path", "size")
+
+
+@query("i7_live_rollups", duck.folded() + "SELECT regexp_replace(path, '/[^/]*$', '') AS path, CAST(sum(size) AS BIGINT) AS total_size, count(*) AS all_files, count(*) AS num_files FROM final GROUP BY 1 UNION ALL SELECT '/home', CAST(sum(size) AS BIGINT), count(*), 0 FROM final")
+def i7b(spark, sf_dir):
+    """Rollups kept current by a stream's increments, never computed as a whole."""
+    folder = _streamed(spark, fixtures.changes(spark, sf_dir), F.pmod(F.col("seq"), F.lit(3)), 3, to=["rollups"])
+    return live.read_rollups(spark, f"{folder}/rollups").select("path", "total_size", "all_files", "num_files")
+
+
+@query("i7_changelog_increments", duck.folded() + "SELECT regexp_replace(path, '/[^/]*$', '') AS path, CAST(sum(size) AS BIGINT) AS total_size, count(*) AS num_files FROM final GROUP BY 1")
+def i7c(spark, sf_dir):
+    """Rollups of the first half, and what the states of the second half add to them."""
+    feed = fixtures.changes(spark, sf_dir)
+    half = feed.agg(F.max("seq")).first()[0] // 2
+    old, new = C.states(feed.where(F.col("seq") <= half)), C.states(feed.where(F.col("seq") > half))
+    parts = C.merged_rollups(C.rollups(C.live(old)), C.rollup_increments(C.changelog(old, new)))
+    return C.shown_rollups(parts).where("path <> '/home'").select("path", "total_size", "num_files")
+
+
+@query("i10_standing_searches", ORACLES["i10_watch"])
+def i10b(spark, sf_dir):
+    """What enters and leaves in the second of two batches of a stream."""
+    feed = fixtures.changes(spark, sf_dir)
+    half = feed.agg(F.max("seq")).first()[0] // 2
+    folder = _streamed(spark, feed, F.when(F.col("seq") <= half, 0).otherwise(1), 2, to=["deltas"], searches={"big": D.size_is(">", "50k"), "seven": D.term("k7")})
+    return live.read_deltas(spark, f"{folder}/deltas").where("batch = 1").select("search", "path", "delta")
+
+
 @query("i11_event_stats", f"WITH c AS ({fixtures.duck(fixtures.CHANGES)}), a AS (SELECT date_trunc('second', ts) AS start, {_acts} AS action FROM c) SELECT start, count(*) FILTER (action = 'upsert') AS created, count(*) FILTER (action = 'delete') AS deleted, count(*) FILTER (action = 'update') AS updated, 0 AS skipped FROM a GROUP BY 1")
 def i11(spark, sf_dir):
     return C.event_stats(fixtures.changes(spark, sf_dir)).select(F.col("start").cast("timestamp_ntz").alias("start"), "created", "deleted", "updated", "skipped")
 
 
+@query("i11_event_stats_superseded", f"WITH c0 AS ({fixtures.duck(fixtures.CHANGES)}), h AS (SELECT max(seq) // 2 AS half FROM c0), d AS (SELECT DISTINCT half AS seq, regexp_extract(path, '^(/home/user[0-9]*0)/', 1) AS path FROM c0, h WHERE regexp_matches(path, '^/home/user[0-9]*0/')), e AS (SELECT seq, path, {_acts} AS action, false AS is_folder FROM c0 UNION ALL SELECT seq, path, 'delete', true FROM d), x AS (SELECT e.*, e.seq // 1000 AS part, EXISTS (SELECT 1 FROM d WHERE d.seq // 1000 = e.seq // 1000 AND starts_with(e.path, d.path || '/') AND e.seq < d.seq) AS over FROM e) SELECT part, count(*) FILTER (action = 'upsert' AND NOT over) AS created, count(*) FILTER (action = 'delete' AND NOT over) AS deleted, count(*) FILTER (action = 'update' AND NOT over) AS updated, count(*) FILTER (is_folder AND action = 'delete' AND NOT over) AS subtrees, count(*) FILTER (over) AS skipped FROM x GROUP BY 1")
+def i11b(spark, sf_dir):
+    """Batches of a thousand events: those that a removal of a folder above them, later in the batch, makes needless are skipped."""
+    feed = _with_deletes(spark, sf_dir).withColumn("part", F.floor(F.col("seq") / 1000))
+    return C.batch_stats(feed, "part").select("part", "created", "deleted", "updated", "subtrees", "skipped")
+
+
 @query("x1_space_report", duck.entries() + "SELECT coalesce(ext, '*') AS ext, coalesce(depth, -1) AS depth, count(*) AS num_files, CAST(sum(size) AS BIGINT) AS bytes FROM entries WHERE NOT is_folder GROUP BY ROLLUP (entries.ext, entries.depth)")
 def x1(spark, sf_dir):
     return R.space_report(orders_catalog(spark, sf_dir), ["ext", "depth"]).na.fill("*", ["ext"]).na.fill(-1, ["depth"])

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names.  Where it is unset: one beside the
-    warehouse, which a cluster shares, or on one machine a temporary folder; the session
-    then keeps it."""
+    """The folder that ``spark.checkpoint.dir`` names.  Where it is unset: on one machine a
+    temporary folder, which the session then keeps; a cluster must name one that all its
+    machines share, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        alone = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        path = tempfile.mkdtemp(prefix="pathloom-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        path = tempfile.mkdtemp(prefix="pathloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)

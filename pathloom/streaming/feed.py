@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.changes import event_stats, live, merged, normalise, states, watch
+from ..operators.changes import changelog, event_stats, largest, live, normalise, states, watch_log
+from ..operators.tree import described
+from ..sources import versions
+from ..sources.scratch import settled
 
 CHANGES = "seq bigint, ts timestamp, root string, path string, kind string, is_folder boolean, size bigint, mtime timestamp_ntz"
 
@@ -60,51 +63,49 @@ def fold_paths(changes: DataFrame) -> DataFrame:
 _STATE = "root string, path string, deciding struct<seq: bigint, action: string>, v struct<seq: bigint, is_folder: boolean, size: bigint, mtime: timestamp_ntz>, gone bigint"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _states(spark: SparkSession, catalog: str, most: int | None = None) -> DataFrame:
-    out = spark.createDataFrame([], _STATE)
-    base = -1
-    if _exists(spark, f"{catalog}/base"):
-        kept = spark.read.schema(_STATE + ", upto bigint").parquet(f"{catalog}/base")
-        base = kept.agg(F.max("upto")).first()[0]
-        base = -1 if base is None else base
-        out = kept.where(F.col("upto") == base).drop("upto")
-    if _exists(spark, f"{catalog}/deltas"):
-        new = spark.read.schema(_STATE + ", batch bigint").parquet(f"{catalog}/deltas").where(F.col("batch") > base)
-        out = merged(out, (new if most is None else new.where(F.col("batch") <= most)).drop("batch"))
-    return out
+def _states(spark: SparkSession, catalog: str, batch: int | None = None) -> DataFrame:
+    """The states up to a batch (all, if none is named), from one version of the catalog."""
+    now = versions.latest(spark, catalog)
+    if batch is not None and any(p.batch > batch >= p.first for p in now.parts):
+        raise ValueError(f"batch {batch} has been merged with later ones")
+    parts = [p.name for p in now.parts if batch is None or p.batch <= batch]
+    if not parts:
+        return spark.createDataFrame([], _STATE)
+    return spark.read.schema(_STATE).parquet(*(f"{catalog}/parts/{p}" for p in parts))
 
 
 def read_catalog(spark: SparkSession, catalog: str, batch: int | None = None) -> DataFrame:
-    """The snapshot that ``write_catalog`` has come to, or had after a batch (one since the
-    last ``compact``)."""
-    return live(_states(spark, catalog, batch))
+    """The snapshot that ``write_catalog`` has come to, or had after a batch that was not
+    merged with later ones yet."""
+    return live(largest(_states(spark, catalog, batch)))
 
 
 def compact(spark: SparkSession, catalog: str) -> None:
-    """Merges the batches so far into one table, which later reads start from."""
-    upto = spark.read.schema(_STATE + ", batch bigint").parquet(f"{catalog}/deltas").agg(F.max("batch")).first()[0]
-    if upto is not None:
-        _states(spark, catalog, upto).write.mode("overwrite").parquet(f"{catalog}/base/upto={upto}")
+    """Merges all batches so far into one part.  ``write_catalog`` merges parts of like size
+    by itself, so this is only for a last, large merge."""
+    versions.merge(spark, catalog, _STATE, largest, every=True)
+    versions.tidy(spark, catalog)
 
 
 def write_catalog(changes: DataFrame, catalog: str, checkpoint: str, searches: dict[str, Column] | None = None, deltas: str | None = None, describe=None, trigger: dict | None = None) -> StreamingQuery:
     """Appends what each batch says of its paths, and nothing else: states merge in any
     order, so late events, and batches that are tried again, end as one fold of the whole
-    feed would.  With ``searches`` what enters and leaves each of them is appended to
-    ``deltas``."""
+    feed would.  Parts of like size are merged as they add up; a reader sees one version,
+    before a merge or after it.
+
+    With ``searches`` what enters and leaves each of them is appended to ``deltas``; only
+    what the batch touches is folded for that, but the states are read (``live.write_live``
+    keeps them by key and reads no more than a batch names)."""
 
     def batch(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
-        states(df).write.mode("overwrite").parquet(f"{catalog}/deltas/batch={n}")
+        new = settled(states(df))
         if searches and deltas:
-            full = describe or (lambda x: x)
-            before, after = read_catalog(spark, catalog, n - 1), read_catalog(spark, catalog, n)
-            watch(full(before), full(after), searches).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{deltas}/batch={n}")
+            log = changelog(_states(spark, catalog, n - 1), new)
+            watch_log(log, searches, describe or described).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{deltas}/batch={n}")
+        versions.append(new, catalog, n)
+        versions.merge(spark, catalog, _STATE, largest)
+        versions.tidy(spark, catalog)
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 

@@ -1,5 +1,6 @@
 """Round trips and properties of the catalog."""
 
+import datetime
 import random
 import time
 import uuid
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import literals, sql
 from pathloom.functions import paths as P
+from pathloom.functions.order import natural_key
 from pathloom.operators import changes as C
 from pathloom.operators import rules as B
 from pathloom.operators import tree as T
@@ -153,6 +155,26 @@ def test_range_join_by_cells(spark):
         assert sorted((r["v"], r["k"]) for r in range_join(rows, "v", table, few=few).collect()) == want
 
 
+def test_range_join_of_any_kind(spark):
+    """Both ways give the same rows: fractions, the ends of a long, NaN and infinities, times."""
+    nan, inf = float("nan"), float("inf")
+    numbers = [5.7, 6.2, -0.0, 0.0, 1e-300, -1e300, 1e300, inf, -inf, nan, None, 3.0, 2.9999999999999996, 1e17, 1e17 + 16]
+    ranges = [(0, 5.8, 7.0), (1, 5.7, 5.8), (2, -inf, 0.0), (3, 0.0, inf), (4, 3.0, 3.0), (5, 2.9999999999999996, 3.0), (6, -1e300, 1e300), (7, 0.0, nan), (8, 7.0, 5.0), (9, 1e17, 1e17 + 16), (10, None, 3.0), (11, -1e-300, 1e-299)]
+    cases = [([(v,) for v in numbers], "v double", ranges, "k int, lo double, hi double")]
+    least, most = -(2**63), 2**63 - 1
+    longs = [least, least + 1, -1, 0, 1, most - 1, most, None]
+    cases.append(([(v,) for v in longs], "v bigint", [(0, least, most), (1, least, least + 1), (2, most - 1, most), (3, -1, 1), (4, 0, 0), (5, least, 0)], "k int, lo bigint, hi bigint"))
+    cases.append(([(v,) for v in longs[2:5]] + [(5,), (6,), (7,)], "v bigint", [r for r in ranges if r[0] in (0, 3, 6, 11)], "k int, lo double, hi double"))
+    days = [datetime.datetime(1969, 12, 31, 23), datetime.datetime(2024, 3, 10, 2, 30, 0, 1), datetime.datetime(2024, 3, 10, 2, 30), None]
+    cases.append(([(v,) for v in days], "v timestamp_ntz", [(0, days[0], days[1]), (1, days[2], days[1]), (2, days[1], days[1]), (3, datetime.datetime(1, 1, 1), datetime.datetime(9999, 1, 1))], "k int, lo timestamp_ntz, hi timestamp_ntz"))
+    for values, kind, table, kinds in cases:
+        rows, intervals = spark.createDataFrame(values, kind), spark.createDataFrame(table, kinds)
+        few, many = (sorted((str(r["v"]), r["k"]) for r in range_join(rows, "v", intervals, few=n).collect()) for n in (1000, 0))
+        assert few == many and few
+    with pytest.raises(TypeError):
+        range_join(spark.createDataFrame([("a",)], "v string"), "v", spark.createDataFrame([("a", "b")], "lo string, hi string"), few=0)
+
+
 def test_sql_functions(spark):
     sql.register(spark)
     one = lambda q: spark.sql(f"SELECT {q}").first()[0]
@@ -161,6 +183,10 @@ def test_sql_functions(spark):
     assert one("path_parent('/a', '/')") == "/" and one("path_join('/', 'x')") == "/x" and one("path_ext('a.tar.gz', false)") == "gz"
     for glob in ("?b.c", "*a[b]", "|{x"):
         assert one(f"glob_to_regex('{glob}')") == spark.range(1).select(P.glob_to_regex(F.lit(glob))).first()[0]
+    assert one("path_root('/a/bc/d', array('/a', '/a/b', '/'))") == "/a" and one("path_root('/x', array('/a'))") is None
+    assert [tuple(r) for r in spark.sql("SELECT p, folder, place FROM VALUES ('/a/b/c'), ('/a') t(p), LATERAL path_ancestor_rows(p, '/') ORDER BY ALL").collect()] == [("/a", "/", 0), ("/a/b/c", "/", 0), ("/a/b/c", "/a", 1), ("/a/b/c", "/a/b", 2)]
+    for name in ("a10b02", "00", "x/1", ""):
+        assert spark.sql(f"SELECT natural_key('{name}')").first()[0] == spark.range(1).select(natural_key(F.lit(name))).first()[0]
     for text in ("12mb", "100", "9223372036854775t", "x", "3K"):
         assert one(f"size_interval('{text}')") == spark.range(1).select(literals.size_interval(F.lit(text))).first()[0]
 
