@@ -15,16 +15,16 @@ CHUNK_BYTES = 500_000
 BEGINNINGS = (4, 5, 6)
 
 
-def hashed_terms(texts, marked: np.ndarray | None = None, signs: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def hashed_terms(texts, marked: np.ndarray | None = None, signs: bool = False, beginnings: tuple[int, ...] = BEGINNINGS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For chunks of texts: index of the first text, text of each term (from there), bucket
     of each term; each pair once.  ``marked`` (by bucket) keeps only terms it marks.
-    ``signs`` adds runs of signs between words as terms."""
+    ``signs`` adds runs of signs between words as terms; without ``beginnings`` only words are."""
     for first, held in chunks(texts, CHUNK_BYTES):
         w = Words(held, ALNUM)
         text = w.text_of_word()
         parts, owner = [w.hash], [text]
         size = w.end - w.start
-        for k in BEGINNINGS:
+        for k in beginnings:
             long = np.flatnonzero(size > k)
             parts.append(w.span_hash(w.start[long], w.start[long] + k) * np.uint64(2 * k + 1))
             owner.append(text[long])

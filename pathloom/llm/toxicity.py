@@ -9,22 +9,23 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import arrow_texts, tidied
-from .hashing import BUCKETS, hashed_terms
+from .hashing import BEGINNINGS, BUCKETS, hashed_terms
 from .store import stored
 
 #: Labelled documents that a model learns from at most, about; dealt by a hash of doc_id.
 TRAIN_DOCS = 30_000
-#: Terms that keep weights: those that tell the labels apart best.
-TERMS = 4096
+#: Deviations from the labels' share from which a term keeps a weight: all such terms do.
+FAR = 2.5
 #: Labelled documents in which pairs of terms are tried, at most, about.
 PAIR_DOCS = 8_000
-#: Frequent terms whose pairs are tried: terms that tell nothing alone may do so together.
-PAIRED = 1024
+#: Texts that hold both words of a pair, at least.
+PAIR_LEAST = 5
 #: Deviations from the labels' share that make a pair, and how much more than its members'.
 PAIR_FAR, PAIR_GAIN = 5.5, 1.5
 FACTORS = 8
@@ -55,27 +56,72 @@ def _margin(owner, term, n, weight, factor) -> np.ndarray:
     return out
 
 
-def paired_terms(owner: np.ndarray, place: np.ndarray, label: np.ndarray, terms: int, most: int = 512) -> np.ndarray:
-    """The terms of the ``most`` pairs that tell the labels apart best, of those that do so
-    much better than each of their members.  ``place`` numbers terms from 0 to ``terms``."""
-    both = np.zeros((2, terms, terms), np.float32)
-    begin = np.searchsorted(owner, np.arange(0, len(label) + 512, 512))
-    for k in range(len(begin) - 1):
-        at = slice(begin[k], begin[k + 1])
-        x = np.zeros((512, terms), np.float32)
-        x[owner[at] - 512 * k, place[at]] = 1
-        both[0] += x.T @ x
-        x = x[: len(label) - 512 * k][label[512 * k : 512 * (k + 1)] == 1]
-        both[1] += x.T @ x
-    p = label.mean() if len(label) else 0.0
-    if not 0 < p < 1:
+def least_texts(share: float) -> int:
+    """Texts that a pair must stand in to reach PAIR_FAR at all, if all of them have the rarer
+    label: words in fewer texts are in no such pair, so none is lost by leaving them out."""
+    odds = min(share, 1 - share) / max(share, 1 - share)
+    return max(PAIR_LEAST, int(np.ceil(PAIR_FAR**2 * odds)))
+
+
+class Presence:
+    """Which texts hold which words, from both sides."""
+
+    def __init__(self, owner: np.ndarray, place: np.ndarray, label: np.ndarray, terms: int):
+        by = np.lexsort((place, owner))
+        self.words = place[by].astype(np.int32)  # of each text, one text after the other
+        self.text = np.searchsorted(owner[by], np.arange(len(label) + 1))
+        by = np.lexsort((owner, place))
+        self.texts = owner[by].astype(np.int32)  # of each word
+        self.word = np.searchsorted(place[by], np.arange(terms + 1))
+        self.label = label == 1
+        self.n = np.diff(self.word)
+        self.ones = np.bincount(place, label[owner] == 1, terms)
+
+    def apart(self, n: np.ndarray, ones: np.ndarray) -> np.ndarray:
+        p = self.label.mean()
+        return np.abs(ones - p * n) / np.sqrt(np.maximum(n, 1) * p * (1 - p))
+
+    def telling(self, word: int) -> np.ndarray:
+        """The words behind ``word`` that tell the labels apart with it much better than
+        either does alone."""
+        texts = self.texts[self.word[word] : self.word[word + 1]]
+        size = self.text[texts + 1] - self.text[texts]
+        at = np.arange(int(size.sum())) + np.repeat(self.text[texts] - (np.cumsum(size) - size), size)
+        others = self.words[at]
+        keep = others > word
+        others, toxic = others[keep], np.repeat(self.label[texts], size)[keep]
+        if 8 * len(others) < len(self.n):
+            found, inverse = np.unique(others, return_inverse=True)
+            both, ones = np.bincount(inverse, minlength=len(found)), np.bincount(inverse, toxic, len(found))
+        else:
+            both, ones = np.bincount(others, minlength=len(self.n)), np.bincount(others[toxic], minlength=len(self.n))
+            found = np.flatnonzero(both)
+            both, ones = both[found], ones[found]
+        far = self.apart(both, ones)
+        alone = np.maximum(self.apart(self.n[word], self.ones[word]), self.apart(self.n[found], self.ones[found]))
+        return found[(both >= PAIR_LEAST) & (far >= PAIR_FAR) & (far >= PAIR_GAIN * alone)]
+
+
+def paired_terms(spark: SparkSession, owner: np.ndarray, place: np.ndarray, label: np.ndarray, terms: int) -> np.ndarray:
+    """The words, of all ``terms``, that are in any pair that tells.  Each word is a row of a
+    Spark job and meets those it shares a text with; the texts, a bounded number, go to
+    every task."""
+    if not 0 < (label.mean() if len(label) else 0) < 1 or not terms:
         return np.zeros(0, np.int64)
-    far = np.abs(both[1] - p * both[0]) / np.sqrt(np.maximum(both[0], 1) * p * (1 - p))
-    alone = np.diag(far)
-    far[(both[0] < 5) | (far < PAIR_FAR) | (far < PAIR_GAIN * np.maximum(alone[:, None], alone[None]))] = 0
-    a, b = np.nonzero(np.triu(far, 1))
-    best = np.argsort(-far[a, b], kind="stable")[:most]
-    return np.unique(np.concatenate((a[best], b[best])))
+    held = spark.sparkContext.broadcast(Presence(owner, place, label, terms))
+
+    def tried(frames):
+        for pdf in frames:
+            found = [np.zeros(0, np.int64)]
+            for word in pdf["id"]:
+                other = held.value.telling(word)
+                if len(other):
+                    found += [np.array([word]), other]
+            yield pd.DataFrame({"place": np.unique(np.concatenate(found))})
+        tidied()
+
+    words = spark.range(0, terms, 1, 4 * spark.sparkContext.defaultParallelism)
+    return np.sort(words.mapInPandas(tried, "place bigint").distinct().toPandas()["place"].to_numpy(np.int64))
 
 
 def train(owner: np.ndarray, term: np.ndarray, label: np.ndarray, terms: int, factors: int = FACTORS, epochs: int = 40, batch: int = 512, rate: float = 0.1, decay: float = 2e-5, seed: int = 7):
@@ -92,31 +138,35 @@ def train(owner: np.ndarray, term: np.ndarray, label: np.ndarray, terms: int, fa
             size = begin[pick + 1] - begin[pick]
             at = np.arange(int(size.sum())) + np.repeat(begin[pick] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
             own, t = np.repeat(np.arange(len(pick)), size), term[at]
-            sums = np.stack([np.bincount(own, factor[t, f], len(pick)) for f in range(factors)], 1)
-            squares = np.stack([np.bincount(own, factor[t, f] ** 2, len(pick)) for f in range(factors)], 1)
-            margin = bias + np.bincount(own, weight[t], len(pick)) + 0.5 * (sums**2 - squares).sum(1)
+            v, there = factor[t], np.flatnonzero(size)  # reduceat takes no empty runs
+            runs = (np.cumsum(size) - size)[there]
+            sums, rest = np.zeros((len(pick), factors)), np.zeros(len(pick))
+            if len(there):
+                sums[there] = np.add.reduceat(v, runs, axis=0)
+                rest[there] = np.add.reduceat(weight[t] - 0.5 * np.einsum("ij,ij->i", v, v), runs)
+            margin = bias + rest + 0.5 * (sums**2).sum(1)
             slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - label[pick]) / len(pick)
             gb += slope.sum() ** 2
             bias -= rate * slope.sum() / np.sqrt(gb)
             d = np.bincount(t, slope[own], terms) + decay * weight
             gw += d * d
             weight -= rate * d / np.sqrt(gw)
-            pull = slope[own, None] * (sums[own] - factor[t])
+            pull = slope[own, None] * (sums[own] - v)
             dv = np.stack([np.bincount(t, pull[:, f], terms) for f in range(factors)], 1) + decay * factor
             gv += dv * dv
             factor -= 0.3 * rate * dv / np.sqrt(gv)
     return bias, weight, factor
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, terms: int = TERMS) -> FactorizationMachine:
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> FactorizationMachine:
     """Learns ``toxic`` of the labelled documents whose crc32(doc_id) modulo 5 is not 0.
 
     At most about ``train_docs`` of them, dealt by a hash of doc_id.  Counts of terms by
-    label are summed on the executors; the terms that tell labels apart best (at most
-    ``terms``) and the PAIRED most frequent come to the driver.  Of the frequent ones those
-    stay that tell labels apart in pairs, in about PAIR_DOCS documents; then each document's
-    few terms among all these come.  Labels that
-    are null or not 0 or 1 are left out; without any, every score is one half.
+    label are summed on the executors; every term that tells the labels apart by FAR
+    deviations keeps a weight, and so does every word of a pair that tells much more than
+    its words do, tried over all words of about PAIR_DOCS documents that can reach it.  No
+    number of terms or pairs is set.  Labels that are null or not 0 or 1 are left out;
+    without any, every score is one half.
     """
     learn = lambda df: df.where("doc_id is not null and pmod(crc32(cast(doc_id as string)), 5) <> 0")
     marks = learn(labels.select("doc_id", "toxic")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -146,12 +196,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, terms:
     # how far the share of ones among a term's texts is from all texts' share, in deviations
     p = ones / (ones + zeros)
     tells = counted.withColumn("far", F.abs(F.col("o") - p * (F.col("z") + F.col("o"))) / F.sqrt((F.col("z") + F.col("o")) * F.lit(p * (1 - p))))
-    best = tells.where("far > 2.5").orderBy(F.desc("far"), "bucket").limit(terms).select("bucket").toPandas()["bucket"].to_numpy()
-    often = counted.select("bucket", (F.col("z") + F.col("o")).alias("n")).where(F.col("n").between(5, int(0.8 * (ones + zeros))))
-    often = often.orderBy(F.desc("n"), "bucket").limit(PAIRED).select("bucket").toPandas()["bucket"].to_numpy()
+    best = tells.where(F.col("far") > FAR).select("bucket").toPandas()["bucket"].to_numpy()
     tried = F.expr(f"pmod(xxhash64(doc_id, 12), 1000000) < {int(min(1.0, PAIR_DOCS / (ones + zeros)) * 1_000_000)}")
-    owner, term, label = _terms(rows.where(tried), often)
-    chosen = np.union1d(best, often[paired_terms(owner, term, label, len(often))] if len(often) else often).astype(np.int64)
+    owner, term, label = _terms(rows.where(tried), np.arange(BUCKETS), ())
+    share = label.mean() if len(label) else 0.0
+    texts = np.bincount(term, minlength=BUCKETS)
+    words = np.flatnonzero((texts >= least_texts(share)) & (texts < len(label))) if 0 < share < 1 else np.zeros(0, np.int64)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[words] = np.arange(len(words))
+    keep = place[term] >= 0
+    pairs = paired_terms(docs.sparkSession, owner[keep], place[term[keep]], label, len(words))
+    chosen = np.union1d(best, words[pairs]).astype(np.int64)
     owner, term, label = _terms(rows, chosen)
     bias, weight, factor = train(owner, term, label, max(len(chosen), 1))
     index[chosen] = np.arange(len(chosen))
@@ -159,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, terms:
     return FactorizationMachine(index, bias, weight, factor)
 
 
-def _terms(rows: DataFrame, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _terms(rows: DataFrame, buckets: np.ndarray, beginnings: tuple[int, ...] = BEGINNINGS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text and term (a place in ``buckets``) of all terms of ``rows``, and the labels."""
     index = np.full(BUCKETS, -1, np.int32)
     index[buckets] = np.arange(len(buckets))
@@ -168,7 +223,7 @@ def _terms(rows: DataFrame, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     def select(batches):
         for batch in batches:
             held = [np.zeros(0, np.int32)] * batch.num_rows
-            for first, owner, bucket in hashed_terms(arrow_texts(batch.column("text")), kept.value >= 0):
+            for first, owner, bucket in hashed_terms(arrow_texts(batch.column("text")), kept.value >= 0, beginnings=beginnings):
                 cut = np.searchsorted(owner, np.arange(int(owner[-1]) + 2 if len(owner) else 1))
                 for k in range(len(cut) - 1):
                     held[first + k] = kept.value[bucket[cut[k] : cut[k + 1]]]
