@@ -39,3 +39,15 @@ def hashed_terms(texts, marked: np.ndarray | None = None, signs: bool = False, b
             bucket, owner = bucket[keep], owner[keep]
         both = np.unique(owner * BUCKETS + bucket)
         yield first, both // BUCKETS, both % BUCKETS
+
+
+def beginnings_of(texts, marked: np.ndarray) -> np.ndarray:
+    """Buckets of the beginnings of the words in ``texts`` whose own bucket is ``marked``."""
+    found = np.zeros(BUCKETS, bool)
+    for _, held in chunks(texts, CHUNK_BYTES):
+        w = Words(held, ALNUM)
+        mine = np.flatnonzero(marked[(w.hash >> np.uint64(46)).astype(np.int64)])
+        for k in BEGINNINGS:
+            start = w.start[mine[w.end[mine] - w.start[mine] > k]]
+            found[((w.span_hash(start, start + k) * np.uint64(2 * k + 1)) >> np.uint64(46)).astype(np.int64)] = True
+    return np.flatnonzero(found)

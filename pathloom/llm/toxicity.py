@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import arrow_texts, tidied
-from .hashing import BEGINNINGS, BUCKETS, hashed_terms
+from .hashing import BEGINNINGS, BUCKETS, beginnings_of, hashed_terms
 from .store import stored
 
 #: Labelled documents that a model learns from at most, about; dealt by a hash of doc_id.
@@ -206,7 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Fac
     place[words] = np.arange(len(words))
     keep = place[term] >= 0
     pairs = paired_terms(docs.sparkSession, owner[keep], place[term[keep]], label, len(words))
-    chosen = np.union1d(best, words[pairs]).astype(np.int64)
+    paired = words[pairs]
+    # forms of a word share its beginnings, so a pair's words bring theirs along
+    chosen = np.union1d(best, np.union1d(paired, _beginnings(rows.where(tried), paired))).astype(np.int64)
     owner, term, label = _terms(rows, chosen)
     bias, weight, factor = train(owner, term, label, max(len(chosen), 1))
     index[chosen] = np.arange(len(chosen))
@@ -236,6 +238,21 @@ def _terms(rows: DataFrame, buckets: np.ndarray, beginnings: tuple[int, ...] = B
     return owner, np.concatenate(held) if held else np.zeros(0, np.int32), data["toxic"].to_numpy(float)
 
 
+def _beginnings(rows: DataFrame, buckets: np.ndarray) -> np.ndarray:
+    """The buckets of the beginnings of words in ``buckets``."""
+    marked = np.zeros(BUCKETS, bool)
+    marked[buckets] = True
+    if not len(buckets):
+        return np.zeros(0, np.int64)
+
+    def find(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bucket": beginnings_of(arrow_texts(batch.column("text")), marked)})
+        tidied()
+
+    return rows.select("text").mapInArrow(find, "bucket bigint").distinct().toPandas()["bucket"].to_numpy(np.int64)
+
+
 def scored(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, held_out, score, predicted.  Null and empty texts
     have no terms and get the model's bias; other columns are not read; texts are scored
