@@ -6,11 +6,13 @@ holds term i: the factors v let a pair of terms weigh more, or less, than its tw
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,14 +69,13 @@ class Presence:
     """Which texts hold which words, from both sides."""
 
     def __init__(self, owner: np.ndarray, place: np.ndarray, label: np.ndarray, terms: int):
-        by = np.lexsort((place, owner))
-        self.words = place[by].astype(np.int32)  # of each text, one text after the other
-        self.text = np.searchsorted(owner[by], np.arange(len(label) + 1))
-        by = np.lexsort((owner, place))
-        self.texts = owner[by].astype(np.int32)  # of each word
-        self.word = np.searchsorted(place[by], np.arange(terms + 1))
+        # ``owner`` is sorted
+        self.words = place.astype(np.int32)  # of each text, one text after the other
+        self.text = np.searchsorted(owner, np.arange(len(label) + 1))
+        self.texts = owner[np.argsort(place, kind="stable")].astype(np.int32)  # of each word
+        self.n = np.bincount(place, minlength=terms)
+        self.word = np.concatenate(([0], np.cumsum(self.n)))
         self.label = label == 1
-        self.n = np.diff(self.word)
         self.ones = np.bincount(place, label[owner] == 1, terms)
 
     def apart(self, n: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -124,13 +125,12 @@ def paired_terms(spark: SparkSession, owner: np.ndarray, place: np.ndarray, labe
     return np.sort(words.mapInPandas(tried, "place bigint").distinct().toPandas()["place"].to_numpy(np.int64))
 
 
-def train(owner: np.ndarray, term: np.ndarray, label: np.ndarray, terms: int, factors: int = FACTORS, epochs: int = 40, batch: int = 512, rate: float = 0.1, decay: float = 2e-5, seed: int = 7):
-    """Adagrad on the log loss; ``owner`` is sorted and numbers the texts from 0."""
+def train(begin: np.ndarray, term: np.ndarray, label: np.ndarray, terms: int, factors: int = FACTORS, epochs: int = 40, batch: int = 512, rate: float = 0.1, decay: float = 2e-5, seed: int = 7):
+    """Adagrad on the log loss; a text's terms are those from its place in ``begin`` to the next."""
     rng = np.random.default_rng(seed)
     rate_of_ones = np.clip(label.mean() if len(label) else 0.5, 1e-3, 1 - 1e-3)
     bias, weight, factor = float(np.log(rate_of_ones / (1 - rate_of_ones))), np.zeros(terms), rng.normal(0, 0.01, (terms, factors))
     gb, gw, gv = 1e-6, np.full(terms, 1e-6), np.full((terms, factors), 1e-6)
-    begin = np.searchsorted(owner, np.arange(len(label) + 1))
     for _ in range(epochs):
         order = rng.permutation(len(label))
         for a in range(0, len(order), batch):
@@ -198,7 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Fac
     tells = counted.withColumn("far", F.abs(F.col("o") - p * (F.col("z") + F.col("o"))) / F.sqrt((F.col("z") + F.col("o")) * F.lit(p * (1 - p))))
     best = tells.where(F.col("far") > FAR).select("bucket").toPandas()["bucket"].to_numpy()
     tried = F.expr(f"pmod(xxhash64(doc_id, 12), 1000000) < {int(min(1.0, PAIR_DOCS / (ones + zeros)) * 1_000_000)}")
-    owner, term, label = _terms(rows.where(tried), np.arange(BUCKETS), ())
+    begin, term, label = _terms(rows.where(tried), np.arange(BUCKETS), ())
+    owner = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(begin))
     share = label.mean() if len(label) else 0.0
     texts = np.bincount(term, minlength=BUCKETS)
     words = np.flatnonzero((texts >= least_texts(share)) & (texts < len(label))) if 0 < share < 1 else np.zeros(0, np.int64)
@@ -207,17 +208,20 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Fac
     keep = place[term] >= 0
     pairs = paired_terms(docs.sparkSession, owner[keep], place[term[keep]], label, len(words))
     paired = words[pairs]
+    del owner, term, keep
+    tidied()
     # forms of a word share its beginnings, so a pair's words bring theirs along
     chosen = np.union1d(best, np.union1d(paired, _beginnings(rows.where(tried), paired))).astype(np.int64)
-    owner, term, label = _terms(rows, chosen)
-    bias, weight, factor = train(owner, term, label, max(len(chosen), 1))
+    begin, term, label = _terms(rows, chosen)
+    bias, weight, factor = train(begin, term, label, max(len(chosen), 1))
     index[chosen] = np.arange(len(chosen))
     tidied()
     return FactorizationMachine(index, bias, weight, factor)
 
 
 def _terms(rows: DataFrame, buckets: np.ndarray, beginnings: tuple[int, ...] = BEGINNINGS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text and term (a place in ``buckets``) of all terms of ``rows``, and the labels."""
+    """Where each text begins among the terms (places in ``buckets``), the terms of all
+    ``rows``, and the labels; texts in an order that hangs on them alone."""
     index = np.full(BUCKETS, -1, np.int32)
     index[buckets] = np.arange(len(buckets))
     kept = rows.sparkSession.sparkContext.broadcast(index)
@@ -229,13 +233,29 @@ def _terms(rows: DataFrame, buckets: np.ndarray, beginnings: tuple[int, ...] = B
                 cut = np.searchsorted(owner, np.arange(int(owner[-1]) + 2 if len(owner) else 1))
                 for k in range(len(cut) - 1):
                     held[first + k] = kept.value[bucket[cut[k] : cut[k + 1]]]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([h.astype(np.int32).tobytes() for h in held], pa.binary())], ["toxic", "terms"])
+            key = [zlib.crc32(h.tobytes()) for h in held]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(key, pa.int64()), pa.array([h.astype(np.int32).tobytes() for h in held], pa.binary())], ["toxic", "key", "terms"])
         tidied()
 
-    data = rows.mapInArrow(select, "toxic int, terms binary").toPandas().sort_values(["toxic", "terms"], kind="stable")
-    held = [np.frombuffer(b, np.int32) for b in data["terms"]]
-    owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held])
-    return owner, np.concatenate(held) if held else np.zeros(0, np.int32), data["toxic"].to_numpy(float)
+    data = rows.mapInArrow(select, "toxic int, key bigint, terms binary").toArrow()
+    toxic, key = (data.column(c).to_numpy() for c in ("toxic", "key"))
+    size = pc.binary_length(data.column("terms")).to_numpy().astype(np.int64) // 4
+    order = np.lexsort((size, key, toxic))
+    begin = np.concatenate(([0], np.cumsum(size[order])))
+    place = np.empty(len(order), np.int64)
+    place[order] = begin[:-1]
+    term = np.empty(int(begin[-1]), np.uint16 if len(buckets) <= 1 << 16 else np.int32)
+    at = 0
+    for chunk in data.column("terms").chunks:  # a text at a time, none is held twice
+        for value in chunk:
+            t = np.frombuffer(value.as_buffer(), np.int32)
+            term[place[at] : place[at] + len(t)] = t
+            at += 1
+    label = toxic[order].astype(float)
+    del data, toxic, key
+    kept.unpersist()
+    tidied()
+    return begin, term, label
 
 
 def _beginnings(rows: DataFrame, buckets: np.ndarray) -> np.ndarray:
