@@ -33,15 +33,40 @@ def page(result: DataFrame, start: int, n: int, prop: str, desc: bool = False) -
     return sort_by(with_row_index(result, prop, desc).where(F.col("row_index").between(start, start + n - 1)).drop("row_index"), prop, desc)
 
 
+def _dealt(result: DataFrame, order: list[Column]) -> DataFrame:
+    """Sorted in parallel in ranges of an order and written once, so that counts and rows see the
+    same ranges; ``__part`` numbers the ranges, ``__id`` grows with the order."""
+    parts = int(result.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = result.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    return settled(dealt.withColumn("__part", F.shiftright("__id", 33)))
+
+
+def _running(result: DataFrame, by: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over the rows of a group, from its first in ``order`` to
+    the row itself.  No group is one task: ranges of (by, order) are summed each by itself, and
+    a range that starts inside a group adds what the ranges before it hold of that group.
+    There is one such group for each range at most, so what is sent to all tasks is bounded
+    by the number of ranges."""
+    dealt = _dealt(result.withColumn("__value", value), [*(F.asc(b) for b in by), *order])
+    own = dealt.groupBy("__part", *by).agg(F.sum("__value").alias("__sum"))
+    earlier = Window.partitionBy(*by).orderBy("__part")
+    before = F.sum("__sum").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    carried = own.select("__part", *by, before.alias("__before"), F.row_number().over(earlier).alias("__nth")).where("__nth > 1 and __before is not null")
+    carried = F.broadcast(carried.select(F.col("__part").alias("__at"), "__before", *(F.col(b).alias(f"__by{i}") for i, b in enumerate(by))))
+    same = F.col("__part") == F.col("__at")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"__by{i}"))
+    inside = F.sum("__value").over(Window.partitionBy("__part", *by).orderBy("__id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summed = dealt.withColumn("__inside", inside).join(carried, same, "left")
+    total = F.coalesce(F.col("__inside") + F.col("__before"), "__inside", "__before")
+    return summed.select(*result.columns, total.alias(name))
+
+
 def with_row_index(result: DataFrame, prop: str, desc: bool = False, prev: list[str] | None = None) -> DataFrame:
     """A row_index from 0 over the whole order, without a single-task window: ranges are
     sorted in parallel, counted, and each range starts where the one before it ends."""
     order = sort_keys(prop, desc, prev)
-    parts = int(result.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = result.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    # written once, so that counts and rows see the same ranges
-    dealt = dealt.withColumn("__part", F.shiftright("__id", 33))
-    dealt = settled(dealt)
+    dealt = _dealt(result, order)
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))
     starts = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__start"))
     inside = F.col("__id") - F.shiftleft("__part", 33)
@@ -189,7 +214,8 @@ def space_report(result: DataFrame, keys: list[str], mode: str = "rollup") -> Da
 
 
 def rank_within(result: DataFrame, by: str, order: str = "size") -> DataFrame:
-    return result.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order), "path")))
+    """The place of each entry, from 1, among those alike in ``by``, the largest ``order`` first."""
+    return _running(result, [by], [F.desc(order), F.asc("path")], F.lit(1), "rank")
 
 
 def share_of_parent(result: DataFrame) -> DataFrame:
@@ -197,6 +223,5 @@ def share_of_parent(result: DataFrame) -> DataFrame:
     siblings, the largest first."""
     from .tree import with_parent
 
-    running = Window.partitionBy("root", "parent_path").orderBy(F.desc("size"), "path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    result = with_parent(result).withColumn("running", F.sum("size").over(running))
+    result = _running(with_parent(result), ["root", "parent_path"], [F.desc("size"), F.asc("path")], F.col("size"), "running")
     return result.withColumn("share", F.when(F.col("parent_size") > 0, F.col("size") / F.col("parent_size")))

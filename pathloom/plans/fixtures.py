@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,24 @@ def files(spark: SparkSession, sf_dir: str, text: str = ORDERS) -> DataFrame:
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark_rows(spark, sf_dir, CHANGES).withColumn("mtime", F.col("mtime").cast("timestamp_ntz"))
+
+
+#: What documents are written as, by doc_id modulo their number: bytes in hexadecimal before the text
+#: (None: the text alone goes too) and the end of the name.
+WRITTEN = [("89504E470D0A1A0A", ""), ("1F8B08", ""), ("524946460102030457454250", ""), ("524946460102030457415645", ""), ("255044462D", ""), ("00" * 257 + "7573746172", ".saved"), ("", ""), ("00010203", ""), (None, ""), ("3C21444F43545950452068746D6C3E", ""), ("00000018667479704D344120", ""), ("", ".pdf"), ("E29882", ".Note")]
+
+
+def written_documents(spark: SparkSession, sf_dir: str, top: str) -> None:
+    """Each document as a file below ``top``; written by the tasks, the same again when one is repeated."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.coalesce("lang", F.lit("none")).alias("lang"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def write(batches):
+        for pdf in batches:
+            for lang, doc, text in zip(pdf["lang"], pdf["doc_id"], pdf["text"], strict=True):
+                start, end = WRITTEN[doc % len(WRITTEN)]
+                os.makedirs(f"{top}/{lang}", exist_ok=True)
+                with open(f"{top}/{lang}/doc{doc}{end}", "wb") as f:
+                    f.write(b"" if start is None else bytes.fromhex(start) + text.encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    docs.mapInPandas(write, "n long").agg(F.sum("n")).collect()

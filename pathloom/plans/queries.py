@@ -19,7 +19,9 @@ from ..operators import rules as B
 from ..operators import tree as T
 from ..operators.ranges import range_join
 from ..sources import snapshot as S
-from ..sources.scratch import shared_folder
+from ..sources.contents import with_content_type
+from ..sources.inventory import scan_tree
+from ..sources.scratch import local_path, shared_folder
 from ..streaming import live
 from ..streaming.feed import read_changes
 from . import duck, fixtures
@@ -195,6 +197,22 @@ def c9(spark, sf_dir):
     return orders_catalog(spark, sf_dir).select("path", file_type("name", "is_folder").alias("file_type"), content_type("name", "is_folder").alias("content_type"))
 
 
+_n = len(fixtures.WRITTEN)
+_starts = "[" + ", ".join("NULL" if x is None else f"'{x}'" for x, _ in fixtures.WRITTEN) + "]"
+_tails = "[" + ", ".join(f"'{x}'" for _, x in fixtures.WRITTEN) + "]"
+# what each kind is, written from its meaning; those that begin with their text alone are asked below
+_meant = "['image/png', 'application/gzip', 'image/webp', 'audio/x-wav', 'application/pdf', 'application/x-tar', NULL, 'application/octet-stream', 'application/x-zerosize', 'text/html', 'audio/mp4', 'application/pdf', 'text/plain']"
+
+
+@query("a1_c10_types_of_contents", f"WITH d AS (SELECT doc_id, coalesce(lang, 'none') AS lang, coalesce(text, '') AS text, CAST(doc_id % {_n} AS INTEGER) + 1 AS k FROM documents), w AS (SELECT *, {_starts}[k] AS start FROM d) SELECT '/' || lang || '/doc' || doc_id || {_tails}[k] AS path, CASE WHEN start IS NULL THEN 0 ELSE length(start) // 2 + strlen(text) END AS size, coalesce({_meant}[k], CASE WHEN text = '' THEN 'application/x-zerosize' ELSE 'text/plain' END) AS content_type FROM w UNION ALL SELECT DISTINCT '/' || lang, 0, 'inode/directory' FROM d")
+def c10b(spark, sf_dir):
+    """All documents as files, most without a telling name: listed, and typed by their first bytes."""
+    top = local_path(shared_folder(spark)) + f"/contents-{uuid.uuid4().hex}"
+    fixtures.written_documents(spark, sf_dir, top)
+    listed = scan_tree(spark, [top]).where("path <> root").withColumn("name", P.name_of("path"))
+    return with_content_type(listed).select(F.substring("path", len(top) + 1, 1 << 20).alias("path"), "size", "content_type")
+
+
 @query("c11_describe", duck.entries() + "SELECT name, size, 0 AS access_time FROM entries")
 def c11(spark, sf_dir):
     return R.describe(orders_catalog(spark, sf_dir), ["name", "size", "access_time"])

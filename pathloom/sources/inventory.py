@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import stat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,36 +28,54 @@ def read_inventory(df: DataFrame, path: str = "path", size: str | None = "size",
 
 
 _LISTED = "root string, path string, is_folder boolean, size bigint, mtime double, device string"
+#: Rows that a listing holds before it hands them on.
+PART = 10_000
 
 
-def _list(batches):
+def _names(batches):
+    """Paths in folders, in parts of bounded size.  Names of more than 65535 bytes, and those
+    that no text can hold (not UTF-8), are left out."""
     for pdf in batches:
         rows = []
         for root, path in zip(pdf["root"], pdf["path"], strict=True):
             try:
                 with os.scandir(path) as found:
                     for e in found:
-                        try:
-                            st = e.stat(follow_symlinks=False)
-                        except OSError:
+                        if len(os.fsencode(e.name)) > 65535 or not e.name.isascii() and e.name.encode(errors="ignore").decode() != e.name:
                             continue
-                        if len(os.fsencode(e.name)) <= 65535:
-                            rows.append((root, os.path.join(path, e.name), e.is_dir(follow_symlinks=False), st.st_size, st.st_mtime, str(st.st_dev)))
+                        rows.append((root, os.path.join(path, e.name)))
+                        if len(rows) == PART:
+                            yield pd.DataFrame(rows, columns=["root", "path"])
+                            rows = []
             except OSError:
                 continue
+        if rows:
+            yield pd.DataFrame(rows, columns=["root", "path"])
+
+
+def _stats(batches):
+    for pdf in batches:
+        rows = []
+        for root, path in zip(pdf["root"], pdf["path"], strict=True):
+            try:
+                st = os.lstat(path)
+            except OSError:
+                continue
+            rows.append((root, path, stat.S_ISDIR(st.st_mode), st.st_size, st.st_mtime, str(st.st_dev)))
         yield pd.DataFrame(rows, columns=["root", "path", "is_folder", "size", "mtime", "device"])
 
 
 def scan_tree(spark: SparkSession, roots: list[str], tasks: int = 32) -> DataFrame:
     """Files and folders below roots on a file system that executors share: level by level,
     the folders of one level are listed in parallel and give the next.  Hidden entries
-    count, links are not followed, what cannot be read is left out."""
+    count, links are not followed, what cannot be read is left out.  A folder's names are read
+    by one task, part by part; what each name is, is asked by all tasks."""
     level = spark.createDataFrame([(r, r) for r in dict.fromkeys(roots)], "root string, path string")
     start = [(r, r, True, 0, 0.0, str(os.stat(r).st_dev)) for r in dict.fromkeys(roots) if os.path.isdir(r)]
     out = spark.createDataFrame(start, _LISTED)
     while True:
-        found = level.repartition(tasks, "path").mapInPandas(_list, _LISTED)
-        found = settled(found)
+        names = level.repartition(tasks, "path").mapInPandas(_names, "root string, path string")
+        found = settled(names.repartition(tasks, "path").mapInPandas(_stats, _LISTED))
         out = out.unionByName(found)
         level = found.where("is_folder").select("root", "path")
         if not level.take(1):

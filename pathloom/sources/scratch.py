@@ -22,6 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def local_path(folder: str) -> str:
+    """A folder's path for Python's own file functions: a mounted one, not an object store's address."""
+    scheme, _, rest = folder.rpartition(":")
+    if scheme not in ("", "file"):
+        raise ValueError(f"not a mounted folder: {folder}")
+    return "/" + rest.lstrip("/") if scheme else folder
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there: all who read it see the
     same rows, and a lost executor takes none along."""
