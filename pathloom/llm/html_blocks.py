@@ -16,7 +16,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -36,9 +36,6 @@ ENDS_P = BLOCK - set("button caption legend option tbody td th tr thead tfoot he
 OUTSIDE_TAGS = set("nav footer aside form header head title button select".split())
 OUTSIDE_NAMES = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|header|footer|cookie\w*|consent|notice|alert|comments?|replies|respond|share|social|related|recommend\w*|newsletter|subscribe|breadcrumbs?|login|search|widget|popup|modal)(?:$|[-_ ])")
 
-#: Open elements of a path, from the root and from the block up, that a block keeps.
-PATH_ENDS = 16
-
 # A tag's name, and what follows up to its end; without a way back, so no page takes more
 # than a pass or two.  A quote that never closes leaves the plain form.
 _NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
@@ -97,9 +94,23 @@ def markup(page: str):
     yield page[begin:], False, "", ""
 
 
+@dataclass(frozen=True, slots=True)
+class Path:
+    """All open elements of a block, as much of them as is read: it costs the same however
+    deep they lie."""
+
+    places: int = 0  # one bit for each place of the path's vector
+    inside: int = 0  # what semantic tags say, see taught()
+
+    def under(self, step: str) -> Path:
+        """With one more element: its tag, or its tag and names."""
+        places, inside = _read(step)
+        return Path(self.places | places, self.inside if inside is None else inside)
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]  # tag, or tag and names of each open element
+    path: Path
     text: str
     linked: float  # share of its characters inside links
 
@@ -109,7 +120,7 @@ def blocks(page: str | None) -> list[Block]:
     into single spaces.  Unclosed and stray tags are borne; comments, scripts and styles
     hold no blocks; null and empty pages have none."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, Path]] = []
     is_open: Counter[str] = Counter()
     held: list[tuple[str, bool]] = []
 
@@ -118,8 +129,7 @@ def blocks(page: str | None) -> list[Block]:
             text = " ".join(_unescaped("".join([t for t, _ in held])).split())
             if text:
                 size = sum(len(t) for t, _ in held)
-                path = stack if len(stack) <= 2 * PATH_ENDS else stack[:PATH_ENDS] + stack[-PATH_ENDS:]
-                out.append(Block(tuple(f"{t} {n}".strip() for t, n in path), text, sum(len(t) for t, a in held if a) / size))
+                out.append(Block(stack[-1][1] if stack else Path(), text, sum(len(t) for t, a in held if a) / size))
             held.clear()
 
     def cut(i: int) -> None:
@@ -166,32 +176,29 @@ def blocks(page: str | None) -> list[Block]:
             tokens.send(True)
             continue
         names = " ".join(" ".join(filter(None, g)) for g in _NAMES.findall(rest)).lower() if rest else ""
-        stack.append((tag, names))
+        stack.append((tag, (stack[-1][1] if stack else Path()).under(f"{tag} {names}".strip())))
         is_open[tag] += 1
     flush()
     return out
 
 
-def taught(path: tuple[str, ...]) -> int:
+def taught(path: Path) -> int:
     """What semantic tags say of a block: 1 inside an article or main element with nothing
     in between that takes it out, 0 otherwise (pages without any 1 are not learnt from)."""
-    inside = 0
-    for step in path:
-        tag, _, names = step.partition(" ")
-        if tag in ("article", "main"):
-            inside = 1
-        elif tag in OUTSIDE_TAGS or names and OUTSIDE_NAMES.search(names):
-            inside = 0
-    return inside
+    return path.inside
 
 
 @lru_cache(maxsize=1 << 12)
-def _path_places(step: str) -> tuple[int, ...]:
-    """Where an open element shows in the vector: its tag, its names and their parts."""
+def _read(step: str) -> tuple[int, int | None]:
+    """Where an open element shows in the vector (its tag, its names and their parts), and
+    whether what it holds is the article's, is not, or is what it was."""
     tag, _, names = step.partition(" ")
-    if tag in ("html", "body"):
-        return ()
-    return tuple(zlib.crc32(name.encode()) % PATH_DIM for name in (tag, *(f".{p}" for n in names.split() for p in {n, *re.split(r"[-_]", n)})))
+    inside = 1 if tag in ("article", "main") else 0 if tag in OUTSIDE_TAGS or names and OUTSIDE_NAMES.search(names) else None
+    places = 0
+    if tag not in ("html", "body"):
+        for name in (tag, *(f".{p}" for n in names.split() for p in {n, *re.split(r"[-_]", n)})):
+            places |= 1 << zlib.crc32(name.encode()) % PATH_DIM
+    return places, inside
 
 
 def vectors(page: list[Block]) -> np.ndarray:
@@ -199,8 +206,8 @@ def vectors(page: list[Block]) -> np.ndarray:
     x = np.zeros((n, k + MEASURES), np.float32)
     if not n:
         return x
-    steps = [[p for step in b.path for p in _path_places(step)] for b in page]
-    x[np.repeat(np.arange(n), [len(s) for s in steps]), np.fromiter(chain.from_iterable(steps), np.int64)] = 1
+    places = b"".join(b.path.places.to_bytes(PATH_DIM // 8, "little") for b in page)
+    x[:, :PATH_DIM] = np.unpackbits(np.frombuffer(places, np.uint8), bitorder="little").reshape(n, PATH_DIM)
     words = [b.text.lower().encode().split(b" ") for b in page]  # a block's one white space
     size = np.array([len(w) for w in words])
     place = np.fromiter(map(zlib.crc32, chain.from_iterable(words)), np.int64, int(size.sum())) % WORD_DIM
@@ -340,46 +347,49 @@ def layouts(good: list[str], bad: list[str], n: int, seed: int = 9) -> list[tupl
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     out = []
 
-    def other(place: str, root: list[str]) -> list[Block]:
+    # a block's elements, text and share of links
+    def other(place: str, root: list[str]) -> list[tuple]:
         path = root + place.split("|")
         # notices, comments and sidebars read like prose, menus and footers do not; where no
         # name tells them from the article, prose is the article's
         prose = not plain and rng.random() < (0.15 if path[-1] == "li" else 0.5)
-        return [Block(tuple(path), pick(good if prose and good else bad), float(path[-1] == "li" and rng.random() < 0.8)) for _ in range(int(rng.integers(1, 5)))]
+        return [(tuple(path), pick(good if prose and good else bad), float(path[-1] == "li" and rng.random() < 0.8)) for _ in range(int(rng.integers(1, 5)))]
 
     for _ in range(n):
         plain = rng.random() < 0.5
         around = PLAIN_AROUND if plain else AROUND
-        page: list[Block] = []
+        page: list[tuple] = []
         y: list[int] = []
 
-        def add(found: list[Block], label: int) -> None:
+        def add(found: list[tuple], label: int) -> None:
             page.extend(found)
             y.extend([label] * len(found))
 
         if rng.random() < 0.7:
-            add([Block(("html", "head", "title"), pick(good), 0.0)], 0)
+            add([(("html", "head", "title"), pick(good), 0.0)], 0)
         for _ in range(int(rng.integers(0, 4))):
             add(other(pick(AROUND if rng.random() < 0.3 else around), ["html", "body"]), 0)
         root = ["html", "body", *pick(PLAIN if plain else ARTICLES).split("|")]
         if rng.random() < 0.7:
-            add([Block((*root, pick(["h1", "h2"])), pick(good)[:60], 0.0)], 1)
+            add([((*root, pick(["h1", "h2"])), pick(good)[:60], 0.0)], 1)
         for _ in range(int(rng.integers(1, 8))):
-            add([Block((*root, pick(["p", "p", "p", "p|b", "ul|li", "blockquote|p", "h2", "pre", "div"]).replace("|", "/")), pick(good), 0.0)], 1)
+            add([((*root, pick(["p", "p", "p", "p|b", "ul|li", "blockquote|p", "h2", "pre", "div"]).replace("|", "/")), pick(good), 0.0)], 1)
             if rng.random() < 0.12:
                 add(other(pick(WITHIN), root), 0)
         for _ in range(int(rng.integers(0, 4))):
             add(other(pick(AROUND if rng.random() < 0.3 else around), ["html", "body"]), 0)
         # any names will do where names tell nothing
         name = {}
-        for b in page:
-            b.path = tuple(s for step in b.path for s in step.split("/"))
+        made: list[Block] = []
+        for steps, text, linked in page:
+            steps = tuple(s for step in steps for s in step.split("/"))
             if plain:
-                for step in b.path[2:]:
-                    made = "".join(map(chr, rng.integers(97, 123, int(rng.integers(1, 7)))))
-                    name.setdefault(step, f"{step.split()[0]} {made}" if rng.random() < 0.5 else step)
-                b.path = b.path[:2] + tuple(name[step] for step in b.path[2:])
-        out.append((page, np.array(y, float)))
+                for step in steps[2:]:
+                    word = "".join(map(chr, rng.integers(97, 123, int(rng.integers(1, 7)))))
+                    name.setdefault(step, f"{step.split()[0]} {word}" if rng.random() < 0.5 else step)
+                steps = steps[:2] + tuple(name[step] for step in steps[2:])
+            made.append(Block(reduce(Path.under, steps, Path()), text, linked))
+        out.append((made, np.array(y, float)))
     return out
 
 

@@ -26,19 +26,27 @@ def neighbours(conversations: DataFrame) -> DataFrame:
     return pairs.select("pair_id", F.col("x.conv_id").alias("chosen_id"), F.col("y.conv_id").alias("rejected_id"), F.col("x.turns").alias("chosen"), F.col("y.turns").alias("rejected"))
 
 
-def answers_replaced(conversations: DataFrame) -> DataFrame:
-    """Pairs that share turns, one for each conversation with an answer: it is chosen as far
-    as its last answer; rejected is the same with that answer given by the neighbour (2 n
-    by 2 n + 1 and the reverse), or left empty where there is none.
+def branched(turns: DataFrame) -> DataFrame:
+    """Pairs for a table without preferences, one for each conversation of ``turns``
+    (conv_id, turn, role, text): chosen is the conversation itself, all its turns; rejected
+    leaves it behind its first m turns and goes on as its neighbour does (2 n beside 2 n + 1)
+    behind the neighbour's first m.  m is n modulo one more than the turns, so that branches
+    lie at the start, in the middle and at the end; how many turns are alike in fact is for
+    ``formatted`` to find.  Without a neighbour rejected ends at the branch.
+
+    Both conversations of a pair meet in one shuffle of their turns.  Order, nulls and rows
+    without conv_id as in ``conversations_of``; an empty table has no pairs.
     (pair_id, chosen_id, rejected_id: the neighbour's or null, chosen, rejected)"""
-    answers = "filter(transform(turns, (x, i) -> named_struct('i', i, 'role', x.role, 'text', x.text)), x -> x.role = 'assistant')"
-    rows = conversations.select("conv_id", "turns", F.expr(f"try_element_at({answers}, -1)").alias("last"))
-    rows = rows.select("conv_id", F.expr("case when last is not null then slice(turns, 1, last.i + 1) end").alias("turns"), F.expr("last.text").alias("answer"))
-    # a neighbour's answer alone moves, not its turns
-    meet = rows.select(F.expr("conv_id + 1 - 2 * pmod(conv_id, 2)").alias("conv_id"), F.col("conv_id").alias("other"), "answer")
-    pairs = rows.where("turns is not null").drop("answer").join(meet, "conv_id", "left")
-    changed = "concat(slice(turns, 1, size(turns) - 1), transform(slice(turns, -1, 1), x -> named_struct('turn', x.turn, 'role', x.role, 'text', coalesce(answer, ''))))"
-    return pairs.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), F.col("other").alias("rejected_id"), F.col("turns").alias("chosen"), F.expr(changed).alias("rejected"))
+    key = F.col("conv_id").cast("bigint")
+    rows = turns.where("conv_id is not null").select(F.shiftright(key, 1).alias("pair"), F.struct(key.bitwiseAND(F.lit(1)).alias("odd"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("x"))
+    both = rows.groupBy("pair").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    side = lambda k: f"transform(filter(x, t -> t.odd = {k}), t -> named_struct('turn', t.turn, 'role', t.role, 'text', t.text))"
+    both = both.select("pair", F.expr(side(0)).alias("even"), F.expr(side(1)).alias("odd"))
+    each = both.select("pair", F.expr("inline(array(named_struct('k', 0L, 'chosen', even, 'other', odd), named_struct('k', 1L, 'chosen', odd, 'other', even)))")).where("size(chosen) > 0")
+    each = each.withColumn("m", F.expr("cast(pmod(pair, size(chosen) + 1L) as int)"))
+    goes_on = "concat(slice(chosen, 1, m), slice(other, m + 1, size(other)))"
+    own = F.expr("shiftleft(pair, 1) + k")
+    return each.select(own.alias("pair_id"), own.alias("chosen_id"), F.expr("case when size(other) > 0 then shiftleft(pair, 1) + 1 - k end").alias("rejected_id"), "chosen", F.expr(goes_on).alias("rejected"))
 
 
 def formatted(pairs: DataFrame) -> DataFrame:

@@ -72,19 +72,22 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_preferences", """
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
-l AS (SELECT conv_id, max(i) AS k, arg_max(text, i) AS answer FROM o WHERE role = 'assistant' GROUP BY conv_id),
-c AS (SELECT DISTINCT conv_id FROM t),
-p AS (SELECT l.conv_id, k, answer, c.conv_id AS rejected_id FROM l LEFT JOIN c ON c.conv_id = CASE WHEN l.conv_id % 2 = 0 THEN l.conv_id + 1 ELSE l.conv_id - 1 END),
-r AS (SELECT p.*, coalesce(o.answer, '') AS other, CASE WHEN coalesce(o.answer, '') = p.answer THEN p.k ELSE p.k - 1 END AS n_common FROM p LEFT JOIN l o ON o.conv_id = p.rejected_id),
-g AS (SELECT r.conv_id, rejected_id, n_common, i, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s FROM r JOIN o ON o.conv_id = r.conv_id AND o.i <= r.n_common),
-h AS (SELECT conv_id, string_agg(s, '' ORDER BY i) AS prompt FROM g GROUP BY conv_id)
-SELECT r.conv_id AS pair_id, r.conv_id AS chosen_id, rejected_id, n_common, sha256(coalesce(prompt, '')) AS prompt_sha256,
-  sha256(CASE WHEN n_common = k THEN '' ELSE '<|assistant|>' || chr(10) || answer || '<|end|>' || chr(10) END) AS chosen_sha256,
-  sha256(CASE WHEN n_common = k THEN '' ELSE '<|assistant|>' || chr(10) || other || '<|end|>' || chr(10) END) AS rejected_sha256,
-  CASE WHEN n_common = k THEN 0 ELSE length(answer) + 8 END AS chosen_learnt, CASE WHEN n_common = k THEN 0 ELSE length(other) + 8 END AS rejected_learnt
-FROM r LEFT JOIN h ON h.conv_id = r.conv_id""")
+n AS (SELECT conv_id, count(*) AS n, (conv_id - (conv_id % 2 + 2) % 2) // 2 AS pair, CASE WHEN conv_id % 2 = 0 THEN conv_id + 1 ELSE conv_id - 1 END AS other FROM t GROUP BY conv_id),
+c AS (SELECT a.*, (pair % (a.n + 1) + a.n + 1) % (a.n + 1) AS m, b.conv_id AS rejected_id FROM n a LEFT JOIN (SELECT conv_id FROM n) b ON b.conv_id = a.other),
+x AS (SELECT conv_id, i, role, text FROM o),
+y AS (SELECT c.conv_id, i, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND o.i <= c.m UNION ALL SELECT c.conv_id, i, role, text FROM c JOIN o ON o.conv_id = c.other AND o.i > c.m),
+d AS (SELECT conv_id, min(i) AS first FROM x FULL JOIN y USING (conv_id, i) WHERE x.role IS DISTINCT FROM y.role OR x.text IS DISTINCT FROM y.text GROUP BY conv_id),
+k AS (SELECT c.conv_id, rejected_id, coalesce(first - 1, n) AS n_common FROM c LEFT JOIN d ON d.conv_id = c.conv_id),
+s AS (SELECT k.conv_id, 'chosen' AS side, i, i > n_common AS rest, role = 'assistant' AS learnt, length(text) + 8 AS size, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s FROM k JOIN x ON x.conv_id = k.conv_id
+  UNION ALL SELECT k.conv_id, 'rejected', i, i > n_common, role = 'assistant', length(text) + 8, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) FROM k JOIN y ON y.conv_id = k.conv_id),
+g AS (SELECT conv_id, string_agg(s, '' ORDER BY i) FILTER (NOT rest AND side = 'chosen') AS prompt, string_agg(s, '' ORDER BY i) FILTER (rest AND side = 'chosen') AS chosen, string_agg(s, '' ORDER BY i) FILTER (rest AND side = 'rejected') AS rejected,
+  sum(size) FILTER (rest AND learnt AND side = 'chosen') AS chosen_learnt, sum(size) FILTER (rest AND learnt AND side = 'rejected') AS rejected_learnt FROM s GROUP BY conv_id)
+SELECT k.conv_id AS pair_id, k.conv_id AS chosen_id, rejected_id, CAST(n_common AS BIGINT) AS n_common, sha256(coalesce(prompt, '')) AS prompt_sha256, sha256(coalesce(chosen, '')) AS chosen_sha256, sha256(coalesce(rejected, '')) AS rejected_sha256,
+  CAST(coalesce(chosen_learnt, 0) AS BIGINT) AS chosen_learnt, CAST(coalesce(rejected_learnt, 0) AS BIGINT) AS rejected_learnt
+FROM k LEFT JOIN g ON g.conv_id = k.conv_id""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = preferences.formatted(preferences.answers_replaced(preferences.conversations_of(table(spark, sf_dir, "conversations"))))
+    """Each conversation with all its turns beside one that branches off it."""
+    rows = preferences.formatted(preferences.branched(table(spark, sf_dir, "conversations")))
     learnt = lambda c: F.expr(f"cast(aggregate({c}, 0, (a, x) -> a + x.e - x.s) as bigint)")
     digest = lambda c: F.sha2(c, 256)
     return rows.select("pair_id", "chosen_id", "rejected_id", "n_common", digest("prompt").alias("prompt_sha256"), digest("chosen_text").alias("chosen_sha256"), digest("rejected_text").alias("rejected_sha256"), learnt("chosen_mask").alias("chosen_learnt"), learnt("rejected_mask").alias("rejected_learnt"))

@@ -422,13 +422,16 @@ def test_licences_subsumed_and_named(spark):
 
 
 def test_preferences_share_turns(spark):
-    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "why"), (0, 3, "assistant", "so"), (0, 4, "user", "bye"), (1, 0, "assistant", "longer"), (4, 0, "assistant", "x"), (5, 0, "assistant", "x"), (6, 0, "assistant", None), (8, 0, "user", "none")]
-    rows = preferences.formatted(preferences.answers_replaced(preferences.conversations_of(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))).collect()
+    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "bye"), (1, 0, "assistant", "longer"), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (2, 2, "user", "r"), (3, 0, "user", "z"), (3, 1, "assistant", "b"), (3, 2, "user", "r"), (3, 3, "assistant", "c"), (8, 0, "user", "none")]
+    rows = preferences.formatted(preferences.branched(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()
     got = {r["pair_id"]: r for r in rows}
-    assert sorted(got) == [0, 1, 4, 5, 6] and [got[i]["rejected_id"] for i in (0, 1, 4, 6)] == [1, 0, 5, None]
-    assert got[0]["n_common"] == 3 and got[0]["prompt"].count("<|end|>") == 3
-    assert (got[0]["chosen_text"], got[0]["rejected_text"]) == ("<|assistant|>\nso<|end|>\n", "<|assistant|>\nlonger<|end|>\n")
-    assert got[4]["n_common"] == 1 and got[4]["chosen_text"] == ""
+    assert sorted(got) == [0, 1, 2, 3, 8] and [got[i]["rejected_id"] for i in (0, 1, 2, 3, 8)] == [1, 0, 3, 2, None]
+    # all turns are kept, also those behind the last answer
+    assert (got[0]["n_common"], got[0]["prompt"]) == (0, "") and got[0]["chosen_text"].endswith("bye<|end|>\n") and got[0]["rejected_text"] == "<|assistant|>\nlonger<|end|>\n"
+    # a branch in the middle
+    assert got[2]["n_common"] == 1 and got[2]["prompt"] == "<|user|>\nq<|end|>\n" and got[2]["rejected_text"].startswith("<|assistant|>\nb<|end|>\n<|user|>\nr")
+    # without a neighbour the rejected side ends at the branch, without an answer nothing is learnt
+    assert got[8]["n_common"] == 0 and got[8]["rejected_text"] == "" and got[8]["chosen_mask"] == []
 
 
 def test_stages_keep_columns_and_clean_rows(spark):
