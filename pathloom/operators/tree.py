@@ -48,15 +48,19 @@ def rollup_size(entries: DataFrame) -> DataFrame:
 def folder_table(files: DataFrame) -> DataFrame:
     """All folders, given or implied, with recursive size and direct counts: root, path,
     size, mtime, num_files, num_folders.  One aggregation over files and their ancestors
-    gives folders, sizes and files; another over the folders counts those below each."""
+    gives folders, sizes and files; in another, over the folders, each adds one to the
+    folder above it.  ``files`` is read once, and nothing is joined."""
     above = F.when(F.col("is_folder"), F.array("path")).otherwise(P.ancestors("path", "root"))
     up = files.select("root", P.parent_of("path", "root").alias("parent"), "is_folder", "size", "mtime", F.explode(above).alias("folder"))
     own = F.when(~F.col("is_folder"), F.col("size")).otherwise(0)
     direct = ~F.col("is_folder") & (F.col("folder") == F.col("parent"))
     found = up.groupBy("root", F.col("folder").alias("path")).agg(F.sum(own).alias("size"), F.count_if(direct).alias("num_files"), F.max(F.when(F.col("is_folder"), F.col("mtime"))).alias("mtime"))
-    inner = found.where("path <> root").groupBy("root", P.parent_of("path", "root").alias("path")).agg(F.count("*").alias("num_folders"))
-    out = found.join(inner, ["root", "path"], "left")
-    return out.select("root", "path", "size", F.coalesce("mtime", F.expr(EPOCH)).alias("mtime"), "num_files", F.coalesce("num_folders", F.lit(0)).alias("num_folders"))
+    itself = F.struct(F.col("path").alias("at"), "size", "mtime", "num_files", F.lit(0).cast("bigint").alias("below"))
+    for_parent = F.struct(P.parent_of("path", "root").alias("at"), *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("size", "mtime", "num_files")), F.lit(1).cast("bigint").alias("below"))
+    said = found.select("root", F.explode(F.when(F.col("path") != F.col("root"), F.array(itself, for_parent)).otherwise(F.array(itself))).alias("x")).select("root", "x.*")
+    out = said.groupBy("root", F.col("at").alias("path")).agg(F.sum("size").alias("size"), F.max("mtime").alias("mtime"), F.sum("num_files").alias("num_files"), F.sum("below").alias("num_folders"))
+    # a folder that only another one names has no row
+    return out.where("num_files is not null").select("root", "path", "size", F.coalesce("mtime", F.expr(EPOCH)).alias("mtime"), "num_files", "num_folders")
 
 
 def catalog(files: DataFrame) -> DataFrame:

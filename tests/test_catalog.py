@@ -191,12 +191,43 @@ def test_sql_functions(spark):
         assert one(f"size_interval('{text}')") == spark.range(1).select(literals.size_interval(F.lit(text))).first()[0]
 
 
+def test_folders_are_plain(spark):
+    """The folder table against loops: given folders, repeated ones, one whose own folder
+    has no row, nulls, roots without anything else, and no rows at all."""
+    rnd = random.Random(11)
+    rows = [(r, "/" + "/".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4))) + f"/f{i}", False, rnd.choice([None, 0, 5, 2**40])) for i in range(120) for r in [rnd.choice(["/", "/a"])]]
+    rows = [x for x in rows if x[0] == "/" or x[1].startswith("/a/")]
+    rows += [("/", "/lost/empty", True, 3), ("/", "/lost/empty", True, 4), ("/", "/a", True, 1), ("/only", "/only", True, 0)]
+    df = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "root string, path string, is_folder boolean, size bigint, s long").withColumn("mtime", F.timestamp_seconds("s").cast("timestamp_ntz")).drop("s")
+    up = lambda p: p.rsplit("/", 1)[0] or "/"
+    want = {}
+    for root, path, is_folder, size in rows:
+        at = path
+        while not is_folder and at != root:
+            f = want.setdefault((root, up(at)), [None, 0])
+            if size is not None:
+                f[0] = (f[0] or 0) + size
+            f[1] += at == path
+            at = up(at)
+        if is_folder:
+            f = want.setdefault((root, path), [None, 0])
+            f[0] = f[0] or 0
+    below = {k: sum(r == k[0] and p != r and up(p) == k[1] for r, p in want) for k in want}
+    got = {(r["root"], r["path"]): r for r in T.folder_table(df).collect()}
+    assert {k: (r["size"], r["num_files"], r["num_folders"]) for k, r in got.items()} == {k: (*v, below[k]) for k, v in want.items()}
+    assert ("/", "/lost") not in got and got["/", "/lost/empty"]["mtime"] > got["/", "/b"]["mtime"]
+    assert T.folder_table(df.where("false")).count() == 0
+
+
 def test_scans_and_pushdown(spark):
-    """A search over the catalog reads each table twice at most, and a filter on a stored
-    catalog reaches the Parquet scan."""
+    """A search over the catalog reads each of its four tables twice at most, folders alone
+    once and without a join of their own; a filter on a stored catalog reaches the Parquet scan."""
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    rows = plans.orders_catalog(spark, "/root/testdata/sf0.001").where("size > 1000 and is_folder")
-    assert plan(rows).count("FileScan parquet") <= 12
+    rows = plans.orders_catalog(spark, "/root/testdata/sf0.001").where("size > 1000")
+    assert plan(rows).count("FileScan parquet") == 8 and plan(rows).count("Exchange hash") == 2
+    assert plan(rows.where("is_folder")).count("FileScan parquet") == 4 and plan(rows.where("not is_folder")).count("Exchange hash") == 0
+    one = T.folder_table(snapshot_of(spark))
+    assert plan(one).count("FileScan parquet") == 1 and "Join" not in plan(one)
     stored = snapshot_of(spark).where((F.col("size") > 1000) & F.col("name").startswith("a")).select("path")
     text = plan(stored)
     assert "GreaterThan(size,1000)" in text and "StringStartsWith(name,a)" in text and "mtime" not in text.split("ReadSchema")[1]
