@@ -14,7 +14,7 @@ from pathloom.functions.order import natural_key
 from pathloom.operators import changes as C
 from pathloom.operators import rules as B
 from pathloom.operators import tree as T
-from pathloom.operators.ranges import range_join
+from pathloom.operators.ranges import range_join, range_totals
 from pathloom.plans import queries as plans
 from pathloom.sources import inventory, snapshot
 from pathloom.sources.scratch import shared_folder
@@ -175,6 +175,31 @@ def test_range_join_of_any_kind(spark):
         range_join(spark.createDataFrame([("a",)], "v string"), "v", spark.createDataFrame([("a", "b")], "lo string, hi string"), few=0)
 
 
+def test_range_totals_without_pairs(spark):
+    """The same as counting the pairs, but no table grows with them."""
+    rnd = random.Random(8)
+    values = [(rnd.choice([None, -0.0, 0.0, float("nan"), float("inf"), rnd.randint(-30, 30) / 4]), rnd.choice([None, 3, -(2**62)])) for _ in range(300)]
+    ends = lambda: rnd.choice([None, -0.0, 0.0, float("nan"), -float("inf"), rnd.randint(-40, 40) / 4])
+    ranges = [(i % 50, ends(), ends()) for i in range(120)]
+    rows, table = spark.createDataFrame(values, "v double, b bigint"), spark.createDataFrame(ranges, "k int, lo double, hi double")
+    by = lambda df, n, b: sorted((r["k"], r["n"], r["b"]) for r in df.groupBy("k").agg(n.alias("n"), F.sum(F.coalesce(b, F.lit(0)).cast("decimal(38,0)")).alias("b")).collect())
+    want = by(range_join(rows, "v", table), F.count("*"), F.col("b"))
+    assert by(range_totals(rows.limit(300), "v", table).withColumn("b", F.lit(0)), F.sum("n"), F.col("b")) == [(k, n, 0) for k, n, _ in want] and want
+    small = rows.withColumn("b", F.col("b") % 1000)
+    assert by(range_totals(small, "v", table, ["b"]), F.sum("n"), F.col("b")) == by(range_join(small, "v", table), F.count("*"), F.col("b"))
+    days = spark.createDataFrame([(datetime.datetime(2024, 1, d, 12),) for d in range(1, 9)], "v timestamp_ntz")
+    got = range_totals(days, "v", spark.createDataFrame([(1, datetime.date(2024, 1, 2), datetime.date(2024, 1, 5)), (2, datetime.date(2025, 1, 1), datetime.date(2025, 1, 2))], "k int, lo date, hi date"))
+    assert [(r["k"], r["n"]) for r in got.collect()] == [(1, 3)]
+    # 4000 values in each of 4000 intervals: 16 million pairs, which no table of the job holds
+    wide = range_totals(spark.range(4000), "id", spark.range(4000).select(F.col("id").alias("k"), (-F.col("id")).alias("lo"), (F.col("id") + 4000).alias("hi")), ["id"])
+    assert [tuple(r) for r in wide.groupBy("n", "id").count().collect()] == [(4000, 7998000, 4000)]
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert ">=" not in plan and "__level" not in plan
+    # exploded cells look small to Spark, and were sent whole through the driver
+    many = range_join(days, "v", spark.range(50).select("id", F.expr("timestamp_ntz '2024-01-01'").alias("lo"), F.expr("timestamp_ntz '2024-01-03'").alias("hi")), few=0)
+    assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sql_functions(spark):
     sql.register(spark)
     one = lambda q: spark.sql(f"SELECT {q}").first()[0]
