@@ -3,8 +3,8 @@
 Entries are dealt to shards by a hash of their path, so that no folder is a hot key.  Each
 shard keeps the state of its paths, the removals of folders and roots (which go to all
 shards), and, for each folder, the next components of what it holds below: so a removal
-reaches the entries below that folder and no others.  Each batch reads and writes the state
-of what it touches; nothing is folded again.
+reaches the entries below that folder and no others.  Keys are held in cells: each batch reads
+and writes the cells of what it touches, each of them once; nothing is folded again.
 
 What comes out is a log: (root, path, was, now) of every entry that appears, goes or changes.
 Standing searches, rollups and any copy of the snapshot follow from it.
@@ -12,6 +12,8 @@ Standing searches, rollups and any copy of the snapshot follow from it.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,13 +28,17 @@ from ..sources import versions
 #: Shards of each root; each is handled by one task at a time.
 SHARDS = 64
 
-_ENTRY = "dseq bigint, action string, vseq bigint, is_folder boolean, size bigint, mtime bigint, shown boolean, ts bigint"
+#: Cells of each shard's tables.  A call to the store costs far more than an entry, so entries
+#: come and go in cells: with a million entries in all, some twenty in each.
+CELLS = 1024
+
+# an entry: the deciding seq and action; seq, is_folder, size and mtime of its values; shown; time
 _OUT = "root string, path string, was_there boolean, was_folder boolean, was_size bigint, was_mtime bigint, now_there boolean, now_folder boolean, now_size bigint, now_mtime bigint"
 _NOTHING = (-1, "", -1, None, None, None, False, -1)
 
 
 def _number(x) -> int | None:
-    return None if x is None or pd.isna(x) else int(x)
+    return None if x is None or x != x else int(x)
 
 
 def _newer(a: tuple, b: tuple) -> bool:
@@ -50,6 +56,50 @@ def folders_above(path: str, root: str) -> list[str]:
     return out
 
 
+class Cells:
+    """A table by text in keyed state for the length of one call.  All keys of a hash are one
+    value of the store, read once when the first of them is asked for and written once."""
+
+    def __init__(self, state):
+        self.state = state
+        self.held: dict[int, dict] = {}
+        self.changed: set[int] = set()
+        self.empty = not state.exists()
+
+    def cell(self, n: int) -> dict:
+        if n not in self.held:
+            row = None if self.empty else self.state.getValue((n,))
+            self.held[n] = pickle.loads(row[0]) if row else {}
+        return self.held[n]
+
+    def get(self, key: str, default=None):
+        return self.cell(zlib.crc32(key.encode("utf-8", "surrogatepass")) % CELLS).get(key, default)
+
+    def put(self, key: str, value) -> None:
+        n = zlib.crc32(key.encode("utf-8", "surrogatepass")) % CELLS
+        self.cell(n)[key] = value
+        self.changed.add(n)
+
+    def drop(self, key: str) -> None:
+        n = zlib.crc32(key.encode("utf-8", "surrogatepass")) % CELLS
+        if self.cell(n).pop(key, None) is not None:
+            self.changed.add(n)
+
+    def items(self) -> list[tuple]:
+        if not self.empty:
+            for n in [row[0] for row in self.state.keys()]:
+                self.cell(n)
+        return [x for cell in self.held.values() for x in cell.items()]
+
+    def write(self) -> None:
+        for n in self.changed:
+            if self.held[n]:
+                self.state.updateValue((n,), (pickle.dumps(self.held[n], 4),))
+            elif not self.empty and self.state.containsKey((n,)):
+                self.state.removeKey((n,))
+        self.changed.clear()
+
+
 class LiveCatalog(StatefulProcessor):
     """One shard.  The state hangs on seq alone, so the order of events inside the watermark,
     and events that come twice, change nothing."""
@@ -59,40 +109,48 @@ class LiveCatalog(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entries = handle.getMapState("entries", "path string", _ENTRY)
-        self.below = handle.getMapState("below", "folder string", "names array<string>")
-        self.gone = handle.getMapState("gone", "folder string", "seq bigint, ts bigint")
-        #: What no later event needs, once the watermark is past it: path -> time.
-        self.dead = handle.getMapState("dead", "path string", "ts bigint")
+        # entries; names below each folder; seq and time of removals; what no later event needs,
+        # once the watermark is past its time
+        self.states = [handle.getMapState(x, "cell int", "held binary") for x in ("entries", "below", "gone", "dead")]
         self.timer = handle.getValueState("timer", "at bigint")
 
+    def open(self) -> None:
+        """The tables of the key at hand."""
+        self.entries, self.below, self.gone, self.dead = map(Cells, self.states)
+
+    def write(self) -> None:
+        for table in (self.entries, self.below, self.gone, self.dead):
+            table.write()
+
     # --- the folders' index
 
     def link(self, path: str, root: str) -> None:
         for folder in folders_above(path, root):
             name = path.rsplit("/", 1)[1]
-            held = self.below.getValue((folder,)) if self.below.containsKey((folder,)) else None
-            names = list(held[0]) if held else []
-            if name in names:
+            names = self.below.get(folder)
+            if names is None:
+                self.below.put(folder, {name})
+            elif name in names:
                 return
-            self.below.updateValue((folder,), (names + [name],))
-            if names:
+            else:
+                names.add(name)
+                self.below.put(folder, names)
                 return
             path = folder
 
     def unlink(self, path: str, root: str) -> None:
-        if self.below.containsKey((path,)):  # a folder with entries below stays on their way
+        if self.below.get(path):  # a folder with entries below stays on their way
             return
         for folder in folders_above(path, root):
             name = path.rsplit("/", 1)[1]
-            held = self.below.getValue((folder,)) if self.below.containsKey((folder,)) else None
-            names = [n for n in held[0] if n != name] if held else []
-            if names:
-                self.below.updateValue((folder,), (names,))
-                return
-            if held:
-                self.below.removeKey((folder,))
-            if self.entries.containsKey((folder,)):
+            names = self.below.get(folder)
+            if names is not None:
+                names.discard(name)
+                if names:
+                    self.below.put(folder, names)
+                    return
+                self.below.drop(folder)
+            if self.entries.get(folder) is not None:
                 return
             path = folder
 
@@ -101,23 +159,23 @@ class LiveCatalog(StatefulProcessor):
         todo = [folder]
         while todo:
             at = todo.pop()
-            if self.entries.containsKey((at,)):
+            if self.entries.get(at) is not None:
                 yield at
-            if self.below.containsKey((at,)):
-                todo += [("" if at == "/" else at) + "/" + n for n in self.below.getValue((at,))[0]]
+            todo += [("" if at == "/" else at) + "/" + n for n in self.below.get(at, ())]
 
     # --- events
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         root = key[0]
+        self.open()
         held: dict[str, list] = {}
         old: dict[str, tuple] = {}
         removals: dict[str, int] = {}
 
         def entry(path: str) -> list:
             if path not in held:
-                known = self.entries.getValue((path,)) if self.entries.containsKey((path,)) else None
-                old[path] = tuple(known) if known else _NOTHING
+                known = self.entries.get(path)
+                old[path] = known or _NOTHING
                 held[path] = list(old[path])
                 if not known:
                     self.link(path, root)
@@ -129,9 +187,8 @@ class LiveCatalog(StatefulProcessor):
                 ts = _number(e.ts) or 0
                 last = max(last, ts)
                 if e.removes and e.seq > removals.get(e.path, -1):
-                    known = self.gone.getValue((e.path,)) if self.gone.containsKey((e.path,)) else (-1, -1)
-                    if e.seq > known[0]:
-                        self.gone.updateValue((e.path,), (int(e.seq), ts))
+                    if e.seq > self.gone.get(e.path, (-1, -1))[0]:
+                        self.gone.put(e.path, (int(e.seq), ts))
                         removals[e.path] = int(e.seq)
                 if not e.own:
                     continue
@@ -144,14 +201,14 @@ class LiveCatalog(StatefulProcessor):
                     if _newer(v, tuple(x[2:6])):
                         x[2:6] = v
         for folder in removals:
-            for path in self.reached(folder):
+            for path in list(self.reached(folder)):
                 entry(path)
 
         ends: dict[str, tuple] = {}
 
         def end(folder: str) -> tuple:
             if folder not in ends:
-                ends[folder] = tuple(self.gone.getValue((folder,))) if self.gone.containsKey((folder,)) else (-2, -1)
+                ends[folder] = self.gone.get(folder, (-2, -1))
             return ends[folder]
 
         out = []
@@ -164,19 +221,22 @@ class LiveCatalog(StatefulProcessor):
             x[6] = now
             if was != now or now and values != tuple(x[3:6]):
                 out.append((root, path, was, *(values if was else (None,) * 3), now, *(x[3:6] if now else (None,) * 3)))
-            self.entries.updateValue((path,), tuple(x))
+            self.entries.put(path, tuple(x))
+            if self.keep:
+                continue
             if now:
-                if before[6] is False and self.dead.containsKey((path,)):
-                    self.dead.removeKey((path,))
+                if before[6] is False:
+                    self.dead.drop(path)
             else:
                 at = max(x[7], over[1])
-                self.dead.updateValue((path,), (at,))
+                self.dead.put(path, at)
                 earliest = at if earliest is None else min(earliest, at)
         for folder in removals:
             at = end(folder)[1]
             earliest = at if earliest is None else min(earliest, at)
         if earliest is not None and not self.keep:
             self.wake(earliest, timerValues)
+        self.write()
         if out:
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
             whole = {c: "Int64" for c in ("was_size", "was_mtime", "now_size", "now_mtime")} | {c: "boolean" for c in ("was_folder", "now_folder")}
@@ -199,19 +259,21 @@ class LiveCatalog(StatefulProcessor):
         forgotten."""
         root, mark = key[0], timerValues.getCurrentWatermarkInMs()
         self.timer.clear()
+        self.open()
         later = []
-        for (path,), (ts,) in list(self.dead.iterator()):
+        for path, ts in self.dead.items():
             if ts < mark:
-                self.dead.removeKey((path,))
-                self.entries.removeKey((path,))
+                self.dead.drop(path)
+                self.entries.drop(path)
                 self.unlink(path, root)
             else:
                 later.append(ts)
-        for (folder,), (_, ts) in list(self.gone.iterator()):
+        for folder, (_, ts) in self.gone.items():
             if ts < mark:
-                self.gone.removeKey((folder,))
+                self.gone.drop(folder)
             else:
                 later.append(ts)
+        self.write()
         if later:
             self.wake(min(later), timerValues)
         return iter([])

@@ -181,3 +181,16 @@ def test_same_device(spark):
     rows = [("/r", "/r", True, "1"), ("/r", "/r/a", True, "1"), ("/r", "/r/m", True, "2"), ("/r", "/r/m/x", False, "2"), ("/r", "/r/m/y", False, "1"), ("/r", "/r/f", False, "2"), ("/r", "/r/n", False, None), ("/q", "/q", True, None), ("/q", "/q/x", False, "1"), ("/q", "/q/y", False, None), ("/s", "/s/x", False, "3")]
     df = spark.createDataFrame(rows, "root string, path string, is_folder boolean, device string")
     assert sorted(r["path"] for r in B.same_device(df).collect()) == ["/q", "/q/y", "/r", "/r/a", "/s/x"]
+
+
+def test_state_is_read_and_written_in_cells(spark, tmp_path):
+    """A batch of many paths makes a bounded number of calls to a shard's store."""
+    rows = [(i, i, "/r", f"/r/d{i % 5}/x{i}", "CREATE", False, i) for i in range(1, 4001)]
+    gone = [(5000, 5000, "/r", "/r/d3", "DELETE", True, 0), (5001, 5001, "/r", "/r/d4/x4", "DELETE", False, 0)]
+    log = str(tmp_path / "log")
+    q = live.write_live(played(spark, tmp_path / "in", [rows, gone]), str(tmp_path / "ck"), log, late=None, shards=1, trigger={"availableNow": True})
+    assert q.awaitTermination(300) and not q.exception()
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert 0 < max(sizes) <= live.CELLS + 10, sizes
+    got = {r["path"]: r["size"] for r in live.snapshot_of(live.read_log(spark, log)).collect()}
+    assert got == {p: s for _, _, _, p, _, _, s in rows if s % 5 != 3 and s != 4}
