@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from .store import stored
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the trees learn from at most, about; dealt by a hash of doc_id.
-TRAIN_DOCS = 20_000
 #: Precision that a kind's threshold must reach on the part held out.
 PRECISION = 0.95
 
@@ -207,11 +205,11 @@ def _tree(node) -> object:
     return node.split().featureIndex(), node.split().threshold(), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Redactor:
-    """Learns from at most about ``train_docs`` documents: spans that the base checks
-    accept, and disguises of them, against spans they refuse and spoilt ones."""
-    share = min(1.0, train_docs / max(1, docs.count()))
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).where(F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Redactor:
+    """Learns from all documents: spans that the base checks accept, and disguises of them,
+    against spans they refuse and spoilt ones.  Examples alike in all features are one with
+    a weight; a quarter of the documents calibrates the thresholds and teaches nothing else."""
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     rows = _candidates(rows, "__text")
     ten = "right(regexp_replace(x.v, '[^0-9]', ''), 10)"
     hexes = [f"lower(hex(pmod(xxhash64(x.v, {i}), 65536)))" for i in range(8)]
@@ -230,18 +228,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
         for v, label in shown[k]:
             sets.append(f"transform(transform(__{k}, x -> {_features(str(i), 'x').replace('x.v', f'({v})')}), c -> named_struct('label', {label}, 'c', c))")
         sets.append(f"transform(__no_{k}, x -> named_struct('label', 0, 'c', {_features(str(i), 'x')}))")
-    shows = rows.select("__id", F.explode(F.expr(f"concat({', '.join(sets)})")).alias("r")).select(F.pmod(F.xxhash64("__id", F.lit(9)), F.lit(4)).alias("fold"), F.col("r.label").cast("double").alias("label"), "r.c.*").drop("s", "e")
-    shows = stored(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(shows).select("fold", "label", "kind", "features"), "shows")
+    shows = rows.select("__id", F.explode(F.expr(f"concat({', '.join(sets)})")).alias("r")).select(F.pmod(F.xxhash64("__id", F.lit(9)), F.lit(4)).alias("fold"), F.col("r.label").cast("double").alias("label"), "r.c.*")
+    shows = shows.groupBy("fold", "label", *FEATURES).agg(F.count("*").cast("double").alias("weight"))
+    shows = stored(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(shows).select("fold", "label", "kind", "features", "weight"), "shows")
     redactor = Redactor()
     for i, k in enumerate(KINDS):
         learn = shows.where(f"kind = {i} and fold <> 0").coalesce(4)
         if len(learn.select("label").distinct().take(2)) < 2:
             continue
-        model = GBTClassifier(maxIter=8, maxDepth=4, maxBins=32, seed=3).fit(learn)
+        model = GBTClassifier(maxIter=8, maxDepth=4, maxBins=32, seed=3, weightCol="weight").fit(learn)
         redactor.trees[k] = [(float(w), _tree(t.rootNode())) for w, t in zip(model.treeWeights, list(model._java_obj.trees()), strict=True)]
-        held = model.transform(shows.where(f"kind = {i} and fold = 0")).select("label", F.round(_probability(), 2).alias("p"))
+        held = model.transform(shows.where(f"kind = {i} and fold = 0")).select("label", "weight", F.round(_probability(), 2).alias("p"))
         good = n = 0
-        ranked = [(r["p"], r["good"], r["n"]) for r in held.groupBy("p").agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy(F.desc("p")).collect()]
+        ranked = [(r["p"], r["good"], r["n"]) for r in held.groupBy("p").agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("n")).orderBy(F.desc("p")).collect()]
         for j, (p, g, m) in enumerate(ranked):
             good, n = good + g, n + m
             if good / n >= PRECISION and p >= 0.5:  # half way to the next score that was seen

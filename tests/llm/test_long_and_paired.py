@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pathloom.llm import pii, toxicity
@@ -94,3 +95,21 @@ def test_blocks_and_lookups(spark):
     for s in places:
         want = text[s : s + 80]
         assert row.select(F.expr(pii._seen(str(s + 1), "80"))).first()[0] == want
+
+
+def test_pii_learns_from_all_documents(spark, monkeypatch):
+    """Each of more than twenty thousand documents counts, by the weight of examples that are alike."""
+    held = {}
+
+    class Seen(Exception):
+        pass
+
+    def seen(df, name):
+        held[name] = df
+        raise Seen
+
+    monkeypatch.setattr(pii, "stored", seen)
+    with pytest.raises(Seen):
+        pii.fit(spark.range(25_000).select(F.col("id").alias("doc_id"), F.lit("mail a@b.cd").alias("text")))
+    rows = held["shows"].where("label = 1").groupBy("fold").agg(F.count("*").alias("k"), F.sum("weight").alias("n")).collect()
+    assert sum(r["n"] for r in rows) % 25_000 == 0 and len(rows) == 4 and max(r["k"] for r in rows) < 20
