@@ -1,9 +1,9 @@
 """N-gram Jaccard join by grouped prefixes.
 
 1. Each text becomes its set of distinct word shingles (64-bit hashes, numpy per chunk).
-2. Shingles have one global order: frequent ones last, else by hash.  Two sets of sizes
-   n, m with Jaccard >= t share one of the first n - ceil(t n) + 1 shingles of each: the
-   prefix.
+2. Shingles have one global order: by the level of the number of texts that hold them,
+   counted over all texts, rare ones first, else by hash.  Two sets of sizes n, m with
+   Jaccard >= t share one of the first n - ceil(t n) + 1 shingles of each: the prefix.
 3. Equal sets collapse to one unit, units with the same size and prefix to one group, and
    only groups are posted under their prefix shingles.
 4. In each posting list all groups are tried against its PIVOTS least ones; each unit's
@@ -32,12 +32,15 @@ from .components import components
 from .store import removed, sized, stored
 
 SHINGLE_WORDS = 5
-#: A shingle counts as frequent from this share of the documents on ...
-FREQUENT_SHARE = 1 / 2000
-#: ... and from this many of them; a run of sets reports those it holds as often.
-FREQUENT_LEAST = 4
-#: Shingles of such a run.
+#: A shingle in fewer texts than this is rare (level 0), whatever the number of texts; each
+#: level above takes four times as many as the one before, up to level 7.
+RARE_TEXTS = 8
+#: Shingles that a task counts before it reports them.
 REPORTED = 3_000_000
+#: Texts whose shingles, about, are added up in one group.
+GROUP_TEXTS = 1000
+#: Shingles above level 0 that every task holds, at most: with more, the lowest levels join level 0.
+LEVELLED = 4_000_000
 #: Groups of a posting list that all its groups are tried against.
 PIVOTS = 8
 #: Shingles of a class that one task holds, about, and of the units that meet them there.
@@ -46,18 +49,39 @@ BLOCK_SHINGLES = 200_000
 #: Sets of shingles that a task remembers, to describe copies once only.
 REMEMBERED = 1_000_000
 
-_TOP = np.uint64(1 << 63)
+#: Bits of a shingle's hash; its level stands above them.
+_BITS = 61
 _SIGNED = "__id bigint, __key bigint, n_shingles bigint, uid bigint, prefix array<bigint>, bitmap binary"
 
 
-def shingle_sets(texts, words: int, frequent: np.ndarray | None = None) -> Iterator[np.ndarray]:
+class Levels:
+    """Levels of the shingles in many texts, by the upper bits of their hashes."""
+
+    def __init__(self, keys: np.ndarray, level: np.ndarray, shift: int):
+        self.keys, self.level, self.shift = keys, level, np.uint64(shift)
+        self.near = np.zeros(1 << 22, bool)
+        self.near[self._bucket(keys << self.shift)] = True
+
+    @staticmethod
+    def _bucket(h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(_BITS - 22)).astype(np.int64)
+
+    def mark(self, h: np.ndarray) -> None:
+        """Puts each hash's level above its bits."""
+        if not len(self.keys):
+            return
+        near = np.flatnonzero(self.near[self._bucket(h)])
+        key = h[near] >> self.shift
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        h[near[hit]] |= self.level[at[hit]].astype(np.uint64) << np.uint64(_BITS)
+
+
+def shingle_sets(texts, words: int, levels: Levels | None = None) -> Iterator[np.ndarray]:
     """One sorted array of distinct shingle hashes for each text: fewer words than a
-    shingle make one shingle, none make an empty set.  The top bit marks frequent ones, so
-    they sort last."""
-    seen = None
-    if frequent is not None and len(frequent):
-        seen = np.zeros(1 << 22, bool)
-        seen[frequent >> np.uint64(41)] = True
+    shingle make one shingle, none make an empty set.  The top bits hold the level, so
+    the rarest sort first."""
+    spare = np.uint64(64 - _BITS)
     factors = mix(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
     for _, held in chunks(texts):
         w = Words(held, NONSPACE)
@@ -65,19 +89,17 @@ def shingle_sets(texts, words: int, frequent: np.ndarray | None = None) -> Itera
         rolled = np.zeros(max(n - words + 1, 0), np.uint64)
         for k in range(words if len(rolled) else 0):
             rolled += w.hash[k : n - words + 1 + k] * factors[k]
-        rolled = mix(rolled) & ~_TOP
-        if seen is not None:
-            near = np.flatnonzero(seen[rolled >> np.uint64(41)])
-            at = np.searchsorted(frequent, rolled[near])
-            rolled[near[frequent[np.minimum(at, len(frequent) - 1)] == rolled[near]]] |= _TOP
+        rolled = mix(rolled) >> spare
+        if levels is not None:
+            levels.mark(rolled)
         for first, count in zip(w.first, w.counts, strict=False):
             if count >= words:
                 yield np.unique(rolled[first : first + count - words + 1])
             elif count:
                 few = w.hash[first : first + count] * factors[:count]
-                one = mix(np.array([few.sum(dtype=np.uint64) + np.uint64(count)])) & ~_TOP
-                if seen is not None and seen[one[0] >> np.uint64(41)] and one[0] in frequent:
-                    one |= _TOP
+                one = mix(np.array([few.sum(dtype=np.uint64) + np.uint64(count)])) >> spare
+                if levels is not None:
+                    levels.mark(one)
                 yield one
             else:
                 yield np.zeros(0, np.uint64)
@@ -104,43 +126,67 @@ def bitmap_distance(a: bytes, b: bytes) -> int:
     return int(np.count_nonzero(x != y))
 
 
-def frequent_shingles(texts: DataFrame, words: int, n_texts: int) -> np.ndarray:
-    """Hashes of the shingles that stand in at least FREQUENT_SHARE of the texts, counted
-    over runs of sets that hold them FREQUENT_LEAST times.  Only the *order* of shingles hangs
-    on this set, never a result.  Its size is bounded: it has at most (mean set size) /
-    FREQUENT_SHARE members."""
+def shingle_levels(texts: DataFrame, words: int, n_texts: int) -> Levels:
+    """The level of each shingle that stands in RARE_TEXTS texts or more, counted over all
+    texts.  Only the *order* of shingles hangs on it, never a result.
+
+    Shingles are named by the upper bits of their hashes: a range of hashes, whose number
+    grows with the texts, and 24 bits in it, three bytes for each in the shuffle.
+    """
+    ranges = min(max((n_texts // GROUP_TEXTS).bit_length(), 4), 20)
+    shift = _BITS - ranges - 24
 
     def counted(held: np.ndarray) -> pa.RecordBatch:
-        held.sort()
-        # a hash stands FREQUENT_LEAST times where it equals the one so many places on
-        first = held[: max(len(held) - FREQUENT_LEAST + 1, 0)]
-        found = np.unique(first[first == held[len(held) - len(first) :]])
-        count = np.searchsorted(held, found, "right") - np.searchsorted(held, found)
-        return pa.RecordBatch.from_pydict({"h": found.view(np.int64), "c": count.astype(np.int64)})
+        keys, count = np.unique(held >> np.uint64(shift), return_counts=True)
+        low = np.ascontiguousarray(keys.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+        count = np.minimum(count, 65535).astype("<u2")
+        first = np.searchsorted(keys, np.arange((1 << ranges) + 1, dtype=np.uint64) << np.uint64(24))
+        there = np.flatnonzero(np.diff(first))
+        parts = [(low[first[r] : first[r + 1]].tobytes(), count[first[r] : first[r + 1]].tobytes()) for r in there]
+        return pa.RecordBatch.from_pydict({"range": there.astype(np.int32), "low": pa.array([x for x, _ in parts], pa.binary()), "count": pa.array([x for _, x in parts], pa.binary())})
 
     def report(batches):
-        held, n = np.empty(REPORTED, np.uint64), 0
+        held, n = [], 0
         for batch in batches:
             for s in shingle_sets(arrow_texts(batch.column("__text")), words):
-                if n + len(s) > REPORTED:
-                    yield counted(held[:n])
-                    n = 0
-                if len(s) <= REPORTED:  # by itself a set holds nothing often
-                    held[n : n + len(s)] = s
-                    n += len(s)
-        yield counted(held[:n])
+                held.append(s)
+                n += len(s)
+                if n >= REPORTED:
+                    yield counted(np.concatenate(held))
+                    held, n = [], 0
+        if held:
+            yield counted(np.concatenate(held))
         del held
         tidied()
 
-    floor = max(FREQUENT_LEAST, int(n_texts * FREQUENT_SHARE))
-    rows = stored(texts.select("__text").mapInArrow(report, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= floor).select("h"), "frequent").toPandas()
-    return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
+    def added(key, pdf):
+        low = np.zeros((sum(map(len, pdf["low"])) // 3, 4), np.uint8)
+        low[:, :3] = np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(-1, 3)
+        keys, at = np.unique(low.view("<u4").ravel(), return_inverse=True)
+        count = np.bincount(at, np.frombuffer(b"".join(pdf["count"]), "<u2"), len(keys))
+        many = np.flatnonzero(count >= RARE_TEXTS)
+        level = np.minimum(np.log2(count[many] / RARE_TEXTS) // 2 + 1, 7)
+        out = pd.DataFrame({"key": (int(key[0]) << 24) + keys[many].astype(np.int64), "level": level.astype(np.int8)})
+        del low, keys, at, count
+        tidied()
+        return out
+
+    rows = stored(texts.select("__text").mapInArrow(report, "range int, low binary, count binary").groupBy("range").applyInPandas(added, "key bigint, level tinyint"), "levels")
+    least, total = 8, 0
+    for level, k in sorted(rows.groupBy("level").count().collect(), reverse=True):
+        total += k
+        if total > LEVELLED:
+            break
+        least = level
+    found = rows.where(F.col("level") >= least).toPandas().sort_values("key")
+    removed(rows)
+    return Levels(found["key"].to_numpy(np.int64).astype(np.uint64), found["level"].to_numpy(np.uint8), shift)
 
 
-def _signed(texts: DataFrame, words: int, similarity: int, frequent: np.ndarray) -> DataFrame:
+def _signed(texts: DataFrame, words: int, similarity: int, levels: Levels) -> DataFrame:
     """The rows of ``texts`` by id and key, each with the size of its set and the set's
     name; prefix and bitmap only where a task meets the set for the first time."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    shared = texts.sparkSession.sparkContext.broadcast(levels)
 
     def sign(batches):
         seen: set[int] = set()
@@ -285,8 +331,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: i
     """One row per row of ``docs``: __id, __key, n_shingles, class (null without shingles)
     and component_id (null if all ids of the class are)."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"), _key(id_col, text_col).alias("__key"))
-    frequent = frequent_shingles(texts, words, texts.count())
-    signed = stored(_signed(texts, words, similarity, frequent), "signed")
+    levels = shingle_levels(texts, words, texts.count())
+    signed = stored(_signed(texts, words, similarity, levels), "signed")
 
     # equal sets make a unit, units with the same size and prefix a group
     held = signed.where("prefix is not null")
@@ -304,7 +350,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: i
     # first of them in the order of shingles, whose bounds are the widest, stands for all
     turned = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  signed order to unsigned
     lists = lists.groupBy("k", "same").agg(F.min(turned("token")).alias("first")).select(turned("first").alias("token"), "k")
-    postings = stored(posted.join(lists, "token"), "postings")
+    lists = stored(lists, "lists")
+    postings = stored(posted.join(sized(lists), "token"), "postings")
     # what two sets can still share from their first common shingle on, at places i and i2
     # of the order, must do for the similarity (and bounds their sizes too)
     fits = f"{100 + similarity} * least(n - i, n2 - i2) >= {similarity} * (n + n2)"
@@ -347,7 +394,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: i
     final = _merged(merged, components(_classwise(across, merged), "links"))
 
     labelled = stored(final.select("uid", "class"), "labelled")
-    removed(units, postings, met, placed, rows, hubs, outside, merged, left, rest, across)
+    removed(units, lists, postings, met, placed, rows, hubs, outside, merged, left, rest, across)
     least = ids.select("uid", "__id").join(labelled, "uid").groupBy("class").agg(F.min("__id").alias("component_id"))
     return ids.join(labelled.join(least, "class"), "uid", "left").drop("uid")
 

@@ -327,6 +327,38 @@ def test_large_class_and_its_neighbours(spark, monkeypatch):
     assert got == label and 2 < len(set(label.values())) < 60
 
 
+def test_shared_passages_make_no_lists(spark, monkeypatch):
+    """Passages that twelve texts share, each in another part of the table: rare texts link
+    by their own words, so no passage is posted, however many there are."""
+    posted = {}
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name in ("postings", "met"):
+            posted[name] = out.count()
+        return out
+
+    stored = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", counted)
+    passage = lambda g: [f"p{g}-{k}" for k in range(40)]
+    for groups in (20, 60):
+        rows = [(1000 * part + g, " ".join([f"u{part}-{g}-{k}" for k in range(60)] + passage(g))) for part in range(12) for g in range(groups)]
+        near = dict(rows)[3].split()
+        rows.append((11999, " ".join(near[1:])))
+        table = docs(spark, rows).repartitionByRange(12, "doc_id")
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_classes(table).collect()}
+        assert got == {i: 3 if i == 11999 else i for i, _ in rows}
+        assert posted == {"postings": 2, "met": 1}
+
+
+def test_levels_are_counted_over_all_parts(spark):
+    rows = [(i, f"own{i} b c d e " + ("often seen by many texts" if i < 40 else "seen by seven texts only" if i < 47 else "")) for i in range(60)]
+    table = docs(spark, rows).repartitionByRange(12, "doc_id").select(jaccard.F.col("text").alias("__text"))
+    levels = jaccard.shingle_levels(table, 5, len(rows))
+    level = lambda text: [int(s[0] >> jaccard.np.uint64(jaccard._BITS)) for s in jaccard.shingle_sets([text], 5, levels)]
+    assert level("often seen by many texts") == [2] and level("seen by seven texts only") == [0] and level("own1 b c d e") == [0]
+
+
 def test_toxicity_of_pairs(spark):
     """Labels that hang on two terms together: no linear score can tell an exclusive or."""
     rnd = random.Random(5)
