@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
 from .bytewords import arrow_texts, tidied
 from .hashing import BEGINNINGS, BUCKETS, beginnings_of, hashed_terms
 from .store import stored
@@ -31,6 +32,10 @@ PAIR_LEAST = 5
 #: Deviations from the labels' share that make a pair, and how much more than its members'.
 PAIR_FAR, PAIR_GAIN = 5.5, 1.5
 FACTORS = 8
+#: Documents that one task learns from, about, and how often the tasks' models are averaged,
+#: with how many passes of each task over its documents before.
+PART_DOCS = 6_000
+ROUNDS, PASSES = 10, 4
 
 
 @dataclass
@@ -65,18 +70,24 @@ def least_texts(share: float) -> int:
     return max(PAIR_LEAST, int(np.ceil(PAIR_FAR**2 * odds)))
 
 
+def _counts(values: np.ndarray, size: int, step: int = 1 << 18) -> np.ndarray:
+    """``bincount`` in steps, as it makes eight bytes of each value."""
+    return sum((np.bincount(values[a : a + step], minlength=size) for a in range(0, len(values), step)), np.zeros(size, np.int64))
+
+
 class Presence:
     """Which texts hold which words, from both sides."""
 
     def __init__(self, owner: np.ndarray, place: np.ndarray, label: np.ndarray, terms: int):
         # ``owner`` is sorted
-        self.words = place.astype(np.int32)  # of each text, one text after the other
-        self.text = np.searchsorted(owner, np.arange(len(label) + 1))
-        self.texts = owner[np.argsort(place, kind="stable")].astype(np.int32)  # of each word
-        self.n = np.bincount(place, minlength=terms)
-        self.word = np.concatenate(([0], np.cumsum(self.n)))
+        kind = np.uint16 if max(terms, len(label)) < (1 << 16) - 1 else np.int32
         self.label = label == 1
-        self.ones = np.bincount(place, label[owner] == 1, terms)
+        self.n = _counts(place, terms)
+        self.ones = _counts(place[self.label[owner]], terms)
+        self.words = place.astype(kind)  # of each text, one text after the other
+        self.text = np.searchsorted(owner, np.arange(len(label) + 1, dtype=owner.dtype))
+        self.texts = owner.astype(kind)[np.argsort(self.words, kind="stable")]  # of each word
+        self.word = np.concatenate(([0], np.cumsum(self.n)))
 
     def apart(self, n: np.ndarray, ones: np.ndarray) -> np.ndarray:
         p = self.label.mean()
@@ -121,16 +132,30 @@ def paired_terms(spark: SparkSession, owner: np.ndarray, place: np.ndarray, labe
             yield pd.DataFrame({"place": np.unique(np.concatenate(found))})
         tidied()
 
+    tidied()
     words = spark.range(0, terms, 1, 4 * spark.sparkContext.defaultParallelism)
     return np.sort(words.mapInPandas(tried, "place bigint").distinct().toPandas()["place"].to_numpy(np.int64))
 
 
-def train(begin: np.ndarray, term: np.ndarray, label: np.ndarray, terms: int, factors: int = FACTORS, epochs: int = 40, batch: int = 512, rate: float = 0.1, decay: float = 2e-5, seed: int = 7):
-    """Adagrad on the log loss; a text's terms are those from its place in ``begin`` to the next."""
+def start(share: float, terms: int, factors: int = FACTORS, seed: int = 7) -> np.ndarray:
+    """A row for each term and a last one for the bias; of each its weight, then its factors:
+    in 0 the values, in 1 the squares that Adagrad has summed."""
+    state = np.full((terms + 1, 2, 1 + factors), 1e-6)
+    state[:, 0] = 0
+    state[:-1, 0, 1:] = np.random.default_rng(seed).normal(0, 0.01, (terms, factors))
+    share = np.clip(share, 1e-3, 1 - 1e-3)
+    state[-1, 0, 0] = np.log(share / (1 - share))
+    return state
+
+
+def train(begin: np.ndarray, term: np.ndarray, label: np.ndarray, state: np.ndarray, epochs: int, seed=0, batch: int = 512, rate: float = 0.1, decay: float = 2e-5) -> np.ndarray:
+    """Adagrad on the log loss, on from ``state``; a text's terms are those from its place in
+    ``begin`` to the next."""
     rng = np.random.default_rng(seed)
-    rate_of_ones = np.clip(label.mean() if len(label) else 0.5, 1e-3, 1 - 1e-3)
-    bias, weight, factor = float(np.log(rate_of_ones / (1 - rate_of_ones))), np.zeros(terms), rng.normal(0, 0.01, (terms, factors))
-    gb, gw, gv = 1e-6, np.full(terms, 1e-6), np.full((terms, factors), 1e-6)
+    terms, factors = len(state) - 1, state.shape[2] - 1
+    bias, gb = (float(x) for x in state[-1, :, 0])
+    weight, gw = (state[:-1, k, 0].astype(float) for k in (0, 1))
+    factor, gv = (state[:-1, k, 1:].astype(float) for k in (0, 1))
     for _ in range(epochs):
         order = rng.permutation(len(label))
         for a in range(0, len(order), batch):
@@ -155,7 +180,37 @@ def train(begin: np.ndarray, term: np.ndarray, label: np.ndarray, terms: int, fa
             dv = np.stack([np.bincount(t, pull[:, f], terms) for f in range(factors)], 1) + decay * factor
             gv += dv * dv
             factor -= 0.3 * rate * dv / np.sqrt(gv)
-    return bias, weight, factor
+    out = np.zeros(state.shape)
+    out[-1, :, 0] = bias, gb
+    out[:-1, 0, 0], out[:-1, 1, 0] = weight, gw
+    out[:-1, 0, 1:], out[:-1, 1, 1:] = factor, gv
+    return out
+
+
+def trained(texts: DataFrame, state: np.ndarray, rounds: int = ROUNDS, passes: int = PASSES) -> np.ndarray:
+    """``texts`` (of ``_term_rows``) teach ``state`` where they are: in each round every part
+    goes on from the same state by itself, and the mean of the parts, weighed by their texts,
+    is the next one.  The driver sees states, never texts."""
+    spark = texts.sparkSession
+    for k in range(rounds):
+        held = spark.sparkContext.broadcast(state.astype(np.float32))
+
+        def learn(batches, k=k, held=held):
+            got = list(batches)
+            if got:
+                data = pa.Table.from_batches(got)
+                for part in sorted(data.column("part").unique().to_pylist()):
+                    begin, term, label = _placed(data.filter(pc.equal(data.column("part"), part)))
+                    out = train(begin, term, label, held.value, passes, (7, k, part))
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "texts": [len(label)], "state": [out.astype(np.float32).tobytes()]})
+            tidied()
+
+        parts = sorted(texts.mapInArrow(learn, "part int, texts bigint, state binary").toArrow().to_pylist(), key=lambda r: r["part"])
+        total = sum(r["texts"] for r in parts)
+        state = sum(np.frombuffer(r["state"], np.float32).astype(float) * (r["texts"] / total) for r in parts).reshape(state.shape)
+        held.destroy()
+        del parts
+    return state
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> FactorizationMachine:
@@ -165,7 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Fac
     label are summed on the executors; every term that tells the labels apart by FAR
     deviations keeps a weight, and so does every word of a pair that tells much more than
     its words do, tried over all words of about PAIR_DOCS documents that can reach it.  No
-    number of terms or pairs is set.  Labels that are null or not 0 or 1 are left out;
+    number of terms or pairs is set.  The weights are learnt in tasks (``trained``), so the
+    driver holds the model and no text.  Labels that are null or not 0 or 1 are left out;
     without any, every score is one half.
     """
     learn = lambda df: df.where("doc_id is not null and pmod(crc32(cast(doc_id as string)), 5) <> 0")
@@ -198,30 +254,33 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Fac
     tells = counted.withColumn("far", F.abs(F.col("o") - p * (F.col("z") + F.col("o"))) / F.sqrt((F.col("z") + F.col("o")) * F.lit(p * (1 - p))))
     best = tells.where(F.col("far") > FAR).select("bucket").toPandas()["bucket"].to_numpy()
     tried = F.expr(f"pmod(xxhash64(doc_id, 12), 1000000) < {int(min(1.0, PAIR_DOCS / (ones + zeros)) * 1_000_000)}")
-    begin, term, label = _terms(rows.where(tried), np.arange(BUCKETS), ())
+    begin, term, label = _placed(_term_rows(rows.where(tried).withColumn("part", F.lit(0)), np.arange(BUCKETS), ()).toArrow())
+    tidied()
     owner = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(begin))
     share = label.mean() if len(label) else 0.0
-    texts = np.bincount(term, minlength=BUCKETS)
+    texts = _counts(term, BUCKETS)
     words = np.flatnonzero((texts >= least_texts(share)) & (texts < len(label))) if 0 < share < 1 else np.zeros(0, np.int64)
     place = np.full(BUCKETS, -1, np.int32)
     place[words] = np.arange(len(words))
-    keep = place[term] >= 0
-    pairs = paired_terms(docs.sparkSession, owner[keep], place[term[keep]], label, len(words))
-    paired = words[pairs]
-    del owner, term, keep
+    term = place[term]
+    keep = term >= 0
+    owner, term = owner[keep], term[keep]
+    paired = words[paired_terms(docs.sparkSession, owner, term, label, len(words))]
+    del begin, owner, term, label, keep
     tidied()
     # forms of a word share its beginnings, so a pair's words bring theirs along
     chosen = np.union1d(best, np.union1d(paired, _beginnings(rows.where(tried), paired))).astype(np.int64)
-    begin, term, label = _terms(rows, chosen)
-    bias, weight, factor = train(begin, term, label, max(len(chosen), 1))
+    parts = max(1, round((ones + zeros) / PART_DOCS))
+    texts = settled(_term_rows(rows.withColumn("part", F.expr(f"cast(pmod(xxhash64(doc_id, 13), {parts}) as int)")), chosen).repartitionById(parts, F.col("part")))
+    state = trained(texts, start(ones / (ones + zeros), max(len(chosen), 1)))
     index[chosen] = np.arange(len(chosen))
     tidied()
-    return FactorizationMachine(index, bias, weight, factor)
+    return FactorizationMachine(index, float(state[-1, 0, 0]), state[:-1, 0, 0].copy(), state[:-1, 0, 1:].copy())
 
 
-def _terms(rows: DataFrame, buckets: np.ndarray, beginnings: tuple[int, ...] = BEGINNINGS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each text begins among the terms (places in ``buckets``), the terms of all
-    ``rows``, and the labels; texts in an order that hangs on them alone."""
+def _term_rows(rows: DataFrame, buckets: np.ndarray, beginnings: tuple[int, ...] = BEGINNINGS) -> DataFrame:
+    """A row for each of ``rows``: part, label, a number that hangs on its terms alone, its
+    terms (places in ``buckets``)."""
     index = np.full(BUCKETS, -1, np.int32)
     index[buckets] = np.arange(len(buckets))
     kept = rows.sparkSession.sparkContext.broadcast(index)
@@ -234,28 +293,29 @@ def _terms(rows: DataFrame, buckets: np.ndarray, beginnings: tuple[int, ...] = B
                 for k in range(len(cut) - 1):
                     held[first + k] = kept.value[bucket[cut[k] : cut[k + 1]]]
             key = [zlib.crc32(h.tobytes()) for h in held]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(key, pa.int64()), pa.array([h.astype(np.int32).tobytes() for h in held], pa.binary())], ["toxic", "key", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("toxic"), pa.array(key, pa.int64()), pa.array([h.astype(np.int32).tobytes() for h in held], pa.binary())], ["part", "toxic", "key", "terms"])
         tidied()
 
-    data = rows.mapInArrow(select, "toxic int, key bigint, terms binary").toArrow()
+    return rows.select("part", "text", "toxic").mapInArrow(select, "part int, toxic int, key bigint, terms binary")
+
+
+def _placed(data: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text begins among the terms, the terms of all texts, and the labels; texts
+    in an order that hangs on them alone."""
     toxic, key = (data.column(c).to_numpy() for c in ("toxic", "key"))
     size = pc.binary_length(data.column("terms")).to_numpy().astype(np.int64) // 4
     order = np.lexsort((size, key, toxic))
     begin = np.concatenate(([0], np.cumsum(size[order])))
     place = np.empty(len(order), np.int64)
     place[order] = begin[:-1]
-    term = np.empty(int(begin[-1]), np.uint16 if len(buckets) <= 1 << 16 else np.int32)
+    term = np.empty(int(begin[-1]), np.int32)
     at = 0
     for chunk in data.column("terms").chunks:  # a text at a time, none is held twice
         for value in chunk:
             t = np.frombuffer(value.as_buffer(), np.int32)
             term[place[at] : place[at] + len(t)] = t
             at += 1
-    label = toxic[order].astype(float)
-    del data, toxic, key
-    kept.unpersist()
-    tidied()
-    return begin, term, label
+    return begin, term, toxic[order].astype(float)
 
 
 def _beginnings(rows: DataFrame, buckets: np.ndarray) -> np.ndarray:

@@ -1,5 +1,6 @@
 """Toxicity from pairs of words among many, and personal data in very long texts."""
 
+import os
 import random
 
 import numpy as np
@@ -28,6 +29,27 @@ def test_pairs_among_many_words(spark):
     assert len(got) > 1000 and (got["predicted"] == got["toxic"]).mean() > 0.95
 
 
+def test_weights_are_learnt_in_tasks(spark, monkeypatch):
+    """The driver trains on no text and no task on all of them; the mean of the parts' models
+    knows what each part alone knows, however the rows lie."""
+    rnd = random.Random(3)
+    rows = [(i, " ".join([f"word{rnd.randrange(200)}" for _ in range(30)] + ["insult"] * (i % 3 == 0)), int(i % 3 == 0)) for i in range(3000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    driver, train = os.getpid(), toxicity.train
+
+    def watched(begin, term, label, *rest, **how):
+        assert os.getpid() != driver and len(label) < 900
+        return train(begin, term, label, *rest, **how)
+
+    monkeypatch.setattr(toxicity, "train", watched)
+    monkeypatch.setattr(toxicity, "PART_DOCS", 600, raising=False)
+    model, again = (toxicity.fit(docs.repartition(n), labels) for n in (2, 7))
+    assert np.array_equal(model.index, again.index) and np.array_equal(model.factor, again.factor) and np.array_equal(model.weight, again.weight)
+    got = toxicity.scored(docs, model).join(labels, "doc_id").where("held_out").select("predicted", "toxic").toPandas()
+    assert len(got) > 500 and (got["predicted"] == got["toxic"]).mean() > 0.99
+
+
 def test_scores_are_plain():
     rng = np.random.default_rng(3)
     index = np.full(toxicity.BUCKETS, -1, np.int32)
