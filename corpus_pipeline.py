@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pathloom.llm import fmindex, jaccard, pii, toxicity
 from pathloom.llm.packing import pack_documents
 from pathloom.llm.queries import table, vocabulary
-from pathloom.llm.store import stored
+from pathloom.llm.store import is_stored, stored
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of the benchmark are cut out."""
-    return fmindex.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Passages of the benchmark are cut out.  Whole texts pass through Python here, so the
+    stage stores its table itself: its batches are of bounded bytes, whoever reads it."""
+    return stored(fmindex.decontaminated(docs, table(spark, sf_dir, "benchmark")), "decontamination")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,5 +45,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stage(spark, docs, sf_dir)
+        docs = docs if is_stored(docs) else stored(docs, name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,17 +10,20 @@ tournament tree over the room left in each.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import tidied
+from .store import stored
 from .tokens import encoder
 
 #: Documents that a task encodes at a time.
-ENCODED_DOCS = 1024
+ENCODED_DOCS = 256
 #: Documents of a group, about.
 GROUP_DOCS = 4096
 
@@ -68,6 +71,34 @@ def pack_group(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return pieces
 
 
+def cutter(vocabulary: str, groups: int, capacity: int):
+    """The task that turns batches of pack, doc_id, text into batches of pieces."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary)
+        for batch in batches:
+            # rows that repeat an id and a text go to one group after another
+            pack = batch["pack"].to_pandas()
+            packs = ((pack + pack.groupby(pack).cumcount()) % groups).to_numpy()
+            for first in range(0, batch.num_rows, ENCODED_DOCS):
+                texts = batch["text"].slice(first, ENCODED_DOCS).to_pylist()
+                of, start, length, crc, tokens = [], [], [], [], []
+                for k, ids in enumerate(enc.encode([t or "" for t in texts]), first):
+                    raw, total = ids.astype("<u4").tobytes(), len(ids)
+                    for a in range(0, total, capacity):
+                        b = min(a + capacity, total)
+                        of.append(k)
+                        start.append(a)
+                        length.append(b - a)
+                        crc.append(zlib.crc32(raw[4 * a : 4 * b]))
+                        tokens.append(total)
+                columns = {"pack": packs[of], "doc_id": batch["doc_id"].take(pa.array(of, pa.int64())), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": tokens}
+                yield pa.RecordBatch.from_pydict({name: c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for name, c in columns.items()})
+            tidied()
+
+    return cut
+
+
 def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, group_docs: int = GROUP_DOCS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -80,26 +111,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     groups = max(1, -(-n // group_docs))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")))).alias("pack"))
 
-    def cut(batches):
-        enc = encoder(vocabulary)
-        for pdf in batches:
-            # rows that repeat an id and a text go to one group after another
-            pdf["pack"] = (pdf["pack"] + pdf.groupby("pack").cumcount()) % groups
-            for first in range(0, len(pdf), ENCODED_DOCS):
-                part, rows = pdf.iloc[first : first + ENCODED_DOCS], []
-                packs = part["pack"].tolist()
-                for k, ids in enumerate(enc.encode([t if isinstance(t, str) else "" for t in part["text"]])):
-                    raw, total = ids.astype("<u4").tobytes(), len(ids)
-                    for a in range(0, total, capacity):
-                        b = min(a + capacity, total)
-                        rows.append((packs[k], k, a, b - a, zlib.crc32(raw[4 * a : 4 * b]), total))
-                out = pd.DataFrame(rows, columns=["pack", "k", "start", "length", "ids_crc32", "doc_tokens"])
-                out.insert(1, "doc_id", part["doc_id"].iloc[out.pop("k").to_numpy()].to_numpy())
-                yield out
-        tidied()
-
     schema = "pack bigint, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    pieces = texts.mapInPandas(cut, schema)
+    pieces = stored(texts.mapInArrow(cutter(vocabulary, groups, capacity), schema), "pieces")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         return pack_group(pdf, capacity)

@@ -40,6 +40,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def is_stored(df: DataFrame) -> bool:
+    return "_stored_at" in vars(df)
+
+
 def removed(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more, in whatever store they are."""
     for table in tables:

@@ -17,9 +17,11 @@ from .bytewords import span_hashes
 
 LETTER, NUMBER, SPACE, OTHER, END = 0, 1, 2, 3, 4
 #: Characters of a chunk; a longer text makes a chunk of its own.
-CHUNK_CHARS = 1_000_000
-#: Distinct pre-tokens that a worker remembers before it starts afresh.
-REMEMBERED = 2_000_000
+CHUNK_CHARS = 250_000
+#: Distinct pre-tokens that a worker remembers before it drops those not met again.
+REMEMBERED = 500_000
+#: Pre-tokens that the tokenizer is given at a time: what it returns is large beside their ids.
+LEARNT = 2048
 
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
 _END_MARK = 0x110000
@@ -85,22 +87,46 @@ class Encoder:
         self.offset = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)
+
+    def drop(self) -> None:
+        """Only what was met again since it was learnt or last kept stays, and at most half."""
+        kept = np.flatnonzero(self.again)
+        if len(kept) > REMEMBERED // 2:
+            self.forget()
+            return
+        size = self.size[kept]
+        reach = np.cumsum(size)
+        ids = np.arange(int(size.sum())) + np.repeat(self.offset[kept] - (reach - size), size)
+        self.known, self.offset, self.size, self.pool = self.known[kept], reach - size, size, self.pool[ids]
+        self.again = np.zeros(len(kept), bool)
+
+    def place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where sorted hashes stand among the known ones, and which of them are known."""
+        at = np.searchsorted(self.known, hashes)
+        if not len(self.known):
+            return at, np.zeros(len(hashes), bool)
+        at = np.minimum(at, len(self.known) - 1)
+        return at, self.known[at] == hashes
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         """``hashes`` are sorted and new."""
-        if len(self.known) + len(hashes) > REMEMBERED:
-            self.forget()
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        offset = len(self.pool) + np.concatenate(([0], np.cumsum(size)[:-1])) if len(ids) else size
-        self.pool = np.concatenate((self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))))
+        pools, sizes = [self.pool], [np.zeros(0, np.int64)]
+        for first in range(0, len(pieces), LEARNT):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[first : first + LEARNT], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            pools.append(np.fromiter((i for x in ids for i in x), np.uint32, int(sizes[-1].sum())))
+        size = np.concatenate(sizes)
+        offset = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate(pools)
         at = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, at, hashes)
         self.offset = np.insert(self.offset, at, offset)
         self.size = np.insert(self.size, at, size)
+        self.again = np.insert(self.again, at, False)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, each followed by the id 0."""
@@ -130,18 +156,15 @@ class Encoder:
         h = span_hashes(cp.view(np.uint8), 4 * start, 4 * stop)
         found, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         marks = cp[start[first]] == _END_MARK
-        at = np.searchsorted(self.known, found)
-        new = np.ones(len(found), bool)
-        if len(self.known):
-            new = self.known[np.minimum(at, len(self.known) - 1)] != found
-        new &= ~marks
+        at, known = self.place(found)
+        self.again[at[known]] = True
+        new = ~known & ~marks
         if new.any():
             if len(self.known) + int(new.sum()) > REMEMBERED:
-                self.forget()
-                new = ~marks
+                self.drop()
+                new = ~self.place(found)[1] & ~marks
             self.learn(found[new], [joined[start[i] : stop[i]] for i in first[new]])
-            at = np.searchsorted(self.known, found)
-        at = np.minimum(at, max(len(self.known) - 1, 0))
+            at = self.place(found)[0]
         pool = np.append(self.pool, np.uint32(0))  # the last one is the id 0 behind a text
         size = np.where(marks, 1, self.size[at] if len(self.known) else 1)[inverse]
         offset = np.where(marks, len(pool) - 1, self.offset[at] if len(self.known) else 0)[inverse]

@@ -479,3 +479,44 @@ def test_stages_keep_columns_and_clean_rows(spark):
     assert clean.columns == given.columns
     got = {r["doc_id"]: r for r in clean.collect()}
     assert got[1]["text"].strip(" @.") == "" and got[2]["n_chars"] == 99 and got[3]["n_chars"] is None and got[1]["__base"] == 1
+
+
+def test_packing_worker_is_bounded(monkeypatch):
+    import pyarrow as pa
+    from pathloom.llm import tokens
+
+    P = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(tokens, "REMEMBERED", 200)
+    monkeypatch.setattr(tokens, "LEARNT", 16)
+    path = P.path("byte_bpe_50k.json")
+    monkeypatch.setattr(tokens, "_encoders", {})
+    enc, asked = tokens.encoder(path), []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, pieces, **options):
+            asked.append(list(pieces))
+            return self.inner.encode_batch_fast(pieces, **options)
+
+        def encode(self, *given, **options):
+            return self.inner.encode(*given, **options)
+
+    enc.tokenizer = Counted(enc.tokenizer)
+    texts = [f"common words here q{i}x{i * 7919} z{i * 31}" for i in range(600)]
+    for first in range(0, 600, 10):
+        part = texts[first : first + 10]
+        assert [x.tolist() for x in enc.encode(part)] == [enc.whole(t).tolist() + [0] for t in part]
+        assert len(enc.known) <= 200 and len(enc.pool) == enc.size.sum()
+    # the tokenizer gets few pre-tokens at a time, and those met again and again but once
+    assert max(map(len, asked)) <= 16 and sum(x.count(" common") for x in asked) == 0 and sum(x.count(" words") for x in asked) == 1
+    batch = pa.RecordBatch.from_pydict({"pack": list(range(600)), "doc_id": list(range(600)), "text": texts[:599] + [None]})
+    out = list(packing.cutter(path, 7, 4)([batch]))
+    assert max(b.num_rows for b in out) < 600 * 3 and len(out) == -(-600 // packing.ENCODED_DOCS)
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [r["length"] for r in rows if r["doc_id"] == 599] == [1] and {r["doc_id"] for r in rows} == set(range(600))
+    for r in rows:
+        ids = np.append(enc.whole(texts[r["doc_id"]]) if r["doc_id"] < 599 else np.zeros(0), 0).astype("<u4")
+        assert r["doc_tokens"] == len(ids) and r["pack"] == r["doc_id"] % 7
+        assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
